@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "secret_scan", "toxicity", "topk_search")
+_MODULES = ("exact_dedup", "line_dedup", "secret_scan", "source_mixing", "topk_search", "toxicity", "url_rules", "warc")
 
 
 def queries() -> dict:
