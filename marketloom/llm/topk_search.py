@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import read
 
 EXACT = 2**53  # below this, sums of products of integers are exact in float64
+TILE = 32
 
 
 def integer_weights(vector: Column, scale: float = 256.0) -> Column:
@@ -48,20 +49,32 @@ def _unpack(ids: bytes, w: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _accumulate(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Scores of every query (row of q) against every candidate (row of c), a term at a time; exact."""
+    """Scores of every query (row of q) against every candidate (row of c), a term at a time; exact.
+
+    A tile of queries at a time, so that its scores stay in the cache while the terms go by.
+    """
     terms = min(q.shape[1], c.shape[1])
     q, c = q[:, :terms], c[:, :terms]
     most = lambda m: max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
-    kind = np.float64 if most(q) * most(c) * max(terms, 1) < EXACT else object
+    bound = most(q) * most(c) * max(terms, 1)
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < EXACT else object
     score = np.zeros((len(q), len(c)), dtype=kind)
-    for t in range(terms):
-        have, posting = np.flatnonzero(q[:, t]), np.flatnonzero(c[:, t])
-        if len(have) and len(posting):
-            part = np.multiply.outer(q[have, t].astype(kind), c[posting, t].astype(kind))
-            if len(have) == len(q) and len(posting) == len(c):
-                score += part
-            else:
-                score[np.ix_(have, posting)] += part
+    q, postings = q.astype(kind), np.ascontiguousarray(c.T.astype(kind))
+    full = [bool(np.all(c[:, t] != 0)) for t in range(terms)]
+    part = np.empty((TILE, len(c)), dtype=kind)
+    for i in range(0, len(q), TILE):
+        tile = score[i : i + TILE]
+        for t in range(terms):
+            weights = q[i : i + TILE, t, None]
+            have = np.flatnonzero(weights)
+            if len(have) == len(tile) and full[t]:
+                tile += np.multiply(weights, postings[t], out=part[: len(tile)])
+            elif len(have):
+                posting = np.flatnonzero(postings[t])
+                if 2 * len(have) > len(tile) and 2 * len(posting) > len(c):
+                    tile += np.multiply(weights, postings[t], out=part[: len(tile)])
+                else:
+                    tile[np.ix_(have, posting)] += np.multiply.outer(q[i + have, t], postings[t, posting])
     return score
 
 
