@@ -31,7 +31,6 @@ from marketloom.llm.common import read, shared_dir
 
 NONE = 1 << 16  # ranks from here on mean: no token
 _HIGH = 1 << 50
-_PLACES = 1 << 30
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -97,30 +96,29 @@ class RankMap:
         size = F.length(latin)
         first = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(self.bytes, F.ascii(F.substring(latin, i, 1))))
 
-        def ranked(ids: Column) -> Column:
-            pairs = F.when(F.size(ids) < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: self.rank(F.get(ids, i), F.get(ids, i + 1))))
-            return F.struct(ids.alias("ids"), pairs.alias("ranks"))
+        # One number for each token: the rank of the pair it begins, and its id in the low bits.
+        own = lambda x: x.bitwiseAND(NONE - 1)
+        packed = lambda rank, i: F.shiftleft(F.coalesce(rank, F.lit(NONE)), 16) + i
+        pack = lambda ids: F.transform(ids, lambda x, i: packed(self.rank(x, F.get(ids, i + 1)), x))
 
         def merge(acc: Column, _: Column) -> Column:
-            ids, ranks = acc["ids"], acc["ranks"]
-            none = F.array().cast("array<bigint>")
-            # Least rank and, on ties, leftmost place in one number. array_position would do, but it is slow.
-            best = F.coalesce(F.array_min(F.transform(ranks, lambda r, i: r * _PLACES + i)), F.lit(NONE * _PLACES))
+            # Least rank and, on ties, leftmost place in one number; the pair's rank is the id of what it becomes.
+            best = F.array_min(F.transform(acc, lambda x, i: F.shiftleft(F.shiftright(x, 16), 30) + i))
 
             def at(b: Column) -> Column:
-                p, new = (b % _PLACES).cast("int"), F.shiftright(b, 30)
-                left = F.when(p > 0, F.array(self.rank(F.get(ids, p - 1), new))).otherwise(none)
-                right = F.when(p < F.size(ranks) - 1, F.array(self.rank(new, F.get(ids, p + 2)))).otherwise(none)
-                merged = F.struct(
-                    F.concat(F.slice(ids, F.lit(1), p), F.array(new), F.slice(ids, p + 3, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 1, F.lit(0))), left, right, F.slice(ranks, p + 3, F.size(ranks))).alias("ranks"),
+                p, new = b.bitwiseAND((1 << 30) - 1).cast("int"), F.shiftright(b, 30)
+                merged = F.transform(
+                    acc,
+                    lambda x, i: F.when((i < p - 1) | (i > p + 1), x)
+                    .when(i == p, packed(self.rank(new, own(F.get(acc, p + 2))), new))
+                    .when(i < p, packed(self.rank(own(x), new), own(x))),  # null at p + 1
                 )
-                return F.when(b >= NONE * _PLACES, acc).otherwise(merged)
+                return F.when(new >= NONE, acc).otherwise(F.filter(merged, lambda x: x.isNotNull()))
 
             return F.get(F.transform(F.array(best), at), F.lit(0))
 
-        start = F.get(F.transform(F.array(first), ranked), F.lit(0))
-        ids = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, merge, lambda acc: acc["ids"])
+        start = F.get(F.transform(F.array(first), pack), F.lit(0))
+        ids = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, merge, lambda acc: F.transform(acc, own))
         for hexed, rank in self.whole.items():
             ids = F.when(F.lower(F.hex(F.encode(piece, "utf-8"))) == hexed, F.array(F.lit(rank).cast("bigint"))).otherwise(ids)
         return ids
