@@ -131,7 +131,7 @@ def _located(df: DataFrame, id_col: str, text_col: str, chunk_rows: int, folder:
     except AnalysisException:
         df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).write.parquet(f"{folder}/texts")
         place = df.sparkSession.read.parquet(f"{folder}/texts").select("id", "t", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    chunk = F.sha1(F.concat_ws("#", "f", F.floor(F.col("i") / chunk_rows).cast("string")))
+    chunk = F.xxhash64("f", F.floor(F.col("i") / chunk_rows))  # chunks with equal hashes would share a dictionary
     return place.select("id", F.coalesce("t", F.lit("")).alias("t"), chunk.alias("chunk"))
 
 
@@ -152,11 +152,12 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
         for batch in batches:
             for chunk, part in _by_chunk(batch):
                 words = pc.unique(part.column("pieces").flatten())
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(words), pa.string()), words], names=["chunk", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), words], names=["chunk", "word"])
 
-    words = rows.select("chunk", pieces.alias("pieces")).mapInArrow(distinct, "chunk string, word string").repartition("word")
+    words = rows.select("chunk", pieces.alias("pieces")).mapInArrow(distinct, "chunk long, word string").repartition("word")
     table = RankMap(ranks)
-    vocabulary = words.groupBy("word").agg(F.lit(1).alias("one")).select("word", F.transform(table.encode(F.col("word")), lambda x: x.cast("int")).alias("ids"))
+    vocabulary = words.groupBy("word").agg(F.min("chunk").alias("chunk"))  # reads chunk too, so that both sides of the join share one exchange
+    vocabulary = vocabulary.select("word", F.transform(table.encode(F.col("word")), lambda x: x.cast("int")).alias("ids"))
     words.join(vocabulary, "word").repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(f"{folder}/words")
     by_rank = {r: p for p, r in ranks.items()}
 
@@ -166,22 +167,23 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
         files, path = fs.FileSystem.from_uri(folder)
         at = None
         for batch in batches:
-            for chunk, part in _by_chunk(batch):
+            for chunk, part in _by_chunk(batch, 1024):
                 lists = part.column("pieces")
                 flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                if chunk != at and len(flat):
+                if not len(flat):
+                    empty = pa.array([b""] * part.num_rows, pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([0] * part.num_rows, pa.int64()), empty, empty], names=[id_col, "n_tokens", "ids", "decoded"])
+                    continue
+                if chunk != at:
                     own, at = dataset.dataset(f"{path}/words/chunk={chunk}", filesystem=files, format="parquet").to_table(columns=["word", "ids"]).combine_chunks(), chunk
                     known, coded = own.column("word").combine_chunks(), own.column("ids").combine_chunks()
                     sizes = pc.list_value_length(coded).to_numpy(zero_copy_only=False).astype(np.int64)
                     starts, codes = np.cumsum(sizes) - sizes, coded.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                if len(flat):
-                    which = pc.index_in(flat, value_set=known).to_numpy(zero_copy_only=False)
-                    n = sizes[which]
-                    upto = np.cumsum(n)
-                    ids = codes[np.repeat(starts[which] - (upto - n), n) + np.arange(upto[-1])]
-                    ends = np.where(ends > 0, upto[np.maximum(ends - 1, 0)], 0)
-                else:
-                    ids, ends = np.zeros(0, "<u4"), np.zeros(part.num_rows, np.int64)
+                which = pc.index_in(flat, value_set=known).to_numpy(zero_copy_only=False)
+                n = sizes[which]
+                upto = np.cumsum(n)
+                ids = codes[np.repeat(starts[which] - (upto - n), n) + np.arange(upto[-1])]
+                ends = np.where(ends > 0, upto[np.maximum(ends - 1, 0)], 0)
                 begins = np.concatenate([[0], ends[:-1]])
                 each = [ids[b:e] for b, e in zip(begins, ends, strict=True)]
                 decoded = [b"".join(map(by_rank.__getitem__, x.tolist())) for x in each]
@@ -190,12 +192,12 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     return rows.select("id", "chunk", pieces.alias("pieces")).mapInArrow(encode, f"`{id_col}` {id_type}, n_tokens long, ids binary, decoded binary")
 
 
-def _by_chunk(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """The runs of rows of one chunk in a batch."""
+def _by_chunk(batch: pa.RecordBatch, most: int = 1 << 30) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The runs of rows of one chunk in a batch, `most` rows at a time."""
     chunks = batch.column("chunk").to_pylist()
     begin = 0
     for i in range(1, len(chunks) + 1):
-        if i == len(chunks) or chunks[i] != chunks[begin]:
+        if i == len(chunks) or chunks[i] != chunks[begin] or i - begin == most:
             yield chunks[begin], batch.slice(begin, i - begin)
             begin = i
 
