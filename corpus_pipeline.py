@@ -1,12 +1,75 @@
-"""The corpus pipeline; its stages are added as their operators are."""
+"""The corpus pipeline: toxic documents go, repeated passages go, near duplicates go, sources are mixed, texts are encoded.
+
+Each stage works on everything its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.llm.byte_bpe import encode_texts, load_ranks
+from marketloom.llm.common import row_key, shared_dir
+from marketloom.llm.line_dedup import dedup_lines
+from marketloom.llm.ngram_join import ngram_jaccard_join
+from marketloom.llm.source_mixing import mix_sources
+from marketloom.llm.toxicity import held_out, learn_lexicon, toxicity_column
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is 0.5 or more go. The lexicon is learnt from the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    lexicon = learn_lexicon(docs, labels)
+    return docs.where(toxicity_column(F.col("text"), lexicon) < 0.5)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of passages of three lines or more go; documents of which nothing is left go with them."""
+    out = dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 over five-word shingles stays, that with the smallest id."""
+    kept = ngram_jaccard_join(docs, n=5, percent=80).where("kept").select(F.col("row_key").alias("_key")).distinct()
+    out = docs.withColumn("_key", row_key("doc_id", "text")).join(kept, "_key", "left_semi")
+    return out.dropDuplicates(["_key"]).select(docs.columns)  # repeated rows have one key
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to a flatter distribution: each document once at least, those of rare sources up to twice."""
+    keyed = docs.withColumn("_key", F.hex(row_key("doc_id", "text")))
+    copies = mix_sources(keyed, id_col="_key").groupBy("_key").agg(F.max("copies").alias("_copies"))
+    out = keyed.join(copies, "_key").where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return out.select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encode_texts(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("source_mixing", mix),
+    ("byte_bpe", encode),
+]
 
-STAGES: list = []
+#: The first stage learns from labels, which SQL can't express; tests/llm compares run() with a plain Python version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents, each written as Parquet in the shared folder and read again."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

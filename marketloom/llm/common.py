@@ -23,6 +23,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A digest of id and text (binary). Rows that agree in both are one document."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

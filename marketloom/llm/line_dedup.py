@@ -10,19 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import read
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with `_key`: a digest of id and text. Rows that agree in both are one document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumn("_key", F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text))))
+from marketloom.llm.common import read, row_key
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """(_key, covered): the numbers (from 1) of the lines to remove from each document that has any."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    docs = _keyed(df.select(id_col, text_col), id_col, text_col).select("_key", F.col(id_col).alias("id"), lines.alias("ls"))
+    docs = df.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("id"), lines.alias("ls"))
     joined = lambda i: F.array_join(F.slice("ls", i, window), "\n")
     blank = "\n" * (window - 1)
     hashes = F.transform(F.sequence(F.lit(1), F.size("ls") - (window - 1)), lambda i: F.when(joined(i) != blank, F.md5(joined(i))))
@@ -43,7 +37,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     rest = [c for c in df.columns if c not in ("n_lines", "n_removed", "_key", "covered")]
     gone = repeated_lines(df, id_col, text_col, window)
-    rows = _keyed(df.select(rest), id_col, text_col).join(gone, "_key", "left")
+    rows = df.select(*rest, row_key(id_col, text_col).alias("_key")).join(gone, "_key", "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("covered", i + 1)), "\n")
