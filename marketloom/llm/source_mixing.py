@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import cut, read
 
+MOST_BROADCAST, SALTS = 10_000, 64
 STEPS = 1e4  # the exponent is rounded up to this grid, so that results don't hang on the last bits of a power
 
 
@@ -75,7 +76,12 @@ def mix_sources(df: DataFrame, target_entropy: float = 0.95, max_repeats: float
     plan = plan.withColumn("passes", passes).withColumn("rest", F.greatest(F.floor(F.col("b") - F.col("passes") * F.col("total") + 1e-3), F.lit(0)))
     plan = totals.select("s", "n_rows").join(plan.select("s", "weight", "passes", "rest"), "s", "left").select("s", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1 if budget is None else 0)).alias("passes"), F.coalesce("rest", F.lit(0)).alias("rest"), F.ceil(F.col("n_rows") / block_rows).alias("n_blocks"))
     plan = cut(plan)
-    rows = rows.join(plan, "s").withColumn("block", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("n_blocks"))
+    # The table of sources is broadcast only if it is small; else the rows of a source are spread over salts.
+    if plan.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(plan), "s")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).join(plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["s", "salt"]).drop("salt")
+    rows = rows.withColumn("block", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("n_blocks"))
     blocks = rows.groupBy("s", "block").agg(F.sum("n").alias("tokens"))
     turn = Window.partitionBy("s").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "s", F.lit(":"), F.col("block").cast("string"))), "block")
     blocks = blocks.withColumn("before", F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).select("s", "block", "before")
