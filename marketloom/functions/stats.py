@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_CODE = Window.partitionBy("code").orderBy("date")
-BY_DATE = Window.partitionBy("date")
+
+def by_code() -> WindowSpec:
+    return Window.partitionBy("code").orderBy("date")
 
 
 def col(x: Column | str) -> Column:
@@ -17,16 +18,16 @@ def col(x: Column | str) -> Column:
 
 def roll(fn: Callable[[Column], Column], x: Column | str, n: int) -> Column:
     """fn over the last n rows of a code, null until n of them are not null."""
-    w, x = BY_CODE.rowsBetween(-(n - 1), 0), col(x)
+    w, x = by_code().rowsBetween(-(n - 1), 0), col(x)
     return F.when(F.count(x).over(w) == n, fn(x).over(w))
 
 
 def lag(x: Column | str, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY_CODE)
+    return F.lag(x, n).over(by_code())
 
 
 def lead(x: Column | str, n: int = 1) -> Column:
-    return F.lead(x, n).over(BY_CODE)
+    return F.lead(x, n).over(by_code())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -42,9 +43,9 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def xs_zscore(x: Column | str, w=BY_DATE) -> Column:
+def xs_zscore(x: Column | str, w: WindowSpec | None = None) -> Column:
     """Cross-section z-score with the population deviation; 0 where that is 0, null where x is."""
-    x = col(x)
+    x, w = col(x), w or Window.partitionBy("date")
     z = (x - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0))
     return F.when(x.isNotNull(), F.coalesce(z, F.lit(0.0)))
 
@@ -71,7 +72,7 @@ def ewm(x: Column, alpha: float, place: Column) -> Column:
     Unrolled, so that it is a running sum and needs no recursion. The sum's terms grow with (1 - alpha) ** -t and leave
     the range of a double after 700 / alpha rows; panels of daily bars are far shorter.
     """
-    w = BY_CODE.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_code().rowsBetween(Window.unboundedPreceding, 0)
     keep = 1 - alpha
     term = x * F.pow(F.lit(keep), -place) * F.when(place == 1, F.lit(1.0)).otherwise(F.lit(alpha))
     return F.sum(term).over(w) * F.pow(F.lit(keep), place)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.stats import BY_CODE, BY_DATE, clip, lead, roll, sigmoid, spearman_by, xs_rank, xs_zscore
+from marketloom.functions.stats import by_code, clip, lead, roll, sigmoid, spearman_by, xs_rank, xs_zscore
 from marketloom.operators.factors import FACTORS, factor_long, sentiment_score, tech_score
 
 
@@ -56,7 +56,7 @@ def neutralize(values: DataFrame) -> DataFrame:
     d = d.withColumn("_whole", F.min((F.col("industry").isNotNull() & F.col("mv").isNotNull()).cast("int")).over(day) == 1)
     d = d.withColumns({"_y": F.col("value") - F.avg("value").over(inside), "_x": F.col("_lmv") - F.avg("_lmv").over(inside)})
     slope = F.coalesce(F.sum(F.col("_x") * F.col("_y")).over(day) / F.nullif(F.sum(F.col("_x") * F.col("_x")).over(day), F.lit(0.0)), F.lit(0.0))
-    d = d.withColumn("_res", F.when(F.col("_whole"), F.col("_y") - slope * F.col("_x")).otherwise(F.col("value")))
+    d = d.withColumn("_res", F.when(F.col("_whole"), F.round(F.col("_y") - slope * F.col("_x"), 9)).otherwise(F.col("value")))  # rounded, so that no z-score is made of rounding errors
     return d.select("date", "code", "factor_name", xs_zscore("_res", day).alias("value"))
 
 
@@ -71,7 +71,7 @@ def labels(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 10)) -> DataFram
 def baseline(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """date, code, horizon, ret_pred, lower, upper: five-bar momentum scaled by the root of the horizon."""
     band = F.coalesce(roll(F.stddev_samp, "ret", 20), F.stddev_samp("ret").over(Window.partitionBy("code")))
-    d = panel.select("date", "code", (F.col("adj") / F.lag("adj", 5).over(BY_CODE) - 1).alias("mom"), band.alias("band"))
+    d = panel.select("date", "code", (F.col("adj") / F.lag("adj", 5).over(by_code()) - 1).alias("mom"), band.alias("band"))
     d = d.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     pred, half = F.col("mom") * F.sqrt("horizon"), 1.96 * F.col("band") * F.sqrt("horizon")
     return d.select("date", "code", "horizon", pred.alias("ret_pred"), (pred - half).alias("lower"), (pred + half).alias("upper"))

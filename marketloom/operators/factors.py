@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.stats import BY_CODE, clip, ewm, lag, ratio, roll, xs_rank, xs_zscore
+from marketloom.functions.stats import by_code, clip, ewm, lag, ratio, roll, xs_rank, xs_zscore
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def rsi(n: int = 14) -> Column:
 def with_change(panel: DataFrame) -> DataFrame:
     """Adds the helper columns of the factors: _change, _place (bars before this one), _log (log return)."""
     prev = lag(P)
-    return panel.withColumns({"_change": F.col(P) - prev, "_place": (F.row_number().over(BY_CODE) - 1).cast("double"), "_log": F.when(prev > 0, F.ln(F.col(P) / prev))})
+    return panel.withColumns({"_change": F.col(P) - prev, "_place": (F.row_number().over(by_code()) - 1).cast("double"), "_log": F.when(prev > 0, F.ln(F.col(P) / prev))})
 
 
 def _r(fn: str, x: str, n: int) -> str:
@@ -90,7 +90,7 @@ def alpha_features(panel: DataFrame) -> DataFrame:
     f |= {f"vrat_{n}": F.col("_vol") / roll(F.avg, "_vol", n) for n in (5, 10, 20)} | {f"arat_{n}": F.col("_amount") / roll(F.avg, "_amount", n) for n in (5, 10, 20)}
     f |= {f"p2h_{n}": p / roll(F.max, "high", n) - 1 for n in (20, 60)}
     f |= {"amp_20": roll(F.avg, F.col("high") - F.col("low"), 20) / p, "turn_trend": roll(F.avg, "_vol", 5) / roll(F.avg, "_vol", 20) - 1}
-    w, both = BY_CODE.rowsBetween(-19, 0), F.col("_log") * F.col("_dvol")
+    w, both = by_code().rowsBetween(-19, 0), F.col("_log") * F.col("_dvol")
     spread = F.nullif(F.stddev_pop("_log").over(w) * F.stddev_pop("_dvol").over(w), F.lit(0.0))
     f["corr_rv_20"] = F.when(F.count(both).over(w) == 20, F.covar_pop("_log", "_dvol").over(w) / spread)
     return d.select("code", "date", *[c.alias(n) for n, c in f.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.stats import BY_CODE, lag, lead
+from marketloom.functions.stats import by_code, lag, lead
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +24,17 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").alias("vol"),
         F.sum("l_extendedprice").alias("amount"),
     )
-    dividend = F.when(F.row_number().over(BY_CODE) % 52 == 0, F.lit(0.95)).otherwise(F.lit(1.0))
+    dividend = F.when(F.row_number().over(by_code()) % 52 == 0, F.lit(0.95)).otherwise(F.lit(1.0))
     return bars.withColumns({"open": F.coalesce(lag("close"), "close"), "pre_close": lag("close") * dividend})
 
 
 def adjust(bars: DataFrame) -> DataFrame:
     """Adds adj (back-adjusted, anchored to the first close) and adj_front (anchored to the last)."""
-    up = BY_CODE.rowsBetween(Window.unboundedPreceding, 0)
-    down = BY_CODE.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = BY_CODE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    up = by_code().rowsBetween(Window.unboundedPreceding, 0)
+    down = by_code().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = by_code().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     f = F.coalesce(F.col("close") / F.nullif(F.col("pre_close"), F.lit(0.0)), F.lit(1.0))
-    r = F.coalesce(F.lead("pre_close").over(BY_CODE) / F.nullif(F.col("close"), F.lit(0.0)), F.lit(1.0))
+    r = F.coalesce(F.lead("pre_close").over(by_code()) / F.nullif(F.lead("close").over(by_code()), F.lit(0.0)), F.lit(1.0))
     bars = bars.withColumns({"f": f, "r": r})
     back = F.first("close").over(up) * F.product("f").over(up) / F.first("f").over(up)
     # Compounding r from a bar to the last one anchors the series to the last close.
@@ -57,7 +57,7 @@ w0 AS (SELECT p_brand AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS d
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 raw AS (SELECT *, coalesce(lag(close) OVER w, close) AS open, lag(close) OVER w * CASE WHEN row_number() OVER w % 52 = 0 THEN 0.95 ELSE 1 END AS pre_close
   FROM w0 WINDOW w AS (PARTITION BY code ORDER BY date)),
-w1 AS (SELECT *, coalesce(close / nullif(pre_close, 0), 1) AS f, coalesce(lead(pre_close) OVER (PARTITION BY code ORDER BY date) / nullif(close, 0), 1) AS r FROM raw),
+w1 AS (SELECT *, coalesce(close / nullif(pre_close, 0), 1) AS f, coalesce(lead(pre_close) OVER (PARTITION BY code ORDER BY date) / nullif(lead(close) OVER (PARTITION BY code ORDER BY date), 0), 1) AS r FROM raw),
 bars AS (SELECT *, first_value(close) OVER u * product(f) OVER u / first_value(f) OVER u AS adj,
   last_value(close) OVER a * product(r) OVER d AS adj_front FROM w1
   WINDOW u AS (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING), d AS (PARTITION BY code ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),

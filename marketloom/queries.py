@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions.stats import spearman_by, xs_rank, xs_zscore
+from marketloom.functions.stats import by_code, xs_rank, xs_zscore
 from marketloom.operators import backtest, crosssec, factors, hotspot, market
 from marketloom.plans.bars import SQL as BARS
 from marketloom.plans.bars import adjust, panel, raw_bars, table
@@ -135,7 +135,7 @@ def adj_front(s, d):
 
 @query(bars_sql("SELECT code, date, round(ret, 6) AS adj_ret FROM p WHERE round(abs(ret - (close / (SELECT r.close FROM raw r WHERE r.code = p.code AND r.date < p.date ORDER BY r.date DESC LIMIT 1) - 1)), 9) > 0.02"))
 def adjust_jump_warn(s, d):
-    raw = F.col("close") / F.lag("close").over(factors.BY_CODE) - 1
+    raw = F.col("close") / F.lag("close").over(by_code()) - 1
     p = panel(s, d).withColumn("raw", raw).where(F.round(F.abs(F.col("ret") - F.col("raw")), 9) > 0.02)
     return r6(p.select("code", "date", F.col("ret").alias("adj_ret")))
 
@@ -418,7 +418,7 @@ def factor_health(s, d):
 
 
 @query(f"""WITH {BARS}{FL}, {_long(_SOME)}, a AS (SELECT date, code, factor_name, industry, value - avg(value) OVER w AS y, ln(mv) - avg(ln(mv)) OVER w AS x FROM fl WHERE value IS NOT NULL WINDOW w AS (PARTITION BY date, factor_name, industry)),
-  b AS (SELECT *, y - coalesce(sum(x * y) OVER w / nullif(sum(x * x) OVER w, 0), 0) * x AS res FROM a WINDOW w AS (PARTITION BY date, factor_name))
+  b AS (SELECT *, round(y - coalesce(sum(x * y) OVER w / nullif(sum(x * x) OVER w, 0), 0) * x, 9) AS res FROM a WINDOW w AS (PARTITION BY date, factor_name))
   SELECT date, code, factor_name, round(coalesce((res - avg(res) OVER w) / nullif(stddev_pop(res) OVER w, 0), 0), 4) AS value FROM b WHERE date >= DATE '1994-01-01' WINDOW w AS (PARTITION BY date, factor_name)""")
 def neutralize(s, d):
     p = panel(s, d)
@@ -446,7 +446,7 @@ def market_temperature(s, d):
 
 
 def _scores(p):
-    return p.select("date", "code", (F.col("adj") / F.lag("adj", 5).over(factors.BY_CODE) - 1).alias("score"), (F.col("close") >= F.col("pre_close") * 1.5).alias("at_limit"))
+    return p.select("date", "code", (F.col("adj") / F.lag("adj", 5).over(by_code()) - 1).alias("score"), (F.col("close") >= F.col("pre_close") * 1.5).alias("at_limit"))
 
 
 _TOP = "sc AS (SELECT date, code, fwd, adj / lag(adj, 5) OVER (PARTITION BY code ORDER BY date) - 1 AS score, coalesce(close >= pre_close * 1.5, false) AS lim FROM p), sr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS hi, row_number() OVER (PARTITION BY date ORDER BY score, code) AS lo, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM sc WHERE score IS NOT NULL)"
