@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import read, shared_dir
@@ -66,8 +66,8 @@ class RankMap:
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
                     pairs[a * NONE + b] = rank
-        self.places = next(n for n in range(2 * len(pairs) + 1, 1 << 40) if n % 2 and all(n % q for q in range(3, int(n**0.5) + 1, 2)))
-        self.groups = max(1, len(pairs) // 3)
+        self.places = next(n for n in range(len(pairs) * 3 // 2 + 1, 1 << 40) if n % 2 and all(n % q for q in range(3, int(n**0.5) + 1, 2)))
+        self.groups = max(1, len(pairs) // 4)
         by: list[list[int]] = [[] for _ in range(self.groups)]
         for key in pairs:
             by[key % self.groups].append(key)
@@ -154,11 +154,13 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                 words = pc.unique(part.column("pieces").flatten())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), words], names=["chunk", "word"])
 
-    words = rows.select("chunk", pieces.alias("pieces")).mapInArrow(distinct, "chunk long, word string").repartition("word")
-    table = RankMap(ranks)
-    vocabulary = words.groupBy("word").agg(F.min("chunk").alias("chunk"))  # reads chunk too, so that both sides of the join share one exchange
-    vocabulary = vocabulary.select("word", F.transform(table.encode(F.col("word")), lambda x: x.cast("int")).alias("ids"))
-    words.join(vocabulary, "word").repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(f"{folder}/words")
+    words = rows.select("chunk", pieces.alias("pieces")).mapInArrow(distinct, "chunk long, word string")
+    # A piece of many chunks is encoded in its first row only, and the others of its group take that over.
+    group, table = Window.partitionBy("word").orderBy("chunk"), RankMap(ranks)
+    coded = F.transform(table.encode(F.col("word")), lambda x: x.cast("int"))
+    words = words.withColumn("place", F.row_number().over(group)).withColumn("own", F.when(F.col("place") == 1, coded))
+    words = words.select("chunk", "word", F.first("own", ignorenulls=True).over(group).alias("ids"))
+    words.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(f"{folder}/words")
     by_rank = {r: p for p, r in ranks.items()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
