@@ -84,22 +84,26 @@ class RankMap:
         # Tokens that merging alone doesn't reach: a piece that is one is encoded as it.
         self.whole = {p.hex(): r for p, r in ranks.items() if merge_bytes(p, ranks) != [r]}
 
-    def rank(self, a: Column, b: Column) -> Column:
+    def rank(self, maps: Column, a: Column, b: Column) -> Column:
         """The rank of a pair of ids, which is the id of the merged token; NONE if there is no such token."""
         key = a * NONE + b
-        place = key * F.get(self.multipliers, (key % self.groups).cast("int")) % self.places
-        return F.least(F.pmod(F.get(self.table, place.cast("int")) - key * NONE, F.lit(_HIGH)), F.lit(NONE))
+        place = key * F.get(maps["multipliers"], (key % self.groups).cast("int")) % self.places
+        return F.least(F.pmod(F.get(maps["table"], place.cast("int")) - key * NONE, F.lit(_HIGH)), F.lit(NONE))
 
     def encode(self, piece: Column) -> Column:
         """array<bigint> of the ids of a string column of non-empty pieces."""
+        maps = F.struct(self.table.alias("table"), self.multipliers.alias("multipliers"), self.bytes.alias("bytes"))
+        return F.get(F.transform(F.array(maps), lambda m: self._encode(piece, m)), F.lit(0))  # so each literal is in the plan once
+
+    def _encode(self, piece: Column, maps: Column) -> Column:
         latin = F.decode(F.encode(piece, "utf-8"), "ISO-8859-1")  # one character for each byte
         size = F.length(latin)
-        first = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(self.bytes, F.ascii(F.substring(latin, i, 1))))
+        first = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(maps["bytes"], F.ascii(F.substring(latin, i, 1))))
 
         # One number for each token: the rank of the pair it begins, and its id in the low bits.
         own = lambda x: x.bitwiseAND(NONE - 1)
         packed = lambda rank, i: F.shiftleft(F.coalesce(rank, F.lit(NONE)), 16) + i
-        pack = lambda ids: F.transform(ids, lambda x, i: packed(self.rank(x, F.get(ids, i + 1)), x))
+        pack = lambda ids: F.transform(ids, lambda x, i: packed(self.rank(maps, x, F.get(ids, i + 1)), x))
 
         def merge(acc: Column, _: Column) -> Column:
             # Least rank and, on ties, leftmost place in one number; the pair's rank is the id of what it becomes.
@@ -110,8 +114,8 @@ class RankMap:
                 merged = F.transform(
                     acc,
                     lambda x, i: F.when((i < p - 1) | (i > p + 1), x)
-                    .when(i == p, packed(self.rank(new, own(F.get(acc, p + 2))), new))
-                    .when(i < p, packed(self.rank(own(x), new), own(x))),  # null at p + 1
+                    .when(i == p, packed(self.rank(maps, new, own(F.get(acc, p + 2))), new))
+                    .when(i < p, packed(self.rank(maps, own(x), new), own(x))),  # null at p + 1
                 )
                 return F.when(new >= NONE, acc).otherwise(F.filter(merged, lambda x: x.isNotNull()))
 
