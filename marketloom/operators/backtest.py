@@ -62,6 +62,19 @@ def metrics(returns: DataFrame, x: str = "net", days: int = 252) -> DataFrame:
     return out.where("n >= 5")
 
 
+def drawdown(returns: DataFrame, x: str = "net") -> DataFrame:
+    """date, drawdown of the compounded returns from their highest so far."""
+    up = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row for each date
+    d = returns.select("date", F.product(1 + F.col(x)).over(up).alias("_eq"))
+    return d.select("date", (F.col("_eq") / F.max("_eq").over(up) - 1).alias("drawdown"))
+
+
+def trade_costs(trades: DataFrame, commission: float = 0.0003, least: float = 5.0, stamp: float = 0.0005, slippage_bp: float = 4.0) -> DataFrame:
+    """Adds commission (with a floor), stamp duty and slippage of each trade's amount."""
+    a = F.col("amount")
+    return trades.withColumns({"commission": F.greatest(a * commission, F.lit(least)), "stamp": a * stamp, "slippage": a * slippage_bp / 1e4})
+
+
 def deflated_sharpe(returns: DataFrame, x: str = "net", days: int = 252) -> DataFrame:
     """One row, deflated_sharpe: the probability that the annual Sharpe ratio, corrected for skew and kurtosis, is real."""
     m = F.col(x)

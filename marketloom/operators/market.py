@@ -93,6 +93,18 @@ def gsisi(panel: DataFrame, weeks: int = 8, least_obs: int = 60) -> DataFrame:
     return ic.orderBy(F.desc("week")).limit(weeks).agg(F.avg("ic").alias("gsisi"))
 
 
+def money_dimension(flows: DataFrame, cols: list[str]) -> DataFrame:
+    """date, money_dim: the mean over columns of the z-score against the history up to each date."""
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row for each date
+    z = [(F.col(c) - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + 1e-9) for c in cols]
+    return flows.select("date", (sum(z, F.lit(0.0)) / len(cols)).alias("money_dim"))
+
+
+def risk_premium(pe: DataFrame, bond: DataFrame) -> DataFrame:
+    """date, premium: earnings yield less bond yield, on dates that have both."""
+    return pe.join(bond, "date").select("date", (1 / F.nullif(F.col("pe"), F.lit(0.0)) - F.col("yield_10y")).alias("premium"))
+
+
 def as_of(probe: DataFrame, data: DataFrame, value: str, on: str = "date") -> DataFrame:
     """probe with the latest `value` of data strictly before `on`: a union and one running window, no theta join."""
     rows = probe.select(on, F.lit(0).alias("_kind"), F.lit(None).cast(data.schema[value].dataType).alias("_v")).unionByName(data.select(on, F.lit(1).alias("_kind"), F.col(value).alias("_v")))

@@ -8,11 +8,11 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.stats import by_code, xs_rank, xs_zscore
-from marketloom.operators import backtest, crosssec, factors, hotspot, market
+from marketloom.operators import backtest, crosssec, factors, hotspot, market, models
 from marketloom.plans.bars import SQL as BARS
 from marketloom.plans.bars import adjust, panel, raw_bars, table
 from marketloom.sources import tables
@@ -533,6 +533,95 @@ def bt_timing(s, d):
     return r6(backtest.simulate(w, p))
 
 
+# Votes, blends, briefs, alerts and further backtests
+
+
+@query(f"WITH {BARS}, {_BASE}, v AS (SELECT date, code, sum(sign(ret_pred) * w) / sum(w) AS raw FROM (SELECT *, CASE horizon WHEN 1 THEN 0.25 WHEN 5 THEN 0.1 ELSE 0 END AS w FROM pr WHERE ret_pred IS NOT NULL) WHERE w > 0 GROUP BY 1, 2) SELECT date, code, round(coalesce((raw - avg(raw) OVER x) / nullif(stddev_pop(raw) OVER x, 0), 0), 6) AS vote FROM v WINDOW x AS (PARTITION BY date)")
+def predict_vote(s, d):
+    w = F.when(F.col("horizon") == 1, 0.25).when(F.col("horizon") == 5, 0.1).otherwise(0.0)
+    v = crosssec.baseline(panel(s, d)).where("ret_pred IS NOT NULL").select("date", "code", F.signum("ret_pred").alias("dir"), w.alias("weight"))
+    return r6(models.predict_vote(v))
+
+
+@query()
+def hotspot_blend(s, d):
+    e = table(s, d, "events").select(F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("code"), "value")
+    hot = e.groupBy("code").agg(((F.avg("value") - 50) / 50).alias("score"))
+    return r6(models.blend_hotspots(factors.sentiment_score(panel(s, d)), hot))
+
+
+@query()
+def brief_counts(s, d):
+    return crosssec.fuse(panel(s, d)).groupBy("date").agg(*[F.count_if(F.col("direction") == k).alias(n) for k, n in ((1, "up"), (-1, "down"), (0, "flat"))])
+
+
+@query()
+def signal_detail(s, d):
+    p = panel(s, d)
+    f = factors.factor_long(p).where("value IS NOT NULL")
+    top = tables.latest(f).groupBy("code").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.abs("value").alias("size"), "factor_name", "value")), asc=False), 1, 10).alias("factors"))
+    return tables.latest(crosssec.fuse(p)).select("code", "direction", "confidence").join(top, "code", "left")
+
+
+@query(f"WITH {BARS}, {_TOPW}, {_SIM}, eq AS (SELECT date, product(1 + net) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM sm) SELECT date, round(e / max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM eq")
+def max_drawdown(s, d):
+    p = panel(s, d)
+    return r6(backtest.drawdown(backtest.simulate(backtest.top_k_long(_scores(p)), p)))
+
+
+@query("WITH m AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS date, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END) AS a, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END) AS b FROM orders GROUP BY 1) SELECT date, round(((a - avg(a) OVER w) / (stddev_samp(a) OVER w + 1e-9) + (b - avg(b) OVER w) / (stddev_samp(b) OVER w + 1e-9)) / 2, 5) AS money_dim FROM m WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)")
+def ms_money(s, d):
+    week = F.to_date(F.date_trunc("week", "o_orderdate")).alias("date")
+    o = table(s, d, "orders").groupBy(week).agg(F.sum(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")).otherwise(0.0)).alias("b"))
+    return market.money_dimension(o, ["a", "b"]).select("date", F.round("money_dim", 5).alias("money_dim"))
+
+
+@query("WITH o AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS date, avg(o_totalprice) / 1000 AS pe FROM orders GROUP BY 1), b AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, avg(l_tax) AS y FROM lineitem GROUP BY 1) SELECT date, round(1 / pe - y, 6) AS premium FROM o JOIN b USING (date)")
+def ms_riskpremium(s, d):
+    week = lambda c: F.to_date(F.date_trunc("week", c)).alias("date")
+    pe = table(s, d, "orders").groupBy(week("o_orderdate")).agg((F.avg("o_totalprice") / 1000).alias("pe"))
+    bond = table(s, d, "lineitem").groupBy(week("l_shipdate")).agg(F.avg("l_tax").alias("yield_10y"))
+    return r6(market.risk_premium(pe, bond))
+
+
+@query(f"WITH {BARS}, {_TWO}, g AS (SELECT count(*) AS n FROM a JOIN b USING (code, date) WHERE round(abs(a.close - b.close) / a.close, 9) > 0.03), f AS (SELECT CAST(DATE '2002-01-01' - max(date) AS INTEGER) AS age FROM raw) SELECT age AS age_days, n AS divergences, CASE WHEN age > 3 THEN 'stale' WHEN n > 50 THEN 'diverging' ELSE 'ok' END AS level FROM g, f")
+def alerts(s, d):
+    n = tables.divergence(*_two(s, d)).agg(F.count("*").alias("divergences"))
+    age = raw_bars(s, d).agg(F.datediff(F.lit("2002-01-01").cast("date"), F.max("date")).alias("age_days"))
+    level = F.when(F.col("age_days") > 3, "stale").when(F.col("divergences") > 50, "diverging").otherwise("ok")
+    return age.join(n, F.lit(True)).withColumn("level", level)  # one row each
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 0.0003 + greatest(5 - o_totalprice * 0.0003, 0), 7) AS commission, round(o_totalprice * 0.0005, 7) AS stamp, round(o_totalprice * 4 / 1e4, 7) AS slippage FROM orders")
+def cost_apply(s, d):
+    o = backtest.trade_costs(table(s, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount")))
+    return o.select("o_orderkey", *[F.round(c, 7).alias(c) for c in ("commission", "stamp", "slippage")])
+
+
+@query()
+def bt_tech_ls(s, d):
+    p = panel(s, d)
+    return r6(backtest.simulate(backtest.long_short(factors.tech_score(p).withColumnRenamed("tech_score", "score")), p))
+
+
+@query()
+def bt_factor_full(s, d):
+    p = panel(s, d)
+    f = factors.factor_long(p, _SOME).where("value IS NOT NULL")
+    w = crosssec.daily_ic(p, f).groupBy("factor_name").agg(F.avg("ic").alias("w"))
+    z = f.withColumn("z", crosssec.directions()[F.col("factor_name")] * xs_zscore("value", Window.partitionBy("date", "factor_name"))).join(w, "factor_name")
+    alpha = z.groupBy("date", "code").agg(F.sum(F.col("z") * F.col("w")).alias("score")).withColumn("at_limit", F.lit(False))
+    return r6(backtest.simulate(backtest.top_k_long(alpha), p))
+
+
+@query()
+def ml_committee(s, d):
+    p = panel(s, d)
+    label = crosssec.labels(p, (1,)).where("label IS NOT NULL").select("date", "code", "label")
+    names = ["roc_5", "ma_5", "std_5", "rsi_10", "pos_5", "vrat_5", "arat_5"]
+    return models.committee(factors.alpha_features(p), label, names)
+
+
 # Texts and events
 
 
