@@ -332,9 +332,14 @@ def sent_components(s, d):
     return r6(factors.sentiment_components(panel(s, d)))
 
 
-@query()
+_SENT = f"""sm AS (SELECT date, avg(ret) AS mkt FROM p GROUP BY 1), s0 AS (SELECT p.*, coalesce(ret, 0) AS ret0, coalesce(ret, 0) - coalesce(mkt, 0) AS ex, CASE WHEN pre_close IS NULL THEN NULL WHEN close >= pre_close * 1.095 THEN 1.0 ELSE 0.0 END AS lim, (high - low) / adj AS amp FROM p JOIN sm USING (date)),
+  s1 AS (SELECT date, code, coalesce(vol / ({factors._r('avg', 'vol', 20)}) - 1, 0) AS a1, coalesce({factors._r('avg', 'amp', 20)}, 0) AS a2, coalesce({factors._r('avg', 'lim', 20)}, 0) AS a3, {_RANK.format(by='date', x='ret0')} AS a4, coalesce({factors._r('sum', 'ex', 20)}, 0) AS a5 FROM s0),
+  se AS (SELECT date, code, least(greatest({' + '.join(f"({w}) * coalesce((a{i} - avg(a{i}) OVER x) / nullif(stddev_pop(a{i}) OVER x, 0), 0)" for i, w in enumerate(factors.SENTIMENT_WEIGHTS.values(), 1))}, -1), 1) AS sentiment FROM s1 WINDOW x AS (PARTITION BY date))"""
+
+
+@query(f"WITH {BARS}, {_SENT} SELECT date, code, round(sentiment, 5) AS sentiment_score FROM se")
 def sent_score(s, d):
-    return r6(factors.sentiment_score(panel(s, d)))
+    return factors.sentiment_score(panel(s, d)).select("date", "code", F.round("sentiment_score", 5).alias("sentiment_score"))
 
 
 @query(bars_sql(f"SELECT date, code, round({_RANK.format(by='date', x='vol')}, 6) AS rk FROM p"))
@@ -426,8 +431,26 @@ def neutralize(s, d):
     return out.where(F.col("date") >= F.lit("1994-01-01").cast("date")).withColumn("value", F.round("value", 4))
 
 
-@query()
+_TECH = f"""t0 AS (SELECT date, code, adj, {factors._r('avg', 'adj', 5)} AS ma5, {factors._r('avg', 'adj', 20)} AS ma20, {factors.FACTORS['f_rsi_14'].sql} AS rsi, {factors._r('max', 'adj', 60)} AS top FROM c),
+  te AS (SELECT date, code, least(greatest(0.5 * least(greatest((ma5 / ma20 - 1) / 0.05, -1), 1) + 0.3 * least(greatest((rsi - 50) / 30, -1), 1) + 0.2 * least(greatest((adj / top - 1) / 0.10, -1), 1), -1), 1) AS tech FROM t0 WHERE top IS NOT NULL)"""
+_FUSE = f"""{_long(list(factors.FACTORS))}, fz AS (SELECT date, code, factor_name, coalesce((value - avg(value) OVER x) / nullif(stddev_pop(value) OVER x, 0), 0) AS z FROM fl WHERE value IS NOT NULL WINDOW x AS (PARTITION BY date, factor_name)),
+  fs(factor_name, w, b) AS (VALUES {', '.join(f"('{n}', {f.weight}, {f.direction * f.weight})" for n, f in factors.FACTORS.items())}), fa AS (SELECT date, code, sum(z * b) / sum(w) AS factor FROM fz JOIN fs USING (factor_name) GROUP BY 1, 2),
+  pv AS (SELECT date, code, sign(mom) AS vote FROM b0 WHERE mom IS NOT NULL), pz AS (SELECT date, code, coalesce((vote - avg(vote) OVER x) / nullif(stddev_pop(vote) OVER x, 0), 0) AS predict FROM pv WINDOW x AS (PARTITION BY date)),
+  fu AS (SELECT date, code, 0.40 * coalesce(factor, 0) AS f1, 0.20 * coalesce(tech, 0) AS f2, 0.15 * coalesce(sentiment, 0) AS f3, 0.25 * coalesce(predict, 0) AS f4 FROM p LEFT JOIN fa USING (date, code) LEFT JOIN te USING (date, code) LEFT JOIN se USING (date, code) LEFT JOIN pz USING (date, code))"""
+
+
+@query(f"WITH {BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_FUSE} SELECT date, code, round(f1 + f2 + f3 + f4, 6) AS total, CAST(CASE WHEN round(f1 + f2 + f3 + f4, 6) > 0.05 THEN 1 WHEN round(f1 + f2 + f3 + f4, 6) < -0.05 THEN -1 ELSE 0 END AS INTEGER) AS direction FROM fu")
 def fusion_signals(s, d):
+    return crosssec.fuse(panel(s, d)).select("date", "code", "total", "direction")
+
+
+@query(f"WITH {BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_FUSE}, g AS (SELECT date, round(f1 + f2 + f3 + f4, 6) AS total FROM fu) SELECT date, count(*) FILTER (total > 0.05) AS up, count(*) FILTER (total < -0.05) AS down, count(*) FILTER (abs(total) <= 0.05) AS flat FROM g GROUP BY 1")
+def brief_counts(s, d):
+    return crosssec.fuse(panel(s, d)).groupBy("date").agg(*[F.count_if(F.col("direction") == k).alias(n) for k, n in ((1, "up"), (-1, "down"), (0, "flat"))])
+
+
+@query()
+def fusion_detail(s, d):
     return crosssec.fuse(panel(s, d))
 
 
@@ -550,11 +573,6 @@ def hotspot_blend(s, d):
     return r6(models.blend_hotspots(factors.sentiment_score(panel(s, d)), hot))
 
 
-@query()
-def brief_counts(s, d):
-    return crosssec.fuse(panel(s, d)).groupBy("date").agg(*[F.count_if(F.col("direction") == k).alias(n) for k, n in ((1, "up"), (-1, "down"), (0, "flat"))])
-
-
 @query()
 def signal_detail(s, d):
     p = panel(s, d)
