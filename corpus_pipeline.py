@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.byte_bpe import encode_texts, load_ranks
-from marketloom.llm.common import row_key, shared_dir
-from marketloom.llm.line_dedup import dedup_lines
+from marketloom.llm.common import cut, row_key, shared_dir
+from marketloom.llm.line_dedup import dedup_lines, dedup_passages
 from marketloom.llm.ngram_join import ngram_jaccard_join
 from marketloom.llm.source_mixing import mix_sources
 from marketloom.llm.toxicity import held_out, learn_lexicon, toxicity_column
@@ -33,10 +33,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 over five-word shingles stays, that with the smallest id."""
+    """One document of each group linked by a similarity of 0.8 over five-word shingles stays, that with the smallest id.
+
+    Passages of more than 50 words that occur before in those that stay go, as repeated lines do.
+    """
     kept = ngram_jaccard_join(docs, n=5, percent=80).where("kept").select(F.col("row_key").alias("_key")).distinct()
     out = docs.withColumn("_key", row_key("doc_id", "text")).join(kept, "_key", "left_semi")
-    return out.dropDuplicates(["_key"]).select(docs.columns)  # repeated rows have one key
+    out = cut(out.dropDuplicates(["_key"]).select(docs.columns))  # repeated rows have one key
+    out = dedup_passages(out).where("n_removed = 0 OR n_removed < n_words")
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

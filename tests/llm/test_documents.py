@@ -115,6 +115,31 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_passage_dedup(spark, docs, none, rows):
+    rng = random.Random(11)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, under = word(51), word(50)
+    extra = [(100, f"{word(5)} {shared} {word(5)}"), (101, f"{word(7)}\n{shared.upper().replace(' ', chr(10), 1)} {word(3)}"), (102, f"{under} {word(9)}"), (103, f"{word(4)} {under}")]
+    extra += [(104, "\n " + shared + "  tail"), (105, shared), (None, f"x {shared} y")]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    out = line_dedup.dedup_passages(more.withColumn("n_words", F.lit("old")).withColumn("starts", F.lit(0))).collect()
+    everything = [(r[0], r[1]) for r in rows] + extra
+    unique = sorted({(i is None, i or 0, hashlib.md5(f"{'-' if i is None else i}:{t or ''}".encode()).digest(), t or "") for i, t in everything})
+    seen, kept = set(), {}
+    for no_id, i, key, text in unique:
+        at = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+        ws, gone = [m[0].lower() for m in at], set()
+        for p in range(len(ws) - 50):
+            w = tuple(ws[p : p + 51])
+            gone |= set(range(p, p + 51)) if w in seen else set()
+            seen.add(w)
+        ends = [m.start() for m in at][1:] + [len(text)]
+        kept[(None if no_id else i, text)] = (text[: at[0].start()] if at else text) + "".join(text[m.start() : e] for p, (m, e) in enumerate(zip(at, ends)) if p not in gone), len(ws), len(gone)
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in out) == Counter((i, *kept[(i, t or "")]) for i, t in everything)
+    got = {r.doc_id: r.n_removed for r in out}
+    assert [got[i] for i in (100, 101, 102, 103, 104, 105)] == [0, 51, 0, 0, 51, 51] and line_dedup.dedup_passages(none).count() == 0
+
+
 def test_secrets():
     def github(body):
         n, out = zlib.crc32(body.encode()), ""
