@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import read, row_key
+from marketloom.llm.common import cut, read, row_key
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
@@ -174,7 +174,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_passages(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text"))
+    lines = cut(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text"))  # read three times
+    out = dedup_passages(lines)
     return out.select("doc_id", "n_words", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

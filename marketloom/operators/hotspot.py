@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Where the six blocks of a fingerprint start and end.
+_CUTS = (0, 11, 22, 33, 44, 54, 64)
+
 
 def dedup_exact(df: DataFrame, text: str, order: tuple[str, ...]) -> DataFrame:
     """The first row of each text. Only keys and order columns are aggregated, with partial sums, so hot texts are safe."""
@@ -14,28 +25,45 @@ def dedup_exact(df: DataFrame, text: str, order: tuple[str, ...]) -> DataFrame:
     return out.where(F.struct(*order) == F.col("_f")).drop("_h", "_k", "_f")
 
 
-def simhash(text: Column) -> Column:
-    """64-bit SimHash of the character pairs of a text without white space, as a signed long; null for texts under two characters."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(clean) - 1), lambda i: F.md5(F.substring(clean, i, 2)))
-    # Votes of each of 64 places over all pairs, 16 places at a time.
-    words = lambda i: F.transform(pairs, lambda h: F.conv(F.substring(h, i * 4 + 1, 4), 16, 10).cast("int"))
+_SPACE = re.compile(r"[ \t-\r]+")
 
-    def word(i: int) -> Column:
-        votes = lambda b: F.aggregate(words(i), F.lit(0), lambda s, x: s + F.when(x.bitwiseAND(1 << b) != 0, 1).otherwise(-1))
-        return sum((F.when(votes(b) > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(16)), F.lit(0)).cast("long")
 
-    out = word(0)
-    for i in range(1, 4):
-        out = F.shiftleft(out, 16).bitwiseOR(word(i))
-    return F.when(F.length(clean) >= 2, out)
+def simhash(text: Column) -> Column:
+    """64-bit SimHash of the character pairs of a text without white space, as a signed long; null for texts under two characters.
+
+    In Arrow batches: each distinct pair is hashed once in a task and its votes count as often as it occurs.
+    """
+
+    @F.pandas_udf("long")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits: dict[int, np.ndarray] = {}
+        for s in batches:
+            out: list[int | None] = []
+            for t in s:
+                c = np.frombuffer(_SPACE.sub("", t).encode("utf-32-le"), "<u4").astype(np.int64)
+                if len(c) < 2:
+                    out.append(None)
+                    continue
+                pairs, n = np.unique(c[:-1] << 32 | c[1:], return_counts=True)
+                for p in pairs.tolist():
+                    if p not in bits:
+                        h = hashlib.md5((chr(p >> 32) + chr(p & 0xFFFFFFFF)).encode()).digest()[:8]
+                        bits[p] = np.unpackbits(np.frombuffer(h, np.uint8)).astype(np.int64) * 2 - 1
+                votes = n @ np.stack([bits[p] for p in pairs.tolist()])
+                out.append(int(np.packbits(votes > 0).view(">i8")[0]))
+            yield pd.Series(out, dtype="Int64")
+
+    return prints(F.coalesce(text, F.lit("")))
 
 
 def near_pairs(df: DataFrame, key: str, print_col: str, distance: int = 3) -> DataFrame:
     """(a, b) with a < b whose fingerprints differ in at most `distance` <= 3 bits. By the pigeonhole principle such a
-    pair agrees in one of four bands of 16 bits; equal fingerprints meet only through their first row."""
+    pair agrees in three of six blocks of 10 or 11 bits, so it meets by one of 20 keys of 30 bits or more; equal
+    fingerprints meet only through their first row."""
     firsts = df.where(F.col(print_col).isNotNull()).groupBy(print_col).agg(F.min(key).alias("_k"))
-    bands = firsts.select(F.col("_k").alias("k"), F.col(print_col).alias("p"), F.posexplode(F.array(*[F.shiftrightunsigned(print_col, 16 * i).bitwiseAND(0xFFFF) for i in range(4)])).alias("band", "v"))
+    p = F.col(print_col)
+    masks = F.array(*[F.lit(sum(((1 << _CUTS[i + 1]) - (1 << _CUTS[i])) for i in c) - ((1 << 64) if 5 in c else 0)).cast("long") for c in combinations(range(6), 3)])
+    bands = firsts.select("_k", p, F.posexplode(F.transform(masks, lambda m: p.bitwiseAND(m))).alias("band", "v")).withColumnsRenamed({"_k": "k", print_col: "p"})
     a, b = bands.alias("a"), bands.alias("b")
     near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.k") < F.col("b.k")) & (F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) <= distance))
     pairs = near.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
@@ -43,6 +71,33 @@ def near_pairs(df: DataFrame, key: str, print_col: str, distance: int = 3) -> Da
     return pairs.unionByName(same)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through a checkpoint in the session's shared folder; a temporary one only where it names none."""
+    s = df.sparkSession
+    if not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketloom-"))
+    return df.checkpoint(eager=True)
+
+
+def dedup_near(df: DataFrame, key: str, print_col: str, distance: int = 3) -> DataFrame:
+    """The rows kept by comparing each, in order of `key`, with those kept before it; rows without a fingerprint stay.
+
+    Rounds of joins: a row whose smaller partners are all gone is kept, and its larger partners go. `key` is unique and not null. Rounds are as many as
+    the longest chain of decisions; none is left undecided. Rows with an equal fingerprint share the fate of their first.
+    """
+    firsts = df.where(F.col(print_col).isNotNull()).groupBy(print_col).agg(F.min(key).alias("_k"))
+    edges = _cut(near_pairs(firsts.withColumnRenamed("_k", key), key, print_col, distance))
+    gone = None
+    while not edges.isEmpty():
+        heads = edges.select(F.col("a").alias("n")).distinct().join(edges.select(F.col("b").alias("n")).distinct(), "n", "left_anti")
+        out = _cut(edges.join(heads, F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("n")).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        edges = edges.join(out, F.col("a") == F.col("n"), "left_anti").join(out, F.col("b") == F.col("n"), "left_anti")
+        edges = _cut(edges)
+    kept = firsts if gone is None else firsts.join(gone, F.col("_k") == F.col("n"), "left_anti")
+    return df.where(F.col(print_col).isNull()).unionByName(df.join(kept.select(F.col("_k").alias(key)), key, "left_semi").select(df.columns))
+
+
 def parse_signal(raw: Column) -> Column:
     """A struct (sentiment, score, codes) of a JSON text: unknown sentiments neutral, scores within [-1, 1], codes a list."""
     j = F.from_json(raw, "sentiment string, score double, codes array<string>")

@@ -650,14 +650,12 @@ def dedup_exact(s, d):
 
 @query()
 def simhash(s, d):
-    return table(s, d, "benchmark").select("item_id", hotspot.simhash(F.col("text")).alias("print"))
+    return table(s, d, "documents").select("doc_id", hotspot.simhash(F.col("text")).alias("print"))
 
 
 @query()
 def dedup_near(s, d):
-    b = table(s, d, "benchmark").select("item_id", hotspot.simhash(F.col("text")).alias("print"))
-    pairs = hotspot.near_pairs(b, "item_id", "print")
-    return b.join(pairs.select(F.col("b").alias("item_id")).distinct(), "item_id", "left_anti")
+    return hotspot.dedup_near(simhash(s, d), "doc_id", "print")
 
 
 @query("SELECT CAST(ts AS DATE) AS date, count(*) AS n, count(*) FILTER (value > 50) AS positive, count(*) FILTER (value < 50) AS negative, count(*) FILTER (value = 50) AS neutral, round(avg(value - 50), 6) AS avg_score FROM events GROUP BY 1")

@@ -132,6 +132,28 @@ def test_simhash_and_near_pairs(spark):
     assert {(r.a, r.b) for r in hotspot.near_pairs(df, "k", "p").collect()} <= near | {(0, 5)} and (0, 5) in near
 
 
+def test_dedup_near_is_greedy(spark):
+    rng = np.random.default_rng(4)
+    prints = [0, 0b111, 0b111111, 0b111111111, None, 0b111, -1, None]  # a chain: 1 goes by 0, 2 stays, 3 goes by 2
+    for base in rng.integers(-(2**63), 2**63, 12).tolist():
+        for _ in range(20):
+            x = base & (2**64 - 1)
+            for b in rng.integers(0, 64, rng.integers(0, 6)).tolist():
+                x ^= 1 << b
+            prints.append(x - (1 << 64) if x >> 63 else x)
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3
+    kept = []
+    for k, p in enumerate(prints):
+        if p is None or not any(prints[j] is not None and near(p, prints[j]) for j in kept):
+            kept.append(k)
+    df = spark.createDataFrame(list(enumerate(prints)), "k long, p long")
+    assert sorted(r.k for r in hotspot.dedup_near(df, "k", "p").collect()) == kept and 2 in kept and 3 not in kept
+    pairs = {(r.a, r.b) for r in hotspot.near_pairs(df, "k", "p").collect()}
+    firsts = {p: k for k, p in reversed(list(enumerate(prints)))}
+    assert pairs >= {(a, b) for a, x in enumerate(prints) for b, y in enumerate(prints) if a < b and None not in (x, y) and x != y and firsts[x] == a and firsts[y] == b and near(x, y)}
+    assert set(QUERIES["dedup_near"](spark, SF).columns) == {"doc_id", "print"}
+
+
 def test_upsert_and_partitions(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "k int, date string, v int")
     new = spark.createDataFrame([(2, "a", 3), (3, "b", 4)], "k int, date string, v int")
