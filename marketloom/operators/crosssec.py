@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.stats import by_code, clip, lead, roll, sigmoid, spearman_by, xs_rank, xs_zscore
-from marketloom.operators.factors import FACTORS, factor_long, sentiment_score, tech_score
+from marketloom.operators.factors import FACTORS, SENTIMENT_WEIGHTS, factor_long, sentiment_score, tech_score
 
 
 def directions() -> Column:
@@ -101,7 +101,7 @@ def ic_gate(pred: DataFrame, label: DataFrame) -> DataFrame:
 FUSION_WEIGHTS = {"factor": 0.40, "tech": 0.20, "sentiment": 0.15, "predict": 0.25}
 
 
-def fuse(panel: DataFrame, dead_zone: float = 0.05) -> DataFrame:
+def fuse(panel: DataFrame, dead_zone: float = 0.05, sentiment: dict[str, float] = SENTIMENT_WEIGHTS) -> DataFrame:
     """date, code, total, direction, confidence, tags and contributions: factors, technical score, sentiment and prediction."""
     z = factor_long(panel).where("value IS NOT NULL")
     day = Window.partitionBy("date", "factor_name")
@@ -110,7 +110,7 @@ def fuse(panel: DataFrame, dead_zone: float = 0.05) -> DataFrame:
     z = z.withColumn("z", xs_zscore("value", day))
     factor = z.groupBy("date", "code").agg((F.sum(F.col("z") * bet[F.col("factor_name")]) / F.sum(wgt[F.col("factor_name")])).alias("factor"))
     tech = tech_score(panel).withColumnRenamed("tech_score", "tech")
-    mood = sentiment_score(panel).withColumnRenamed("sentiment_score", "sentiment")
+    mood = sentiment_score(panel, sentiment).withColumnRenamed("sentiment_score", "sentiment")
     pred = baseline(panel, (1,)).where("ret_pred IS NOT NULL").select("date", "code", F.signum("ret_pred").alias("vote"))
     pred = pred.select("date", "code", xs_zscore("vote").alias("predict"))
     d = factor.join(tech, ["date", "code"], "full").join(mood, ["date", "code"], "full").join(pred, ["date", "code"], "full")

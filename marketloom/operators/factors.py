@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,9 +106,15 @@ def tech_score(panel: DataFrame) -> DataFrame:
 
 SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.2, "amplitude": -0.15, "limit_up_rate": 0.2, "breadth_rank": 0.25, "relative_strength": 0.2}
 
+#: All six components with the reference's own weights (factors/sentiment.py).
+FULL_SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.3, "amplitude": 0.15, "limit_up_rate": 0.15, "return_skew": 0.2, "breadth_rank": 0.1, "relative_strength": 0.1}
 
-def sentiment_components(panel: DataFrame, n: int = 20) -> DataFrame:
-    """Price-volume sentiment of each code and date: the components, missing ones 0."""
+
+def sentiment_components(panel: DataFrame, n: int = 20, names: Iterable[str] = tuple(SENTIMENT_WEIGHTS)) -> DataFrame:
+    """Price-volume sentiment of each code and date: the components in `names`, missing values 0.
+
+    return_skew is the bias-corrected skewness of the last n returns.
+    """
     market = panel.groupBy("date").agg(F.avg("ret").alias("_market"))
     d = panel.join(market, "date").withColumn("_ret0", F.coalesce("ret", F.lit(0.0)))
     excess = F.coalesce("ret", F.lit(0.0)) - F.coalesce("_market", F.lit(0.0))
@@ -116,14 +123,15 @@ def sentiment_components(panel: DataFrame, n: int = 20) -> DataFrame:
         "turnover_anomaly": F.col("vol") / roll(F.avg, "vol", n) - 1,
         "amplitude": roll(F.avg, (F.col("high") - F.col("low")) / F.col(P), n),
         "limit_up_rate": roll(F.avg, limit, n),
+        "return_skew": roll(F.skewness, "ret", n) * (math.sqrt(n * (n - 1)) / (n - 2)),
         "breadth_rank": xs_rank("_ret0"),
         "relative_strength": roll(F.sum, excess, n),
     }
-    return d.select("date", "code", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in parts.items()])
+    return d.select("date", "code", *[F.coalesce(parts[k], F.lit(0.0)).alias(k) for k in names])
 
 
-def sentiment_score(panel: DataFrame) -> DataFrame:
+def sentiment_score(panel: DataFrame, weights: dict[str, float] = SENTIMENT_WEIGHTS) -> DataFrame:
     """The weighted sum of the components' daily z-scores, clipped to [-1, 1]."""
-    z = sentiment_components(panel)
-    total = sum((w * xs_zscore(k) for k, w in SENTIMENT_WEIGHTS.items()), F.lit(0.0))
+    z = sentiment_components(panel, names=weights)
+    total = sum((w * xs_zscore(k) for k, w in weights.items()), F.lit(0.0))
     return z.select("date", "code", clip(total, -1, 1).alias("sentiment_score"))

@@ -66,20 +66,33 @@ def index_drawdown(panel: DataFrame, n: int = 20) -> DataFrame:
     return d.select("date", ((F.col("level") - top) / top).alias("drawdown"))
 
 
-def sentiment_index(panel: DataFrame) -> DataFrame:
-    """date, index_value, thermometer, regime_state: weighted percentiles of the dimensions there are; regimes by drawdown."""
+#: Weights of the five dimensions of the sentiment index.
+DIMENSIONS = {"volume": 0.25, "price": 0.25, "money": 0.2, "valuation": 0.15, "riskpremium": 0.15}
+
+
+def sentiment_index(panel: DataFrame, money: DataFrame | None = None, valuation: DataFrame | None = None, riskpremium: DataFrame | None = None) -> DataFrame:
+    """date, index_value, thermometer, regime_state: weighted percentiles of the dimensions there are; regimes by drawdown.
+
+    The optional dimensions have a date and one value each, and columns sub_money, ... of their own in the result.
+    """
     b = breadth(panel)
     v = rolling_percentile(b, "volume_dim").withColumnRenamed("pct", "sub_volume")
     p = rolling_percentile(b, "price_dim").withColumnRenamed("pct", "sub_price")
     d = b.select("date").join(v, "date", "left").join(p, "date", "left").join(index_drawdown(panel), "date", "left")
-    total = sum((F.when(F.col(c).isNotNull(), w * F.col(c)).otherwise(0.0) for c, w in (("sub_volume", 0.25), ("sub_price", 0.25))), F.lit(0.0))
-    weight = sum((F.when(F.col(c).isNotNull(), F.lit(0.25)).otherwise(0.0) for c in ("sub_volume", "sub_price")), F.lit(0.0))
+    subs = {"sub_volume": DIMENSIONS["volume"], "sub_price": DIMENSIONS["price"]}
+    for k, x in (("money", money), ("valuation", valuation), ("riskpremium", riskpremium)):
+        if x is not None:
+            value = next(c for c in x.columns if c != "date")
+            d = d.join(rolling_percentile(x, value).withColumnRenamed("pct", f"sub_{k}"), "date", "left")
+            subs[f"sub_{k}"] = DIMENSIONS[k]
+    total = sum((F.when(F.col(c).isNotNull(), w * F.col(c)).otherwise(0.0) for c, w in subs.items()), F.lit(0.0))
+    weight = sum((F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0) for c, w in subs.items()), F.lit(0.0))
     index = F.round(F.coalesce(total / F.nullif(weight, F.lit(0.0)), F.lit(50.0)), 6)
     d = d.withColumn("index_value", index).withColumn("dd", F.round("drawdown", 9))
     heat = F.when(F.col("index_value") <= 30, "fear").when(F.col("index_value") >= 70, "greed").otherwise("neutral")
     state = F.when(F.col("dd") <= -0.15, "panic").when(F.col("dd") <= -0.08, "bear").when((heat == "greed") & (F.col("dd") > -0.05), "bull").otherwise("neutral")
     signal = F.when(F.col("index_value") <= 10, "buy").when(F.col("index_value") >= 90, "out").otherwise("half")
-    return d.select("date", "sub_volume", "sub_price", "drawdown", "index_value", heat.alias("thermometer"), state.alias("regime_state"), signal.alias("signal"))
+    return d.select("date", *subs, "drawdown", "index_value", heat.alias("thermometer"), state.alias("regime_state"), signal.alias("signal"))
 
 
 def gsisi(panel: DataFrame, weeks: int = 8, least_obs: int = 60) -> DataFrame:

@@ -640,6 +640,37 @@ def ml_committee(s, d):
     return models.committee(factors.alpha_features(p), label, names)
 
 
+# All six sentiment components and all dimensions of the index that the tables have
+
+
+_SKEW = "CASE WHEN count(ret) OVER r20 = 20 THEN skewness(ret) OVER r20 END"
+
+
+@query(bars_sql(f" SELECT date, code, round(coalesce({_SKEW}, 0), 6) AS return_skew FROM p WINDOW r20 AS (PARTITION BY code ORDER BY date ROWS 19 PRECEDING)"))
+def sent_return_skew(s, d):
+    return r6(factors.sentiment_components(panel(s, d), names=("return_skew",)))
+
+
+@query()
+def sent_components_full(s, d):
+    return r6(factors.sentiment_components(panel(s, d), names=factors.FULL_SENTIMENT_WEIGHTS))
+
+
+@query()
+def sent_score_full(s, d):
+    return r6(factors.sentiment_score(panel(s, d), factors.FULL_SENTIMENT_WEIGHTS))
+
+
+@query()
+def fusion_signals_full(s, d):
+    return crosssec.fuse(panel(s, d), sentiment=factors.FULL_SENTIMENT_WEIGHTS).select("date", "code", "total", "direction")
+
+
+@query()
+def sentiment_index_full(s, d):
+    return r6(market.sentiment_index(panel(s, d), money=ms_money(s, d), riskpremium=ms_riskpremium(s, d)))
+
+
 # Texts and events
 
 

@@ -154,6 +154,22 @@ def test_dedup_near_is_greedy(spark):
     assert set(QUERIES["dedup_near"](spark, SF).columns) == {"doc_id", "print"}
 
 
+def test_sentiment_is_whole(spark):
+    p = panel(spark, SF).select("code", "date", "ret").toPandas().sort_values(["code", "date"])
+    want = p.set_index("date").groupby("code")["ret"].rolling(20).skew().fillna(0)
+    z = QUERIES["sent_components_full"](spark, SF).toPandas()
+    assert np.allclose(z.set_index(["code", "date"]).return_skew.sort_index(), want.sort_index(), atol=1e-5) and (z.return_skew != 0).any()
+    w = factors.FULL_SENTIMENT_WEIGHTS
+    day = z.groupby("date")
+    score = sum(v * ((z[k] - day[k].transform("mean")) / day[k].transform(lambda x: x.std(ddof=0))).fillna(0) for k, v in w.items()).clip(-1, 1)
+    got = QUERIES["sent_score_full"](spark, SF).toPandas().set_index(["code", "date"]).sentiment_score.sort_index()
+    assert np.allclose(got, score.set_axis(pd.MultiIndex.from_frame(z[["code", "date"]])).sort_index(), atol=1e-3)
+    x = QUERIES["sentiment_index_full"](spark, SF).toPandas()
+    subs = x[[f"sub_{k}" for k in ("volume", "price", "money", "riskpremium")]].astype(float)
+    share = subs.notna() * [0.25, 0.25, 0.2, 0.15]
+    assert np.allclose(x.index_value, ((subs.fillna(0) * share).sum(axis=1) / share.sum(axis=1)).fillna(50), atol=1e-4) and subs.sub_money.notna().any() and subs.sub_riskpremium.notna().any()
+
+
 def test_upsert_and_partitions(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "k int, date string, v int")
     new = spark.createDataFrame([(2, "a", 3), (3, "b", 4)], "k int, date string, v int")
