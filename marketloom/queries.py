@@ -428,7 +428,7 @@ def factor_health(s, d):
 def neutralize(s, d):
     p = panel(s, d)
     out = crosssec.neutralize(factors.factor_long(p, _SOME).join(p.select("date", "code", "industry", "mv"), ["date", "code"]))
-    return out.where(F.col("date") >= F.lit("1994-01-01").cast("date")).withColumn("value", F.round("value", 4))
+    return out.withColumn("value", F.round("value", 4))
 
 
 _TECH = f"""t0 AS (SELECT date, code, adj, {factors._r('avg', 'adj', 5)} AS ma5, {factors._r('avg', 'adj', 20)} AS ma20, {factors.FACTORS['f_rsi_14'].sql} AS rsi, {factors._r('max', 'adj', 60)} AS top FROM c),

@@ -83,6 +83,15 @@ def test_neutralize_is_least_squares(spark):
     assert np.allclose(got, (res - res.mean()) / res.std())
 
 
+def test_neutralize_keeps_early_dates(spark, monkeypatch):
+    from marketloom import queries
+
+    p = panel(spark, SF).where("date < DATE '1995-09-01'")
+    early = p.withColumn("date", F.date_sub("date", 7 * 260))
+    monkeypatch.setattr(queries, "panel", lambda s, d: early)
+    assert QUERIES["neutralize"](spark, SF).count() == factors.factor_long(p, queries._SOME).where("value IS NOT NULL").count() > 0
+
+
 def test_no_look_ahead(spark):
     """Factors of a date do not change when later bars come."""
     p = panel(spark, SF)
