@@ -1,36 +1,38 @@
 """Byte-level BPE encoding and decoding with a public vocabulary of ranks.
 
-Encoding works on distinct words, so a word is merged once however often it occurs:
-
-1. Texts are cut into pieces by the vocabulary's pattern; for each chunk (a run of rows of an input file) the distinct
-   pieces are listed.
-2. The distinct pieces of all chunks are encoded by Spark's higher-order functions: aggregate() folds over a piece's
-   bytes, each step merging the adjacent pair of least rank, leftmost first, by a literal map from pairs to ranks (a perfect hash, as Spark
-   looks a key of a map literal up by going through all of them).
-3. The results go back to the chunks that use them as a dictionary for each chunk, a table in the shared folder.
-4. The texts, which have not moved, are read again; each is encoded by the dictionary of its chunk.
-
-Decoding concatenates the binary pieces that ids stand for. No step needs more memory than a chunk and its dictionary.
+Everything happens where the texts are, in one stage without an exchange, a file or a broadcast that grows:
+
+1. Texts are cut into pieces by the vocabulary's pattern (a regular expression in the JVM).
+2. Each task keeps a dictionary of the distinct pieces it has met and passes on each new one once, then the texts as numbers
+   of pieces. A dictionary that has grown to its limit is given up for a new one.
+3. The new pieces are encoded by Spark's higher-order functions: aggregate() folds over a piece's bytes, each step merging
+   the adjacent pair of least rank, leftmost first, by a literal map from pairs to ranks (a perfect hash, as Spark looks a
+   key of a map literal up by going through all of them).
+4. The ids of its pieces are put in the place of each text's numbers.
+
+Decoding concatenates the binary pieces that ids stand for. A task needs memory for its dictionary, which is limited, and for
+some megabytes of texts, or the longest one. A lost task is simply run again.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import read, shared_dir
+from marketloom.llm.common import cut, read
 
 NONE = 1 << 16  # ranks from here on mean: no token
+LONG = 256  # pieces of more bytes are merged by a heap
 _HIGH = 1 << 50
+_SEP = "\x1f"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +42,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """One piece's ids, plainly: the definition, for tests and for the exceptions below."""
+    """One piece's ids, plainly: the definition."""
+    if piece in ranks:
+        return [ranks[piece]]
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         r, i = min((ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
@@ -50,6 +54,34 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same in time n log n, for pieces of any length: a heap of pairs over linked tokens."""
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    ends, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = []
+
+    def push(i: int) -> None:
+        j = ends[i]
+        if j < n and (r := ranks.get(piece[i : ends[j]])) is not None:
+            heapq.heappush(heap, (r, i, ends[j]))
+
+    for i in range(n):
+        push(i)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        if not live[i] or (j := ends[i]) >= n or ends[j] != end:
+            continue  # one of the two has been merged since
+        live[j], ends[i] = False, end
+        if end < n:
+            before[end] = i
+        push(i)
+        if before[i] >= 0:
+            push(before[i])
+    return [ranks[piece[i : ends[i]]] for i in range(n) if live[i]]
+
+
 class RankMap:
     """The merges of a vocabulary as literals: a perfect hash from pairs of ids to ranks.
 
@@ -81,8 +113,6 @@ class RankMap:
                 table[k * m % self.places] = k * NONE + pairs[k]
         literal = lambda a: F.from_json(F.lit(json.dumps(a, separators=(",", ":"))), "array<bigint>")
         self.table, self.multipliers, self.bytes = literal(table), literal(multipliers), literal([ranks[bytes([i])] for i in range(256)])
-        # Tokens that merging alone doesn't reach: a piece that is one is encoded as it.
-        self.whole = {p.hex(): r for p, r in ranks.items() if merge_bytes(p, ranks) != [r]}
 
     def rank(self, maps: Column, a: Column, b: Column) -> Column:
         """The rank of a pair of ids, which is the id of the merged token; NONE if there is no such token."""
@@ -91,121 +121,193 @@ class RankMap:
         return F.least(F.pmod(F.get(maps["table"], place.cast("int")) - key * NONE, F.lit(_HIGH)), F.lit(NONE))
 
     def encode(self, piece: Column) -> Column:
-        """array<bigint> of the ids of a string column of non-empty pieces."""
+        """array<bigint> of the ids of a string column of non-empty pieces that are no tokens themselves."""
         maps = F.struct(self.table.alias("table"), self.multipliers.alias("multipliers"), self.bytes.alias("bytes"))
-        return F.get(F.transform(F.array(maps), lambda m: self._encode(piece, m)), F.lit(0))  # so each literal is in the plan once
+        return _bind(maps, lambda m: self._encode(piece, m))  # so each literal is in the plan once
 
     def _encode(self, piece: Column, maps: Column) -> Column:
-        latin = F.decode(F.encode(piece, "utf-8"), "ISO-8859-1")  # one character for each byte
-        size = F.length(latin)
-        first = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(maps["bytes"], F.ascii(F.substring(latin, i, 1))))
-
-        # One number for each token: the rank of the pair it begins, and its id in the low bits.
+        # One number for each token: the rank of the pair it begins, its place and its id; so the least number is that of
+        # the pair to merge, and neither place nor order change when others are merged.
         own = lambda x: x.bitwiseAND(NONE - 1)
-        packed = lambda rank, i: F.shiftleft(F.coalesce(rank, F.lit(NONE)), 16) + i
-        pack = lambda ids: F.transform(ids, lambda x, i: packed(self.rank(maps, x, F.get(ids, i + 1)), x))
-
-        def merge(acc: Column, _: Column) -> Column:
-            # Least rank and, on ties, leftmost place in one number; the pair's rank is the id of what it becomes.
-            best = F.array_min(F.transform(acc, lambda x, i: F.shiftleft(F.shiftright(x, 16), 30) + i))
-
-            def at(b: Column) -> Column:
-                p, new = b.bitwiseAND((1 << 30) - 1).cast("int"), F.shiftright(b, 30)
-                merged = F.transform(
-                    acc,
-                    lambda x, i: F.when((i < p - 1) | (i > p + 1), x)
-                    .when(i == p, packed(self.rank(maps, new, own(F.get(acc, p + 2))), new))
-                    .when(i < p, packed(self.rank(maps, own(x), new), own(x))),  # null at p + 1
-                )
-                return F.when(new >= NONE, acc).otherwise(F.filter(merged, lambda x: x.isNotNull()))
-
-            return F.get(F.transform(F.array(best), at), F.lit(0))
-
-        start = F.get(F.transform(F.array(first), pack), F.lit(0))
-        ids = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, merge, lambda acc: F.transform(acc, own))
-        for hexed, rank in self.whole.items():
-            ids = F.when(F.lower(F.hex(F.encode(piece, "utf-8"))) == hexed, F.array(F.lit(rank).cast("bigint"))).otherwise(ids)
-        return ids
-
-
-def _located(df: DataFrame, id_col: str, text_col: str, chunk_rows: int, folder: str) -> DataFrame:
-    """id, t and chunk: where a row stands in its file, the same whenever it is read. Rows of no file are written to one."""
-    try:
-        place = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    except AnalysisException:
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).write.parquet(f"{folder}/texts")
-        place = df.sparkSession.read.parquet(f"{folder}/texts").select("id", "t", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    chunk = F.xxhash64("f", F.floor(F.col("i") / chunk_rows))  # chunks with equal hashes would share a dictionary
-    return place.select("id", F.coalesce("t", F.lit("")).alias("t"), chunk.alias("chunk"))
-
-
-def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 8192) -> DataFrame:
+        put = lambda rank, rest: F.shiftleft(F.coalesce(rank, F.lit(NONE)), 44).bitwiseOR(rest)
+
+        def start(ids: Column) -> Column:
+            return F.transform(ids, lambda x, i: put(self.rank(maps, x, F.get(ids, i + 1)), F.shiftleft(i.cast("bigint"), 16).bitwiseOR(x)))
+
+        def merge(acc: Column, best: Column, at: Column) -> Column:
+            new, last, after = F.shiftright(best, 44), F.get(acc, at - 2), F.get(acc, at + 1)
+            low = lambda x: x.bitwiseAND((1 << 44) - 1)
+            joined = put(self.rank(maps, new, own(after)), low(best).bitwiseAND(-NONE).bitwiseOR(new))
+            ahead = F.when(at > 1, F.array(put(self.rank(maps, own(last), new), low(last)), joined)).otherwise(F.array(joined))
+            return F.concat(F.slice(acc, 1, F.greatest(at - 2, F.lit(0))), ahead, F.slice(acc, at + 2, F.lit(1 << 30)))
+
+        def step(acc: Column, _: Column) -> Column:
+            found = lambda best: F.when(best >= NONE << 44, acc).otherwise(_bind(F.array_position(acc, best).cast("int"), lambda at: merge(acc, best, at)))
+            return _bind(F.array_min(acc), found)
+
+        latin = F.split(F.decode(F.encode(piece, "utf-8"), "ISO-8859-1"), "")  # one character for each byte
+        ids = F.transform(latin, lambda c: F.get(maps["bytes"], F.ascii(c)))
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(piece), F.lit(2))), _bind(ids, start), step, lambda acc: F.transform(acc, own))
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def split_pieces(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The matches of a pattern in a text column, each followed by _SEP, as one string; and null. If the text has a _SEP in
+    it, an empty string, and the matches as an array. Strings cost a fraction of the memory of arrays."""
+    every = F.regexp_replace(text, F.lit(f"(?U)({pattern})|(?s:.)"), F.lit(f"$1{_SEP}"))  # (?U): white space is Unicode's
+    odd = F.contains(text, F.lit(_SEP))
+    return F.when(odd, F.lit("")).otherwise(every), F.when(odd, F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0)))
+
+
+def _pieces(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """(all pieces of the rows, where each row's end) of columns t and pieces."""
+    lists, arrays = pc.split_pattern(batch.column("t"), _SEP), batch.column("pieces")
+    if arrays.null_count < len(arrays):
+        lists = pa.array([a if b is None else b for a, b in zip(lists.to_pylist(), arrays.to_pylist(), strict=True)], pa.list_(pa.string()))
+    flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(full), np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends]
+
+
+def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about `most` bytes in a column."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most)))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _binary(data, ends: np.ndarray) -> pa.Array:
+    """A binary array of consecutive runs of bytes."""
+    offsets = np.concatenate([[0], ends]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), data])
+
+
+def common_pieces(texts: DataFrame, table: RankMap, ranks: dict[bytes, int], sample_rows: int, most_bytes: int) -> pa.Table:
+    """(word, ids): the vocabulary's own texts, and the pieces of a sample of rows, encoded; those that occur most first, and of
+    `most_bytes` bytes at most. `texts` has the columns t and pieces. This saves encoding a piece in every task that meets
+    it; other pieces are encoded where they occur, so results do not depend on it."""
+    own = [(p.decode(), [r]) for p, r in ranks.items() if p.decode("utf-8", "ignore").encode() == p]
+    known = pa.table({"word": pa.array([w for w, _ in own], pa.string()), "ids": pa.array([i for _, i in own], pa.list_(pa.int64()))})
+    tokens = texts.sparkSession.sparkContext.broadcast([w for w, _ in own])  # as large as the vocabulary
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(tokens.value, pa.string())
+        for batch in batches:
+            for part in _parts(batch, "t"):
+                words = pc.unique(_pieces(part)[0])
+                yield pa.record_batch({"word": words.filter(pc.invert(pc.is_in(words, value_set=known)))})
+
+    n = texts.count()
+    if not n:
+        return known
+    words = texts.sample(min(1.0, sample_rows / n), seed=1).mapInArrow(distinct, "word string")
+    words = cut(words.where(F.octet_length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")))
+    sizes = words.groupBy("n").agg(F.sum(F.octet_length("word")).alias("bytes"), F.count("*").alias("words")).collect()  # a row for each count
+    bytes_, many, least = 0, 0, None
+    for r in sorted(sizes, reverse=True):
+        bytes_ += r.bytes
+        if bytes_ > most_bytes:
+            break
+        many, least = many + r.words, r.n
+    if least is None:
+        return known
+    more = words.where(F.col("n") >= least).repartition(1 + many // 8192).select("word", table.encode(F.col("word")).alias("ids"))
+    return pa.concat_tables([known, more.toArrow().cast(known.schema)])
+
+
+def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, sample_rows: int = 16_384, sample_bytes: int = 8 << 20, most_words: int = 1 << 19) -> DataFrame:
     """One row per input row: id_col, n_tokens (long), ids (binary: little-endian unsigned 32-bit), decoded (binary).
 
     Each match of `pattern` is encoded by itself, as the tiktoken library does, without special tokens; `decoded` is made
-    from the ids. Null and empty texts have no ids. Ids may be null or repeat; rows are encoded one by one, however long.
-    Other columns are not read. Dictionaries are kept in a folder of this call under spark.checkpoint.dir, which readers
-    of the result need. An empty table gives an empty result.
+    from the ids, and null unless `decode`. Null and empty texts have no ids. Ids may be null or repeat; rows are encoded one
+    by one, however long, and so are pieces: those of more than LONG bytes by merge_long. Other columns are not read. An
+    empty table gives an empty result.
+
+    The pieces of about sample_rows rows, sample_bytes of them at most, are encoded first and sent to all tasks; a task's
+    dictionary of further pieces starts anew at most_words. These three are about time and memory, not about results.
     """
-    folder = f"{shared_dir(df.sparkSession)}/bpe-{uuid.uuid4().hex}"
+    sc, table = df.sparkSession.sparkContext, RankMap(ranks)
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = _located(df, id_col, text_col, chunk_rows, folder)
-    pieces = F.regexp_extract_all(F.col("t"), F.lit(f"(?U){pattern}"), F.lit(0))  # (?U): white space is Unicode's
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    as_string, as_array = split_pieces(F.coalesce(F.col(text_col), F.lit("")), pattern)
+    rows = df.select(F.col(id_col).alias("id"), as_string.alias("t"), as_array.alias("pieces"))
+    first = common_pieces(rows.select("t", "pieces"), table, ranks, sample_rows, sample_bytes).combine_chunks()
+    known_ids = first.column("ids").combine_chunks()
+    words = sc.broadcast(pa.record_batch({"word": first.column("word").combine_chunks()}).serialize().to_pybytes())
+    sizes = sc.broadcast(pc.list_value_length(known_ids).to_numpy().astype("<u2").tobytes())
+    codes = sc.broadcast(known_ids.flatten().to_numpy().astype("<u2").tobytes())
+    vocabulary = sc.broadcast(ranks)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of new pieces (word, its number n, and its ids if it is long), then rows of texts (id, their pieces' numbers)."""
+        base = pa.ipc.read_record_batch(words.value, pa.schema([("word", pa.string())])).column("word")
+        known = base
         for batch in batches:
-            for chunk, part in _by_chunk(batch):
-                words = pc.unique(part.column("pieces").flatten())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), words], names=["chunk", "word"])
-
-    words = rows.select("chunk", pieces.alias("pieces")).mapInArrow(distinct, "chunk long, word string")
-    # A piece of many chunks is encoded in its first row only, and the others of its group take that over.
-    group, table = Window.partitionBy("word").orderBy("chunk"), RankMap(ranks)
-    coded = F.transform(table.encode(F.col("word")), lambda x: x.cast("int"))
-    words = words.withColumn("place", F.row_number().over(group)).withColumn("own", F.when(F.col("place") == 1, coded))
-    words = words.select("chunk", "word", F.first("own", ignorenulls=True).over(group).alias("ids"))
-    words.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(f"{folder}/words")
-    by_rank = {r: p for p, r in ranks.items()}
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import dataset, fs
-
-        files, path = fs.FileSystem.from_uri(folder)
-        at = None
+            for part in _parts(batch, "t"):
+                if len(known) > len(base) + most_words:
+                    known = base
+                flat, ends = _pieces(part)
+                coded = flat.dictionary_encode()
+                found = pc.index_in(coded.dictionary, value_set=known)
+                fresh, at = pc.is_null(found).to_numpy(zero_copy_only=False), np.array(pc.fill_null(found, 0), np.int64)
+                n = int(fresh.sum())
+                at[fresh] = len(known) + np.arange(n)
+                if n:
+                    new = coded.dictionary.filter(pa.array(fresh))
+                    known = pa.concat_arrays([known, new])
+                    long = pc.greater(pc.binary_length(new), LONG)
+                    ids = pa.array([merge_long(w.encode(), vocabulary.value) if x else None for w, x in zip(new.to_pylist(), long.to_pylist(), strict=True)] if pc.any(long).as_py() else [None] * n, pa.list_(pa.int64()))
+                    yield pa.record_batch({"word": new, "given": ids, "n": pa.array(len(known) - n + np.arange(n)), "id": pa.nulls(n, part.column("id").type), "codes": pa.nulls(n, pa.binary())})
+                numbers = at.astype("<u4")[coded.indices.to_numpy()]
+                m = len(part)
+                yield pa.record_batch({"word": pa.nulls(m, pa.string()), "given": pa.nulls(m, pa.list_(pa.int64())), "n": pa.nulls(m, pa.int64()), "id": part.column("id"), "codes": _binary(pa.py_buffer(numbers), 4 * ends)})
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.frombuffer(sizes.value, "<u2").astype(np.int64), np.frombuffer(codes.value, "<u2")
+        n_base, has = len(base[0]), [base]
+        tokens = [b""] * (max(vocabulary.value.values()) + 1)
+        for piece, rank in vocabulary.value.items():
+            tokens[rank] = piece
+        tokens = pa.array(tokens, pa.binary())
         for batch in batches:
-            for chunk, part in _by_chunk(batch, 1024):
-                lists = part.column("pieces")
-                flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                if not len(flat):
-                    empty = pa.array([b""] * part.num_rows, pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([0] * part.num_rows, pa.int64()), empty, empty], names=[id_col, "n_tokens", "ids", "decoded"])
+            is_text = pc.is_null(batch.column("n")).to_numpy(zero_copy_only=False)
+            turns = [0, *(np.flatnonzero(np.diff(is_text)) + 1), len(batch)]
+            for a, b in zip(turns, turns[1:]):
+                run = batch.slice(a, b - a)
+                if not is_text[a]:
+                    n, ids = run.column("n").to_numpy(), run.column("ids")
+                    if n[0] == n_base:
+                        has = [base]
+                    if n[0] != sum(len(x[0]) for x in has) or n[-1] - n[0] != len(n) - 1:
+                        raise RuntimeError("pieces did not come in order")
+                    has.append((pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy().astype("<u2")))
                     continue
-                if chunk != at:
-                    own, at = dataset.dataset(f"{path}/words/chunk={chunk}", filesystem=files, format="parquet").to_table(columns=["word", "ids"]).combine_chunks(), chunk
-                    known, coded = own.column("word").combine_chunks(), own.column("ids").combine_chunks()
-                    sizes = pc.list_value_length(coded).to_numpy(zero_copy_only=False).astype(np.int64)
-                    starts, codes = np.cumsum(sizes) - sizes, coded.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                which = pc.index_in(flat, value_set=known).to_numpy(zero_copy_only=False)
-                n = sizes[which]
-                upto = np.cumsum(n)
-                ids = codes[np.repeat(starts[which] - (upto - n), n) + np.arange(upto[-1])]
-                ends = np.where(ends > 0, upto[np.maximum(ends - 1, 0)], 0)
-                begins = np.concatenate([[0], ends[:-1]])
-                each = [ids[b:e] for b, e in zip(begins, ends, strict=True)]
-                decoded = [b"".join(map(by_rank.__getitem__, x.tolist())) for x in each]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ends - begins, pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(decoded, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
-
-    return rows.select("id", "chunk", pieces.alias("pieces")).mapInArrow(encode, f"`{id_col}` {id_type}, n_tokens long, ids binary, decoded binary")
-
-
-def _by_chunk(batch: pa.RecordBatch, most: int = 1 << 30) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The runs of rows of one chunk in a batch, `most` rows at a time."""
-    chunks = batch.column("chunk").to_pylist()
-    begin = 0
-    for i in range(1, len(chunks) + 1):
-        if i == len(chunks) or chunks[i] != chunks[begin] or i - begin == most:
-            yield chunks[begin], batch.slice(begin, i - begin)
-            begin = i
+                if len(has) > 1:
+                    has = [tuple(np.concatenate(c) for c in zip(*has, strict=True))]
+                size, coded = has[0]
+                start = np.cumsum(size) - size
+                for part in _parts(run, "codes"):
+                    offsets = np.frombuffer(part.column("codes").buffers()[1], "<i4")[part.column("codes").offset :][: len(part) + 1]
+                    which = np.frombuffer(part.column("codes").buffers()[2] or b"", "<u4")[offsets[0] // 4 : offsets[-1] // 4]
+                    n = size[which]
+                    upto = np.concatenate([[0], np.cumsum(n)])
+                    ids = coded[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
+                    ends = upto[(offsets[1:] - offsets[0]) // 4]
+                    out = {id_col: part.column("id"), "n_tokens": pa.array(np.diff(ends, prepend=0)), "ids": _binary(pa.py_buffer(ids), 4 * ends), "decoded": pa.nulls(len(part), pa.binary())}
+                    if decode:
+                        pieces = tokens.take(pa.array(ids))
+                        out["decoded"] = _binary(pieces.buffers()[2] or pa.py_buffer(b""), np.frombuffer(pieces.buffers()[1], "<i4")[ends])
+                    yield pa.record_batch(out)
+
+    coded = F.when(F.col("word").isNotNull() & F.col("given").isNull(), table.encode(F.col("word"))).otherwise(F.col("given"))
+    numbered = rows.mapInArrow(number, f"word string, given array<long>, n long, id {id_type}, codes binary")
+    return numbered.select(coded.alias("ids"), "n", "id", "codes").mapInArrow(assemble, f"`{id_col}` {id_type}, n_tokens long, ids binary, decoded binary")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

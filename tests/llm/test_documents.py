@@ -242,13 +242,32 @@ def test_byte_bpe(spark, docs, none, rows):
 
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    extra = [(900, "don't we'll\u2003\u00a0 x  \n\n y <|endoftext|> 漢字かな 🙂🙂 a\u0301", None, None, 0), (901, "aa" * 90 + "  " * 70 + "=-" * 60, None, None, 0)]
-    df = docs.unionByName(spark.createDataFrame(extra, SCHEMA)).where("length(text) < 30000 OR text IS NULL").withColumn("ids", F.lit(0)).withColumn("chunk", F.lit("c"))
-    out = byte_bpe.encode_texts(df, ranks, P.PATTERN).collect()  # no file behind it
+    rng = random.Random(2)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))  # no space anywhere
+    extra = [
+        "don't we'll\u2003\u00a0 x  \n\n y <|endoftext|> 漢字かな 🙂🙂 a\u0301", "aa" * 90 + "  " * 70 + "=-" * 60, letters, "漢" * 9000 + letters[:255] + " " + letters[:256] + " " + letters[:257],
+        "a\x1fb \x1f\x1f c", "\x1f", words_text(rng, 60_000), "x\u0085y\u180ez \x1c\x1d w", "$1 \\1 \x00",
+    ]
+    extra = [(900 + i, t, None, None, 0) for i, t in enumerate(extra)]
+    df = docs.unionByName(spark.createDataFrame(extra, SCHEMA)).withColumn("ids", F.lit(0)).withColumn("n", F.lit("c"))
     want = Counter()
     for r in [*rows, *extra]:
-        if len(r[1] or "") < 30_000:
-            ids = lib.encode_ordinary(r[1] or "")
-            want[(r[0], len(ids), np.array(ids, "<u4").tobytes(), (r[1] or "").encode())] += 1
-    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in out) == want
+        ids = lib.encode_ordinary(r[1] or "")
+        want[(r[0], len(ids), np.array(ids, "<u4").tobytes(), (r[1] or "").encode())] += 1
+    count = lambda out: Counter((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in out.collect())
+    assert count(byte_bpe.encode_texts(df, ranks, P.PATTERN)) == want
+    # Hardly any piece is sent ahead, and dictionaries start anew again and again.
+    assert count(byte_bpe.encode_texts(df.repartition(2), ranks, P.PATTERN, sample_rows=1, sample_bytes=20, most_words=10)) == want
+    plain = byte_bpe.encode_texts(df, ranks, P.PATTERN, decode=False).collect()
+    assert all(r.decoded is None for r in plain) and sum(r.n_tokens for r in plain) == sum(k[1] * v for k, v in want.items())
     assert byte_bpe.encode_texts(none, ranks, P.PATTERN).count() == 0
+
+
+def test_long_pieces():
+    import public_tokenizers as P
+
+    ranks, rng = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), random.Random(4)
+    for alphabet in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "éà漢e"):
+        for n in (1, 2, 9, 300):
+            piece = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+            assert byte_bpe.merge_long(piece, ranks) == byte_bpe.merge_bytes(piece, ranks)
