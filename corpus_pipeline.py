@@ -55,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return encode_texts(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
+    return encode_texts(docs, ranks, public_tokenizers.PATTERN, decode=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [
