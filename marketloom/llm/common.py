@@ -54,19 +54,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     another node are not listed. An empty input gives an empty result.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    before, tasks = None, 0
     for _ in range(max_rounds):
+        # A round is short where edges are few, so it takes no more tasks than they need.
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if now == before:  # a forest of stars is a fixed point
+            break
+        before, tasks = now, max(8, now.n // 50_000)
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).select(F.col("a").alias("n"), "m")
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        small = large.join(least, F.col("a") == F.col("n")).select("a", "b", "m")
-        e = cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        # A forest of stars is a fixed point: every node has one edge, and no centre is a leaf.
-        now = e.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
+        small = large.join(least, F.col("a") == F.col("n")).select("a", "b", "m").coalesce(tasks)
+        e = cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct().coalesce(tasks))
     else:
         raise RuntimeError("connected components did not settle")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
