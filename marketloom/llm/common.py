@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so that a lost executor costs no recomputation from the start."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation from the start."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of cut() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -61,13 +72,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == before:  # a forest of stars is a fixed point
             break
         before, tasks = now, max(8, now.n // 50_000)
-        e = e.coalesce(tasks)
+        old, e = e, e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).select(F.col("a").alias("n"), "m")
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = large.join(least, F.col("a") == F.col("n")).select("a", "b", "m").coalesce(tasks)
         e = cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct().coalesce(tasks))
+        forget(old)
     else:
         raise RuntimeError("connected components did not settle")
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
