@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -69,10 +70,14 @@ def spearman_by(df: DataFrame, x: str, y: str, by: tuple[str, ...], least: int =
 def ewm(x: Column, alpha: float, place: Column) -> Column:
     """Exponential mean without adjustment, by code: y(1) = x(1), y(t) = (1 - alpha) y(t-1) + alpha x(t); place counts rows from 1.
 
-    Unrolled, so that it is a running sum and needs no recursion. The sum's terms grow with (1 - alpha) ** -t and leave
-    the range of a double after 700 / alpha rows; panels of daily bars are far shorter.
+    Unrolled, so that it needs no recursion: a running sum in each block of rows, and what is left of the block before. A
+    block is so long that what is older than that is below a double's precision; so histories may have any length.
     """
-    w = by_code().rowsBetween(Window.unboundedPreceding, 0)
     keep = 1 - alpha
-    term = x * F.pow(F.lit(keep), -place) * F.when(place == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    return F.sum(term).over(w) * F.pow(F.lit(keep), place)
+    size = math.ceil(42 / alpha)
+    block, at = F.floor(place / size).cast("long"), place % size
+    term = x * F.when(place == 1, F.lit(1.0)).otherwise(F.lit(alpha))
+    inside = Window.partitionBy("code", block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("code").orderBy(block).rangeBetween(-1, -1)
+    own = F.sum(term * F.pow(F.lit(keep), -at)).over(inside) * F.pow(F.lit(keep), at)
+    return own + F.coalesce(F.sum(term * F.pow(F.lit(keep), size - 1 - at)).over(before), F.lit(0.0)) * F.pow(F.lit(keep), at + 1)

@@ -71,6 +71,17 @@ def test_ewm_is_wilders(spark):
     assert np.allclose(got, pd.Series(x).ewm(alpha=1 / 14, adjust=False).mean())
 
 
+@pytest.mark.parametrize("n", [10, 14, 20])
+def test_rsi_of_long_histories(spark, n):
+    rng = np.random.default_rng(n)
+    price = pd.Series(100 * np.exp(np.cumsum(rng.normal(0, 0.01, 20_000))))
+    df = spark.createDataFrame(pd.DataFrame({"code": "A", "date": range(20_000), "adj": price}))
+    got = [r.v for r in factors.with_change(df).select("date", factors.rsi(n).alias("v")).orderBy("date").collect()]
+    change = price.diff().iloc[1:]
+    up, down = (x.clip(lower=0).ewm(alpha=1 / n, adjust=False).mean() for x in (change, -change))
+    assert got[0] == 50 and np.allclose(got[1:], (100 - 100 / (1 + up / down.where(down != 0))).fillna(50), atol=1e-8)
+
+
 def test_neutralize_is_least_squares(spark):
     rng = np.random.default_rng(1)
     n = 24
