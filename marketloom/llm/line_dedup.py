@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import cut, read, row_key
+from marketloom.llm.ngram_join import bitmap, in_bitmap
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
@@ -89,6 +90,17 @@ def _leads(a: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
 
 
+def _may_be_in(keys: DataFrame) -> Column:
+    """Whether a row's _key may be one of `keys`, by a bitmap; so that other rows need no exchange."""
+    wanted = bitmap(keys.select(F.xxhash64("_key").alias("k")), "k")
+
+    @F.pandas_udf("boolean")
+    def may_be(k: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(wanted.value, k.to_numpy()))
+
+    return may_be(F.xxhash64("_key"))
+
+
 def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 51) -> DataFrame:
     """(_key, starts): where (from 0) the windows of `words` words start that occur before, in each document that has any.
 
@@ -127,8 +139,8 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     marks = docs.mapInArrow(leads, "_key binary, f long")
     twice = marks.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    found = marks.join(twice, "f").groupBy("_key").agg(F.collect_set("f").alias("fs"))
-    out = docs.join(found, "_key").select("_key", "id", "t", "fs").mapInArrow(windows, f"h long, g long, _key binary, id {kind}, pos int")
+    found = cut(marks.join(twice, "f").groupBy("_key").agg(F.collect_set("f").alias("fs")))
+    out = docs.where(_may_be_in(found)).join(found, "_key").select("_key", "id", "t", "fs").mapInArrow(windows, f"h long, g long, _key binary, id {kind}, pos int")
     w = Window.partitionBy("h", "g").orderBy(F.col("id").isNull(), "id", "_key", "pos").rowsBetween(Window.unboundedPreceding, 0)
     first = out.withColumns({"_first": F.first("_key").over(w), "_pos": F.first("pos").over(w)})
     return first.where((F.col("_first") != F.col("_key")) | (F.col("_pos") != F.col("pos"))).groupBy("_key").agg(F.collect_set("pos").alias("starts"))
@@ -142,7 +154,7 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Nulls, repeated rows, clashing columns and empty tables are as for dedup_lines.
     """
     rest = [c for c in df.columns if c not in ("n_words", "n_removed", "_key", "starts", "_new")]
-    gone = repeated_words(df, id_col, text_col, words)
+    gone = cut(repeated_words(df, id_col, text_col, words))
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def rewrite(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -163,7 +175,9 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((t[: spans[0]] + kept, n, int(off.sum())))
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
-    rows = df.select(*rest, row_key(id_col, text_col).alias("_key")).join(gone, "_key", "left")
+    rows = df.select(*rest, row_key(id_col, text_col).alias("_key"))
+    few, starts = _may_be_in(gone), gone.schema["starts"].dataType
+    rows = rows.where(few).join(gone, "_key", "left").unionByName(rows.where(~few).withColumn("starts", F.lit(None).cast(starts)))
     rows = rows.withColumn("_new", rewrite(F.coalesce(F.col(text_col), F.lit("")), F.col("starts")))
     return rows.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in rest], "_new.n_words", "_new.n_removed")
 
