@@ -183,18 +183,28 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         begin = end
 
 
-def _binary(data, ends: np.ndarray) -> pa.Array:
-    """A binary array of consecutive runs of bytes."""
+def _binary(data, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """A binary array of consecutive runs of bytes, or one of strings."""
     offsets = np.concatenate([[0], ends]).astype("<i4")
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), data])
+    return pa.Array.from_buffers(kind or pa.binary(), len(ends), [None, pa.py_buffer(offsets), data])
 
 
-def common_pieces(texts: DataFrame, table: RankMap, ranks: dict[bytes, int], sample_rows: int, most_bytes: int) -> pa.Table:
-    """(word, ids): the vocabulary's own texts, and the pieces of a sample of rows, encoded; those that occur most first, and of
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces and their ids as bytes, some to a row: texts, their lengths, numbers of ids, ids."""
+    for batch in batches:
+        words, ids = batch.column("word"), batch.column("ids")
+        short = lambda a: a.to_numpy(zero_copy_only=False).astype("<u2").tobytes()
+        parts = "".join(words.to_pylist()).encode(), short(pc.binary_length(words)), short(pc.list_value_length(ids)), short(ids.flatten())
+        yield pa.record_batch({k: pa.array([x], pa.binary()) for k, x in zip(("texts", "lengths", "sizes", "codes"), parts, strict=True)})
+
+
+def common_pieces(texts: DataFrame, table: RankMap, ranks: dict[bytes, int], sample_rows: int, most_bytes: int) -> list[bytes]:
+    """As _pack has it: the vocabulary's own texts, and the pieces of a sample of rows, encoded; those that occur most first, and of
     `most_bytes` bytes at most. `texts` has the columns t and pieces. This saves encoding a piece in every task that meets
     it; other pieces are encoded where they occur, so results do not depend on it."""
     own = [(p.decode(), [r]) for p, r in ranks.items() if p.decode("utf-8", "ignore").encode() == p]
-    known = pa.table({"word": pa.array([w for w, _ in own], pa.string()), "ids": pa.array([i for _, i in own], pa.list_(pa.int64()))})
+    packed = next(_pack(iter([pa.record_batch({"word": pa.array([w for w, _ in own], pa.string()), "ids": pa.array([i for _, i in own], pa.list_(pa.int64()))})])))
+    known = [packed.column(k)[0].as_py() for k in range(4)]
     tokens = texts.sparkSession.sparkContext.broadcast([w for w, _ in own])  # as large as the vocabulary
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +229,8 @@ def common_pieces(texts: DataFrame, table: RankMap, ranks: dict[bytes, int], sam
     if least is None:
         return known
     more = words.where(F.col("n") >= least).repartition(1 + many // 8192).select("word", table.encode(F.col("word")).alias("ids"))
-    return pa.concat_tables([known, more.toArrow().cast(known.schema)])
+    rows = more.mapInArrow(_pack, "texts binary, lengths binary, sizes binary, codes binary").collect()  # most_bytes of texts, and about as much again
+    return [b"".join([x, *(r[k] for r in rows)]) for k, x in enumerate(known)]
 
 
 def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, sample_rows: int = 16_384, sample_bytes: int = 8 << 20, most_words: int = 1 << 19) -> DataFrame:
@@ -237,16 +248,12 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     id_type = df.schema[id_col].dataType.simpleString()
     as_string, as_array = split_pieces(F.coalesce(F.col(text_col), F.lit("")), pattern)
     rows = df.select(F.col(id_col).alias("id"), as_string.alias("t"), as_array.alias("pieces"))
-    first = common_pieces(rows.select("t", "pieces"), table, ranks, sample_rows, sample_bytes).combine_chunks()
-    known_ids = first.column("ids").combine_chunks()
-    words = sc.broadcast(pa.record_batch({"word": first.column("word").combine_chunks()}).serialize().to_pybytes())
-    sizes = sc.broadcast(pc.list_value_length(known_ids).to_numpy().astype("<u2").tobytes())
-    codes = sc.broadcast(known_ids.flatten().to_numpy().astype("<u2").tobytes())
+    texts, lengths, sizes, codes = map(sc.broadcast, common_pieces(rows.select("t", "pieces"), table, ranks, sample_rows, sample_bytes))
     vocabulary = sc.broadcast(ranks)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of new pieces (word, its number n, and its ids if it is long), then rows of texts (id, their pieces' numbers)."""
-        base = pa.ipc.read_record_batch(words.value, pa.schema([("word", pa.string())])).column("word")
+        base = _binary(pa.py_buffer(texts.value), np.cumsum(np.frombuffer(lengths.value, "<u2"), dtype=np.int64), pa.string())
         known = base
         for batch in batches:
             for part in _parts(batch, "t"):
