@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, read
+from marketloom.llm.common import cut, lean, read
 
 NONE = 1 << 16  # ranks from here on mean: no token
 LONG = 256  # pieces of more bytes are merged by a heap
@@ -207,6 +207,7 @@ def common_pieces(texts: DataFrame, table: RankMap, ranks: dict[bytes, int], sam
     known = [packed.column(k)[0].as_py() for k in range(4)]
     tokens = texts.sparkSession.sparkContext.broadcast([w for w, _ in own])  # as large as the vocabulary
 
+    @lean
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(tokens.value, pa.string())
         for batch in batches:
@@ -233,7 +234,7 @@ def common_pieces(texts: DataFrame, table: RankMap, ranks: dict[bytes, int], sam
     return [b"".join([x, *(r[k] for r in rows)]) for k, x in enumerate(known)]
 
 
-def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, sample_rows: int = 16_384, sample_bytes: int = 8 << 20, most_words: int = 1 << 19) -> DataFrame:
+def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, sample_rows: int = 16_384, sample_bytes: int = 4 << 20, most_words: int = 1 << 18) -> DataFrame:
     """One row per input row: id_col, n_tokens (long), ids (binary: little-endian unsigned 32-bit), decoded (binary).
 
     Each match of `pattern` is encoded by itself, as the tiktoken library does, without special tokens; `decoded` is made
@@ -251,6 +252,7 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     texts, lengths, sizes, codes = map(sc.broadcast, common_pieces(rows.select("t", "pieces"), table, ranks, sample_rows, sample_bytes))
     vocabulary = sc.broadcast(ranks)
 
+    @lean
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of new pieces (word, its number n, and its ids if it is long), then rows of texts (id, their pieces' numbers)."""
         base = _binary(pa.py_buffer(texts.value), np.cumsum(np.frombuffer(lengths.value, "<u2"), dtype=np.int64), pa.string())
@@ -275,6 +277,7 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                 m = len(part)
                 yield pa.record_batch({"word": pa.nulls(m, pa.string()), "given": pa.nulls(m, pa.list_(pa.int64())), "n": pa.nulls(m, pa.int64()), "id": part.column("id"), "codes": _binary(pa.py_buffer(numbers), 4 * ends)})
 
+    @lean
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.frombuffer(sizes.value, "<u2").astype(np.int64), np.frombuffer(codes.value, "<u2")
         n_base, has = len(base[0]), [base]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,26 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as Python and its libraries keep some for later use."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give_back:
+        give_back(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work` over batches; what it allocated is given back to the system at its end. Python workers outlive their tasks, and
+    an executor has several, each of which would keep the most that it ever used."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation from the start."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim()  # what went through the driver on the way here is no longer needed
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, read, row_key
+from marketloom.llm.common import cut, lean, read, row_key
 from marketloom.llm.ngram_join import bitmap, in_bitmap
 
 
@@ -111,6 +111,7 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("id"), text.alias("t")).where(F.length("t") >= 2 * words - 1)
     kind = docs.schema["id"].dataType.simpleString()
 
+    @lean
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, fs, n = [], [], 0
@@ -123,6 +124,7 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if n:
                 yield pa.record_batch({"_key": pa.array([k for k, m in keys for _ in range(m)], pa.binary()), "f": pa.array(np.concatenate(fs).view(np.int64))})
 
+    @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import read
+from marketloom.llm.common import lean, read
 
 #: Letters of other scripts that look like Latin ones, and signs that stand in for letters.
 HOMOGLYPHS = str.maketrans("авеёзікмнорстухѕјԁɡαβεικνορτυχıļ", "abeesikmhopctyxsjdgabeikvoptuxil")
@@ -59,6 +59,7 @@ def learn_lexicon(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     wanted = wanted.orderBy(F.xxhash64(id_col), id_col).limit(train_rows)
     rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(wanted), id_col)  # at most train_rows rows
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for pdf in batches:
@@ -155,6 +156,7 @@ def toxicity_column(text: Column, lexicon: Sequence[tuple[str, float]], exceptio
     lexicon, exceptions = list(lexicon), list(exceptions)
 
     @F.pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = Matcher(lexicon, exceptions)
         for s in batches:
