@@ -148,12 +148,19 @@ def write_bundles(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return df.sparkSession.read.parquet(f"{folder.rstrip('/')}/index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, task_frames: int = 64) -> DataFrame:
     """Reads the records that `index` names back from the bundles, whole frames at a time:
-    page_id, record_type, payload_bytes and payload_digest as stored, refers_to, payload. The digest of each response is verified."""
+    page_id, record_type, payload_bytes and payload_digest as stored, refers_to, payload. The digest of each response is verified.
+
+    A row of the index that is repeated is read that often; null ids and empty payloads come back as written; a record of
+    any length lies in one frame. An empty index gives no rows. The index is small beside its frames, so tasks are set by
+    the number of frames: `task_frames` each, or fewer if that leaves cores idle.
+    """
     id_type = index.schema["page_id"].dataType.simpleString()
     data = f"{folder.rstrip('/')}/bundles"
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("records"))  # bounded by a frame
+    n_frames = index.select("bundle", "frame").distinct().count()
+    tasks = max(1, min(n_frames, max(-(-n_frames // task_frames), index.sparkSession.sparkContext.defaultParallelism)))
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("records"))  # bounded by a frame
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -181,7 +188,11 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Records with the payload sizes of revisits taken from the responses they refer to, without payloads."""
+    """Records with the payload sizes of revisits taken from the responses they refer to, without payloads.
+
+    One row per record, repeated ones too; a revisit whose response is not among the records has a null size. An empty
+    table gives an empty result. Payloads are not read, however long, and other columns are dropped.
+    """
     key = lambda page: F.sha1(F.concat_ws(":", page.cast("string"), "payload_digest"))
     records = records.drop("payload")
     sizes = records.where("record_type = 'response'").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("size"))
