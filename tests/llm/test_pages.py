@@ -32,6 +32,8 @@ def test_warc_round_trip(spark, rows):
         same = first is None or i == first
         want[(i, len(b), warc.sha1_base32(b), "response" if same else "revisit", None if same else first)] += 1
     assert Counter(map(tuple, out)) == want
+    frames = index.select("bundle", "frame").distinct().count()
+    assert 1 < warc.read_records(index, folder, task_frames=2).rdd.getNumPartitions() <= frames  # not merged into one task
     one = warc.read_records(index.where("page_id = 103"), folder).first()
     assert bytes(one.payload).decode() == "é" * 300_000
     none = warc.write_bundles(df.limit(0), f"{folder}-none")
@@ -94,3 +96,12 @@ def test_mined_rules_match_brute_force(spark):
     rows = spark.createDataFrame([(["a", "c", "x"],), (["b"],), (["z"],)], "tokens array<string>")
     got = {tuple(r.tokens): r.verdict for r in url_rules.match_rules(rows, mined).collect()}
     assert got == {("a", "c", "x"): "allow", ("b",): "block"}
+
+
+def test_long_url_tokens(spark):
+    long = "a" * 70
+    urls = [f"http://x.com/{long}b", f"http://x.com/{long}c", f"http://x.com/{'a' * 64}", "http://x.com/q?" + "&".join(f"k{chr(97 + i)}{'z' * 80}=1" for i in range(26))]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [r.t for r in df.select(url_rules.url_tokens(F.col("url"), url_rules.url_host(F.col("url")), url_rules.url_path(F.col("url"))).alias("t")).collect()]
+    assert got[0] != got[1] and len({t for t in got[0] if t.startswith("path:")} & set(got[1])) == 0
+    assert f"path:1={'a' * 64}" in got[2] and len([t for t in got[3] if t.startswith("key:")]) == 26 and max(map(len, sum(got, []))) < 120
