@@ -24,11 +24,11 @@ HOMOGLYPHS = str.maketrans("авеёзікмнорстухѕјԁɡαβεικνο
 DIGITS = str.maketrans("01345789@$!|", "oieastbgasii")
 _ODD = re.compile("[ƀ-᷿ -⁯＀-￯\U0001d400-\U0001d7ff]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_MIXED = re.compile(r"[^\W_]*[0-9@$!|][^\W\d_][^\s]*|[^\W\d_]+[0-9@$!|][^\s]*")
+_MIXED = re.compile(r"(?<![^\W_])[^\W_]*[0-9@$!|][^\W\d_][^\s]*|(?<![^\W\d_])[^\W\d_]+[0-9@$!|][^\s]*")  # tried once in each word
 _WORD = re.compile(r"[^\W\d_]+")
 #: Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pond scum", "sore loser")
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7, 8, 10, 12)
 
 
 def fold(text: str) -> str:
@@ -36,9 +36,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii() and _ODD.search(text):
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower().translate(HOMOGLYPHS)
-    if _MIXED.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(DIGITS), text)
-    return text
+    return _MIXED.sub(lambda m: m[0].translate(DIGITS), text)
 
 
 def features(text: str) -> set[str]:
@@ -47,13 +45,16 @@ def features(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
 
 
-def learn_lexicon(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, min_docs: int = 3, max_terms: int = 256) -> list[tuple[str, float]]:
+def learn_lexicon(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, min_docs: int = 3, max_candidates: int = 1 << 17) -> list[tuple[str, float]]:
     """(term, weight) of the lexicon, best first; a term that ends in * is a word's beginning.
 
     Labels are those of `labels`; null ones are left out, and an id labelled both ways counts as toxic. A greedy cover
     picks terms: each in turn is the one that explains most toxic texts not yet explained twice, among terms that are
     at least e^3 times as frequent in toxic texts; so chance companions of the real words are not picked. Equal texts
-    count once. Without toxic labels the lexicon is empty.
+    count once, whole and however long. Without toxic labels or rows, as in empty tables, the lexicon is empty.
+
+    Bounds of the fit, which scores all rows alike: `train_rows` labelled ids, and of the terms that are telling enough the
+    `max_candidates` in most toxic texts. The cover needs no bound: each term explains min_docs of at most train_rows texts.
     """
     wanted = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     wanted = wanted.orderBy(F.xxhash64(id_col), id_col).limit(train_rows)
@@ -76,7 +77,7 @@ def learn_lexicon(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     counted = rows.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     strong = counted.withColumn("w", odds).where((F.col("toxic") >= min_docs) & (F.col("w") >= 3) & (F.col("toxic") >= 9 * F.col("clean")))
-    strong = {r.f: (r.w, r.toxic, r.clean) for r in strong.orderBy(F.desc("toxic"), "f").limit(64 * max_terms).collect()}  # bounded
+    strong = {r.f: (r.w, r.toxic, r.clean) for r in strong.orderBy(F.desc("toxic"), "f").limit(max_candidates).collect()}
     names = df.sparkSession.sparkContext.broadcast(frozenset(strong))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,7 @@ def learn_lexicon(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             holders[f].append(i)
     lexicon: list[tuple[str, float]] = []
     gain = Counter({f: 2 * len(h) for f, h in holders.items()})
-    while len(lexicon) < max_terms and gain:
+    while gain:
         # On ties a more telling term, then the longest.
         f = max(gain, key=lambda f: (gain[f], -strong[f][2], len(f), f))
         if gain[f] < 2 * min_docs:
