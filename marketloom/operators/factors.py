@@ -106,7 +106,7 @@ def tech_score(panel: DataFrame) -> DataFrame:
 
 SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.2, "amplitude": -0.15, "limit_up_rate": 0.2, "breadth_rank": 0.25, "relative_strength": 0.2}
 
-#: All six components with the reference's own weights (factors/sentiment.py).
+#: The weights of all six components.
 FULL_SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.3, "amplitude": 0.15, "limit_up_rate": 0.15, "return_skew": 0.2, "breadth_rank": 0.1, "relative_strength": 0.1}
 
 

@@ -449,17 +449,24 @@ def brief_counts(s, d):
     return crosssec.fuse(panel(s, d)).groupBy("date").agg(*[F.count_if(F.col("direction") == k).alias(n) for k, n in ((1, "up"), (-1, "down"), (0, "flat"))])
 
 
-@query()
+_ALL = f"{BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_FUSE}"
+_PARTS = {"factor": "f1", "tech": "f2", "sentiment": "f3", "predict": "f4"}
+_FX = f"""fd AS (SELECT date, code, {', '.join(f'round({x}, 4) + 0.0 AS {k}_contrib' for k, x in _PARTS.items())}, round(f1 + f2 + f3 + f4, 6) AS total FROM fu),
+  fx AS (SELECT *, CAST(CASE WHEN total > 0.05 THEN 1 WHEN total < -0.05 THEN -1 ELSE 0 END AS INTEGER) AS direction, round(1 / (1 + exp(-2.5 * abs(total))), 3) AS confidence,
+    coalesce(nullif(concat_ws(',', {', '.join(f"CASE WHEN abs({k}_contrib) > 0.01 THEN '{k}' END" for k in _PARTS)}), ''), 'none') AS source_tags FROM fd)"""
+
+
+@query(f"WITH {_ALL}, {_FX} SELECT * FROM fx")
 def fusion_detail(s, d):
     return crosssec.fuse(panel(s, d))
 
 
-@query()
+@query(f"WITH {_ALL}, {_FX} SELECT * FROM fx WHERE date = (SELECT max(date) FROM fx) ORDER BY confidence DESC, code LIMIT 10")
 def top_signals(s, d):
     return tables.latest(crosssec.fuse(panel(s, d))).orderBy(F.desc("confidence"), "code").limit(10)
 
 
-@query()
+@query(f"WITH {_ALL}, {_FX} SELECT date, CAST(least(greatest(round(50 + 50 * sum(direction * confidence) / sum(confidence)), 0), 100) AS INTEGER) AS temperature, count(*) FILTER (direction = 1) AS up, count(*) FILTER (direction = -1) AS down FROM fx GROUP BY 1")
 def market_temperature(s, d):
     x = crosssec.fuse(panel(s, d)).groupBy("date").agg(F.sum(F.col("direction") * F.col("confidence")).alias("a"), F.sum("confidence").alias("b"), F.count_if(F.col("direction") == 1).alias("up"), F.count_if(F.col("direction") == -1).alias("down"))
     return x.select("date", F.least(F.greatest(F.round(50 + 50 * F.col("a") / F.col("b")), F.lit(0.0)), F.lit(100.0)).cast("int").alias("temperature"), "up", "down")
@@ -535,7 +542,11 @@ def wf_returns(s, d):
     return r6(backtest.simulate(backtest.top_k_long(alpha), p))
 
 
-@query()
+_RUN = _SIM.replace("sm AS", "run AS")  # the name sm is taken by the sentiment's market mean
+_RUN_OUT = "SELECT date, round(gross, 6) + 0.0 AS gross, round(turnover, 6) AS turnover, round(net, 6) + 0.0 AS net, round(bench, 6) + 0.0 AS bench FROM run"
+
+
+@query(f"WITH {_ALL}, {_FX}, wt AS (SELECT date, code, confidence / sum(confidence) OVER (PARTITION BY date) AS weight FROM fx WHERE direction = 1 AND confidence >= 0.52), {_RUN} {_RUN_OUT}")
 def bt_signal(s, d):
     p = panel(s, d)
     return r6(backtest.simulate(backtest.signal_weights(crosssec.fuse(p), 0.52), p))
@@ -566,7 +577,9 @@ def predict_vote(s, d):
     return r6(models.predict_vote(v))
 
 
-@query()
+@query(f"""WITH {BARS}, {_SENT}, ho AS (SELECT 'Brand#' || CAST(user_id % 25 + 1 AS VARCHAR) AS code, avg((value)) / 50 - 1 AS score FROM events GROUP BY 1),
+  hz AS (SELECT date, code, coalesce((sentiment - avg(sentiment) OVER x) / nullif(stddev_pop(sentiment) OVER x, 0), 0) AS z FROM se WINDOW x AS (PARTITION BY date))
+  SELECT date, code, round(CASE WHEN score IS NOT NULL THEN 0.3 * score + 0.7 * z ELSE z END, 6) AS sentiment_score FROM hz LEFT JOIN ho USING (code)""")
 def hotspot_blend(s, d):
     e = table(s, d, "events").select(F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("code"), "value")
     hot = e.groupBy("code").agg(((F.avg("value") - 50) / 50).alias("score"))
@@ -616,7 +629,8 @@ def cost_apply(s, d):
     return o.select("o_orderkey", *[F.round(c, 7).alias(c) for c in ("commission", "stamp", "slippage")])
 
 
-@query()
+@query(f"""WITH {BARS}{FL}, {_TECH}, tr AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY tech DESC, code) AS hi, row_number() OVER (PARTITION BY date ORDER BY tech, code) AS lo, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM te),
+  wt AS (SELECT date, code, CASE WHEN lo <= k THEN -1.0 / k ELSE 1.0 / k END AS weight FROM tr WHERE lo <= k OR hi <= k), {_RUN} {_RUN_OUT}""")
 def bt_tech_ls(s, d):
     p = panel(s, d)
     return r6(backtest.simulate(backtest.long_short(factors.tech_score(p).withColumnRenamed("tech_score", "score")), p))
