@@ -560,7 +560,7 @@ def regime_delta(s, d):
     return on.unionByName(off)
 
 
-@query()
+@query(f"""WITH {BARS}, {_INDEX}, {_TOPW.replace("wt AS", "full_wt AS")}, wt AS (SELECT date, code, weight * CASE signal WHEN 'buy' THEN 1.0 WHEN 'out' THEN 0.0 ELSE 0.5 END AS weight FROM full_wt LEFT JOIN sx USING (date)), {_RUN} {_RUN_OUT}""")
 def bt_timing(s, d):
     p = panel(s, d)
     w = backtest.exposure(backtest.top_k_long(_scores(p)), market.sentiment_index(p).select("date", "signal"))
@@ -636,7 +636,11 @@ def bt_tech_ls(s, d):
     return r6(backtest.simulate(backtest.long_short(factors.tech_score(p).withColumnRenamed("tech_score", "score")), p))
 
 
-@query()
+@query(f"""WITH {BARS}{FL}, {_long(_SOME)}, {_DIC}, gw AS (SELECT factor_name, avg(ic) AS w FROM ic GROUP BY 1), gd(factor_name, sign) AS (VALUES {', '.join(f"('{n}', {factors.FACTORS[n].direction})" for n in _SOME)}),
+  gz AS (SELECT date, code, factor_name, coalesce((value - avg(value) OVER x) / nullif(stddev_pop(value) OVER x, 0), 0) AS z FROM fl WHERE value IS NOT NULL WINDOW x AS (PARTITION BY date, factor_name)),
+  ga AS (SELECT date, code, sum(sign * z * w) AS score FROM gz JOIN gw USING (factor_name) JOIN gd USING (factor_name) GROUP BY 1, 2),
+  gs AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS hi, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM ga WHERE score IS NOT NULL),
+  wt AS (SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM gs WHERE hi <= k), {_RUN} {_RUN_OUT}""")
 def bt_factor_full(s, d):
     p = panel(s, d)
     f = factors.factor_long(p, _SOME).where("value IS NOT NULL")
