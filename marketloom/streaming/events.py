@@ -17,16 +17,21 @@ def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions that upsert_to wrote under `path`, in order; the last one is the table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(at)) if fs.exists(at) else []
+    return [n for n in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))]
+
+
 def upsert_to(path: str, keys: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: the batch replaces rows of equal keys (its last row of a key wins by ts). Each batch writes a
     new version under `path` and is skipped if that version is complete, so a batch that is run again changes nothing."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
-        done = [n for n in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))]
+        done = versions(spark, path)
         if number in done:
             return
         new = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
