@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("byte_bpe", "exact_dedup", "filter_audit", "line_dedup", "ngram_join", "secret_scan", "source_mixing", "topk_search", "toxicity", "url_rules", "warc")
+_MODULES = ("byte_bpe", "exact_dedup", "filter_audit", "katz", "line_dedup", "ngram_join", "secret_scan", "source_divergence", "source_mixing", "topk_search", "toxicity", "url_rules", "warc")
 
 
 def queries() -> dict:
