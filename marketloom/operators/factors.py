@@ -97,11 +97,18 @@ def alpha_features(panel: DataFrame) -> DataFrame:
     return d.select("code", "date", *[c.alias(n) for n, c in f.items()])
 
 
-def tech_score(panel: DataFrame) -> DataFrame:
-    """A technical score in [-1, 1] of trend, relative strength and distance to the 60-bar high."""
+def with_tech(panel: DataFrame, partial: bool = False) -> DataFrame:
+    """The panel with tech_score in [-1, 1], of trend, relative strength and distance to the 60-bar high; null while one of
+    them is unknown, or with `partial` of those that are known."""
+    known = (lambda c: F.coalesce(c, F.lit(0.0))) if partial else (lambda c: c)
     d = with_change(panel).withColumns({"_ma5": roll(F.avg, P, 5), "_ma20": roll(F.avg, P, 20), "_rsi": rsi(), "_high": roll(F.max, P, 60)})
-    score = 0.5 * clip((F.col("_ma5") / F.col("_ma20") - 1) / 0.05, -1, 1) + 0.3 * clip((F.col("_rsi") - 50) / 30, -1, 1) + 0.2 * clip((F.col(P) / F.col("_high") - 1) / 0.10, -1, 1)
-    return d.select("date", "code", clip(score, -1, 1).alias("tech_score"))
+    score = 0.5 * clip(known(F.col("_ma5") / F.col("_ma20") - 1) / 0.05, -1, 1) + 0.3 * clip((F.col("_rsi") - 50) / 30, -1, 1) + 0.2 * clip(known(F.col(P) / F.col("_high") - 1) / 0.10, -1, 1)
+    return d.withColumn("tech_score", clip(score, -1, 1))
+
+
+def tech_score(panel: DataFrame) -> DataFrame:
+    """date, code, tech_score as of with_tech."""
+    return with_tech(panel).select("date", "code", "tech_score")
 
 
 SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.2, "amplitude": -0.15, "limit_up_rate": 0.2, "breadth_rank": 0.25, "relative_strength": 0.2}

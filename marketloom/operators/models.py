@@ -1,17 +1,11 @@
-"""Return models: a vote of predictions, a committee of MLlib regressors with folds by date, and a plug-in interface."""
+"""Combining models: a vote of predictions, and sentiment blended with hotspots."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.stats import xs_zscore
-from marketloom.operators.backtest import numbered_dates
 
 
 def predict_vote(votes: DataFrame) -> DataFrame:
@@ -24,38 +18,3 @@ def blend_hotspots(sentiment: DataFrame, hot: DataFrame, alpha: float = 0.3) ->
     """sentiment (date, code, sentiment_score) z-scored by date, blended with hot (code, score) where a code has both."""
     z = sentiment.select("date", "code", xs_zscore("sentiment_score").alias("z")).join(hot, "code", "left")
     return z.select("date", "code", F.when(F.col("score").isNotNull(), alpha * F.col("score") + (1 - alpha) * F.col("z")).otherwise(F.col("z")).alias("sentiment_score"))
-
-
-def committee(features: DataFrame, label: DataFrame, names: list[str], folds: int = 3) -> DataFrame:
-    """model, fold, dir_acc, mae: expanding folds by date. features: date, code, names...; label: date, code, label.
-
-    Rows with a null feature or label take no part; labels are clipped to +-0.5.
-    """
-    d = features.select("date", "code", *names).join(label, ["date", "code"]).dropna()
-    d = d.join(numbered_dates(d), "date").withColumn("y", F.greatest(F.least("label", F.lit(0.5)), F.lit(-0.5)))
-    d = VectorAssembler(inputCols=names, outputCol="x").transform(d).select("place", "x", "y").cache()
-    last = (d.agg(F.max("place")).first()[0] or 0) + 1
-    models = {
-        "ridge": LinearRegression(featuresCol="x", labelCol="y", regParam=0.1),
-        "forest": RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=10, maxDepth=4, seed=7),
-        "boosting": GBTRegressor(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7),
-    }
-    out = None
-    for name, model in models.items():
-        for k in range(folds):
-            train = d.where(F.col("place") < last * (k + 1) // (folds + 1))
-            test = d.where((F.col("place") >= last * (k + 1) // (folds + 1)) & (F.col("place") < last * (k + 2) // (folds + 1)))
-            scored = model.fit(train).transform(test)
-            hit = (F.signum("prediction") == F.signum("y")).cast("double")
-            one = scored.agg(F.avg(hit).alias("dir_acc"), F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae")).select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "dir_acc", "mae")
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def apply_predictor(bars: DataFrame, predictor: Callable[[pd.DataFrame], dict[str, float]]) -> DataFrame:
-    """code, ret_pred, lower, upper by a Python predictor that sees the bars of one code, in date order."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"code": key[0], **predictor(pdf.sort_values("date"))}])
-
-    return bars.groupBy("code").applyInPandas(one, "code string, ret_pred double, lower double, upper double")

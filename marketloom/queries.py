@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.stats import by_code, xs_rank, xs_zscore
-from marketloom.operators import backtest, crosssec, factors, hotspot, market, models
+from marketloom.functions.stats import by_code, roll, xs_rank, xs_zscore
+from marketloom.operators import backtest, committee, crosssec, evaluation, factors, hotspot, market, models, predictors, strokes
 from marketloom.plans.bars import SQL as BARS
 from marketloom.plans.bars import adjust, panel, raw_bars, table
 from marketloom.sources import tables
@@ -650,12 +650,73 @@ def bt_factor_full(s, d):
     return r6(backtest.simulate(backtest.top_k_long(alpha), p))
 
 
+def _committee(s, d):
+    p = panel(s, d)
+    features = factors.alpha_features(p)
+    names = [c for c in features.columns if c not in ("code", "date")]
+    band = p.select("date", "code", roll(F.stddev_samp, "ret", 20).alias("band"))
+    features = features.join(band, ["date", "code"])
+    return features, names, committee.fit_committee(features, crosssec.labels(p), names, f"{_shared(s)}/committee")
+
+
 @query()
 def ml_committee(s, d):
+    features, names, chosen = _committee(s, d)
+    return committee.committee_predictions(features, names, chosen)
+
+
+@query()
+def ml_committee_scores(s, d):
+    features, _, chosen = _committee(s, d)
+    return committee.committee_scores(features, chosen)
+
+
+# Predictors of single codes
+
+
+def _ls(h: int) -> str:
+    w = f"OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND {h} PRECEDING)"
+    y = f"CASE WHEN x IS NOT NULL THEN lead(adj, {h}) OVER (PARTITION BY code ORDER BY date) / adj - 1 END"
+    return f"""SELECT date, code, {h} AS horizon, x, bars, regr_slope(y, x) {w} AS slope, regr_intercept(y, x) {w} AS base, stddev_samp(y) {w} AS sd, count(y) {w} AS n
+  FROM (SELECT date, code, x, bars, {y} AS y FROM (SELECT date, code, adj, adj / lag(adj, 5) OVER (PARTITION BY code ORDER BY date) - 1 AS x, row_number() OVER (PARTITION BY code ORDER BY date) AS bars FROM p))"""
+
+
+@query(f"WITH {BARS}, q AS ({_ls(1)} UNION ALL {_ls(5)} UNION ALL {_ls(10)}) SELECT code, date, horizon, round(base + slope * x, 6) + 0.0 AS ret_pred, round(base + slope * x - 1.96 * sd, 6) + 0.0 AS lower, round(base + slope * x + 1.96 * sd, 6) + 0.0 AS upper FROM q WHERE bars >= 30 AND n >= 20 AND x IS NOT NULL AND slope IS NOT NULL")
+def pred_least_squares(s, d):
+    p = panel(s, d).select("code", "date", "adj")
+    targets = p.select("code", "date", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10))).alias("horizon"))
+    return r6(predictors.predict_targets(p, targets, predictors.LeastSquares).select("code", "date", "horizon", "ret_pred", "lower", "upper"))
+
+
+def _evaluated(s, d) -> evaluation.EvaluationStore:
     p = panel(s, d)
-    label = crosssec.labels(p, (1,)).where("label IS NOT NULL").select("date", "code", "label")
-    names = ["roc_5", "ma_5", "std_5", "rsi_10", "pos_5", "vrat_5", "arat_5"]
-    return models.committee(factors.alpha_features(p), label, names)
+    store = evaluation.EvaluationStore(s, f"{_shared(s)}/evaluation")
+    evaluation.evaluate_resumably(store, "least_squares", p.select("code", "date", "adj"), crosssec.labels(p), predictors.LeastSquares)
+    return store
+
+
+_LAST = "la AS (SELECT *, row_number() OVER (PARTITION BY code, horizon ORDER BY date DESC) AS back FROM l WHERE label IS NOT NULL AND round(excess, 9) <> 0)"
+_PAIRS = f"q AS ({_ls(1)} UNION ALL {_ls(5)} UNION ALL {_ls(10)}), pa AS (SELECT code, horizon, date, CAST(sign(base + slope * x) AS INTEGER) AS dir_pred, CAST(sign(excess) AS INTEGER) AS dir, base + slope * x AS ret_pred, label FROM la JOIN q USING (code, horizon, date) WHERE back <= 15 AND bars >= 30 AND n >= 20 AND x IS NOT NULL AND slope IS NOT NULL)"
+
+
+@query(f"WITH {BARS}, {_LABELS}, {_LAST}, {_PAIRS} SELECT code, horizon, date, dir_pred, dir, round(ret_pred, 6) + 0.0 AS ret_pred, round(label, 6) + 0.0 AS actual FROM pa")
+def eval_pairs(s, d):
+    return r6(_evaluated(s, d).pairs().drop("model"))
+
+
+@query(f"""WITH {BARS}, {_LABELS}, {_LAST}, {_PAIRS}, k AS (SELECT date, {_RANK.format(by='date', x='ret_pred')} AS rx, {_RANK.format(by='date', x='label')} AS ry FROM pa),
+  i AS (SELECT date, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic FROM k GROUP BY 1 HAVING count(*) >= 3),
+  r AS (SELECT *, CASE WHEN count(*) OVER w = 3 THEN avg(ic) OVER w END AS rolling, row_number() OVER (ORDER BY date DESC) AS back FROM i WHERE ic IS NOT NULL WINDOW w AS (ORDER BY date ROWS 2 PRECEDING)),
+  o AS (SELECT avg(ic) AS ic, max(CASE WHEN back = 1 THEN rolling END) AS rolling_ic, count(rolling) FILTER (back <= 3) = 3 AND bool_and(abs(round(rolling, 9)) < 0.02) FILTER (back <= 3) AS dropped FROM r),
+  a AS (SELECT avg(CASE WHEN dir_pred = dir THEN 1.0 ELSE 0.0 END) AS dir_acc FROM pa)
+  SELECT 'least_squares' AS model, round(dir_acc, 6) AS dir_acc, round(ic, 6) AS ic, round(rolling_ic, 6) AS rolling_ic, dropped, round(CASE WHEN dropped THEN 0 ELSE 0.25 * least(greatest((ic - 0.02) / 0.03, 0), 1) END, 6) AS weight FROM o, a""")
+def model_gate(s, d):
+    return r6(evaluation.model_gate(_evaluated(s, d).pairs()))
+
+
+@query()
+def tech_strokes(s, d):
+    return r6(strokes.stroke_scores(panel(s, d)))
 
 
 # All six sentiment components and all dimensions of the index that the tables have
