@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import cut, forget, lean, read
 
 KATZ = 5  # counts above this are not discounted
-BLOCK_TOKENS, PART_KEYS = 1 << 22, 1 << 21
+BLOCK_TOKENS, PART_KEYS = 1 << 21, 1 << 21
 END = 0  # the number of the end in each block; no word is empty, so its text is b""
 _BEGIN = np.uint64(0x9E3779B97F4A7C15)  # stands for the hash of the history of a first word
 
