@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.stats import xs_zscore
-from marketloom.operators.crosssec import daily_ic
+from marketloom.operators.crosssec import daily_ic, directions, regime_scale
 
 COST = 2 * 0.0003 + 0.0005 + 2 * 4.0 / 1e4  # commission both ways, stamp duty, slippage both ways
 
 
+def at_upper_limit(limit: float = 0.10) -> Column:
+    """Whether a bar closes at its upper limit; null without the close before."""
+    return F.round(F.col("close") / F.nullif(F.col("pre_close"), F.lit(0.0)), 9) >= round(1 + limit, 9)
+
+
 def top_k_long(scores: DataFrame, frac: float = 0.2) -> DataFrame:
     """Equal weights on the best max(1, frac * n) names of each date, ties by code; names at their upper limit drop out
     after selection, and the rest share the weight. scores: date, code, score, at_limit."""
@@ -31,20 +36,46 @@ def long_short(scores: DataFrame, frac: float = 0.2) -> DataFrame:
     return d.withColumn("weight", weight).where("weight IS NOT NULL").select("date", "code", "weight")
 
 
-def simulate(weights: DataFrame, panel: DataFrame, rate: float = COST) -> DataFrame:
-    """date, gross, turnover, net, bench. Turnover is half the change of weights since the last traded date; names that
-    enter or leave count whole, and the first date counts 1."""
-    dates = weights.select("date").distinct()
-    dates = dates.withColumns({"_next": F.lead("date").over(Window.orderBy("date")), "_seq": F.row_number().over(Window.orderBy("date"))})  # one row for each date
+def tradable(weights: DataFrame, panel: DataFrame, limit: float = 0.10) -> DataFrame:
+    """weights without buys of names at their upper limit and shorts of names at their lower one, against the close of the
+    market's date before; names without that close stay."""
+    days = panel.select("date").distinct()
+    days = days.withColumn("_prev", F.lag("date").over(Window.orderBy("date")))  # one row for each date
+    closes = panel.select("date", "code", "close").join(days, "date")
+    closes = closes.join(panel.select(F.col("date").alias("_prev"), "code", F.col("close").alias("_pre")), ["_prev", "code"], "left")
+    move = F.round(F.col("close") / F.nullif(F.col("_pre"), F.lit(0.0)), 9)
+    stuck = F.when(F.col("weight") > 0, move >= round(1 + limit, 9)).when(F.col("weight") < 0, move <= round(1 - limit, 9))
+    d = weights.join(closes.select("date", "code", "close", "_pre"), ["date", "code"], "left")
+    return d.where(~F.coalesce(stuck, F.lit(False))).select(weights.columns)
+
+
+def full(weights: DataFrame) -> DataFrame:
+    """Weights of each date scaled to a gross exposure of 1; dates of none at all go."""
+    gross = F.sum(F.abs("weight")).over(Window.partitionBy("date"))
+    return weights.withColumn("_gross", gross).where("_gross > 0").withColumn("weight", F.col("weight") / F.col("_gross")).drop("_gross")
+
+
+def simulate(weights: DataFrame, panel: DataFrame, rate: float = COST, calendar: DataFrame | None = None) -> DataFrame:
+    """date, gross, turnover, net, bench on every date of the calendar (date; by default those of the weights).
+
+    Weights are taken as they are; see full. Dates of the calendar without weights are held in cash: a row of 0, and turnover
+    is 1 on the next date that is traded, as on the first one. Else turnover is half the change of weights since the date
+    before; names that enter or leave count whole.
+    """
+    held = weights.select("date").distinct().withColumn("held", F.lit(True))
+    dates = held if calendar is None else calendar.select("date").distinct().join(held, "date", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    by_date = Window.orderBy("date")  # one row for each date
+    dates = dates.withColumns({"_next": F.lead("date").over(by_date), "_carried": F.col("held") & F.coalesce(F.lag("held").over(by_date), F.lit(False))})
     now = weights.join(dates, "date")
     # Each holding is seen on its own date and, negated, on the next: their sum is the change.
     change = now.select("date", "code", "weight").unionByName(now.where("_next IS NOT NULL").select(F.col("_next").alias("date"), "code", (-F.col("weight")).alias("weight")))
     change = change.groupBy("date", "code").agg(F.sum("weight").alias("d")).groupBy("date").agg((F.sum(F.abs("d")) / 2).alias("turn"))
     gross = weights.join(panel.select("date", "code", "fwd"), ["date", "code"]).groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("gross"))
     bench = panel.groupBy("date").agg(F.avg("fwd").alias("bench"))
-    d = dates.join(gross, "date").join(change, "date").join(bench, "date")
-    turnover = F.when(F.col("_seq") == 1, F.lit(1.0)).otherwise(F.col("turn"))
-    return d.select("date", "gross", turnover.alias("turnover"), (F.col("gross") - turnover * rate).alias("net"), F.coalesce("bench", F.lit(0.0)).alias("bench"))
+    d = dates.join(gross, "date", "left").join(change, "date", "left").join(bench, "date")
+    turnover = F.when(~F.col("held"), 0.0).when(F.col("_carried"), F.col("turn")).otherwise(1.0)
+    gained = F.when(F.col("held"), F.coalesce("gross", F.lit(0.0))).otherwise(0.0)
+    return d.select("date", gained.alias("gross"), turnover.alias("turnover"), (gained - turnover * rate).alias("net"), F.coalesce("bench", F.lit(0.0)).alias("bench"))
 
 
 def metrics(returns: DataFrame, x: str = "net", days: int = 252) -> DataFrame:
@@ -120,8 +151,6 @@ def fold_weights(panel: DataFrame, factors: DataFrame, **kw) -> DataFrame:
 
 def fold_alpha(panel: DataFrame, factors: DataFrame, **kw) -> DataFrame:
     """fold, date, code, alpha on test dates: the sum of IC weight times z-score. Factors enter by their sign in the IC."""
-    from marketloom.operators.crosssec import directions
-
     f, dates = folds(panel, **kw), numbered_dates(panel)
     days = f.select("fold", F.explode(F.sequence("first_test", "last_test")).alias("place")).join(dates, "place").select("fold", "date")
     z = factors.where("value IS NOT NULL").withColumn("v", directions()[F.col("factor_name")] * F.col("value")).withColumn("z", xs_zscore("v", Window.partitionBy("date", "factor_name")))
@@ -130,16 +159,20 @@ def fold_alpha(panel: DataFrame, factors: DataFrame, **kw) -> DataFrame:
 
 
 def exposure(weights: DataFrame, signals: DataFrame) -> DataFrame:
-    """Weights scaled by the day's timing signal: buy 1, half 0.5, out 0; unknown days 0.5."""
+    """Weights scaled by the day's timing signal: buy 1, half 0.5, out 0; unknown days 0.5. What is not exposed is cash."""
     scale = F.when(F.col("signal") == "buy", 1.0).when(F.col("signal") == "out", 0.0).otherwise(0.5)
     return weights.join(signals.select("date", "signal"), "date", "left").select("date", "code", (F.col("weight") * scale).alias("weight"))
 
 
-def signal_weights(signals: DataFrame, least: float = 0.5, regimes: DataFrame | None = None) -> DataFrame:
-    """Long weights in proportion to confidence for direction 1 and confidence >= least; with regimes, scaled by the day before's."""
-    d = signals.where((F.col("direction") == 1) & (F.col("confidence") >= least))
-    d = d.select("date", "code", (F.col("confidence") / F.sum("confidence").over(Window.partitionBy("date"))).alias("weight"))
-    if regimes is None:
-        return d
-    scale = F.when(F.col("regime") == "panic", 0.3).when(F.col("regime") == "bear", 0.6).when(F.col("regime") == "bull", 1.0).otherwise(0.8)
-    return d.join(regimes, "date", "left").select("date", "code", (F.col("weight") * scale).alias("weight"))
+def signal_weights(signals: DataFrame, panel: DataFrame, least: float = 0.5, regimes: DataFrame | None = None, limit: float = 0.10) -> DataFrame:
+    """Long weights of a gross of 1 in proportion to confidence, for direction 1 and confidence >= least.
+
+    With regimes (date, regime: that of the date before) confidence is scaled first, so fewer names pass in bad ones. Names
+    at their upper limit, against pre_close, are not bought.
+    """
+    d = signals.where(F.col("direction") == 1).select("date", "code", F.col("confidence").alias("weight"))
+    if regimes is not None:
+        d = d.join(regimes.select("date", "regime"), "date", "left").withColumn("weight", F.col("weight") * regime_scale(F.col("regime")))
+    d = d.where(F.round("weight", 9) >= least).join(panel.select("date", "code", "close", "pre_close"), ["date", "code"], "left")
+    stuck = F.coalesce(at_upper_limit(limit), F.lit(False))
+    return full(d.where(~stuck).select("date", "code", "weight"))

@@ -101,21 +101,57 @@ def ic_gate(pred: DataFrame, label: DataFrame) -> DataFrame:
 FUSION_WEIGHTS = {"factor": 0.40, "tech": 0.20, "sentiment": 0.15, "predict": 0.25}
 
 
-def fuse(panel: DataFrame, dead_zone: float = 0.05, sentiment: dict[str, float] = SENTIMENT_WEIGHTS) -> DataFrame:
-    """date, code, total, direction, confidence, tags and contributions: factors, technical score, sentiment and prediction."""
-    z = factor_long(panel).where("value IS NOT NULL")
-    day = Window.partitionBy("date", "factor_name")
-    bet = F.create_map(*[F.lit(x) for n, s in FACTORS.items() for x in (n, s.direction * s.weight)])
-    wgt = F.create_map(*[F.lit(x) for n, s in FACTORS.items() for x in (n, s.weight)])
-    z = z.withColumn("z", xs_zscore("value", day))
-    factor = z.groupBy("date", "code").agg((F.sum(F.col("z") * bet[F.col("factor_name")]) / F.sum(wgt[F.col("factor_name")])).alias("factor"))
-    tech = tech_score(panel).withColumnRenamed("tech_score", "tech")
-    mood = sentiment_score(panel, sentiment).withColumnRenamed("sentiment_score", "sentiment")
+#: What a market regime leaves of a signal's confidence.
+REGIME_SCALE = {"bull": 1.0, "neutral": 1.0, "bear": 0.70, "panic": 0.45}
+
+
+def regime_scale(regime: Column) -> Column:
+    """The scale of a regime; 1 for none and unknown ones."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in REGIME_SCALE.items() for x in kv])[regime], F.lit(1.0))
+
+
+def factor_score(factors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """date, code, factor: the mean of z * direction over the factors that a code has, by `weights` (factor_name, weight; 1 if none)."""
+    z = factors.where("value IS NOT NULL").withColumn("z", xs_zscore("value", Window.partitionBy("date", "factor_name")))
+    if weights is None:
+        z = z.withColumn("weight", F.lit(1.0))
+    else:
+        z = z.join(weights.select("factor_name", "weight"), "factor_name", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    bet = F.col("z") * directions()[F.col("factor_name")] * F.col("weight")
+    return z.groupBy("date", "code").agg((F.sum(bet) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("factor"))
+
+
+def fuse(
+    panel: DataFrame, dead_zone: float = 0.05, sentiment: dict[str, float] = SENTIMENT_WEIGHTS, weights: DataFrame | None = None, hot: DataFrame | None = None, regimes: DataFrame | None = None,
+    universe: DataFrame | None = None, alpha: float = 0.3, tech: DataFrame | None = None,
+) -> DataFrame:
+    """date, code, total, direction, confidence, source_tags and contributions of factors, technical score, sentiment and prediction.
+
+    Each source is a z-score by date, missing ones count 0; the total weighs them by FUSION_WEIGHTS, contributions and tags
+    are of the z-scores themselves. Optional: weights (factor_name, weight) from the factors' health; hot (code, score),
+    which makes up `alpha` of the sentiment of codes that have it; regimes (date, regime), which scale the confidence and
+    never the direction; universe (code), the only codes that are returned; tech (date, code, tech_score) instead of the
+    score of means, strength and breakout.
+    """
+    factor = factor_score(factor_long(panel), weights)
+    tech = (tech_score(panel) if tech is None else tech).select("date", "code", xs_zscore("tech_score").alias("tech"))
+    mood = sentiment_score(panel, sentiment).select("date", "code", xs_zscore("sentiment_score").alias("sentiment"))
+    if hot is not None:
+        mood = mood.join(hot.select("code", "score"), "code", "left")
+        mood = mood.select("date", "code", F.coalesce(alpha * F.col("score") + (1 - alpha) * F.col("sentiment"), "sentiment").alias("sentiment"))
     pred = baseline(panel, (1,)).where("ret_pred IS NOT NULL").select("date", "code", F.signum("ret_pred").alias("vote"))
     pred = pred.select("date", "code", xs_zscore("vote").alias("predict"))
     d = factor.join(tech, ["date", "code"], "full").join(mood, ["date", "code"], "full").join(pred, ["date", "code"], "full")
-    parts = {k: F.lit(w) * F.coalesce(F.col(k), F.lit(0.0)) for k, w in FUSION_WEIGHTS.items()}
-    d = d.select("date", "code", *[F.round(c, 4).alias(f"{k}_contrib") for k, c in parts.items()], F.round(sum(parts.values(), F.lit(0.0)), 6).alias("total"))
+    if universe is not None:
+        d = d.join(universe.select("code"), "code", "left_semi")
+    parts = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in FUSION_WEIGHTS}
+    total = F.round(sum((w * parts[k] for k, w in FUSION_WEIGHTS.items()), F.lit(0.0)), 6)
+    d = d.select("date", "code", *[F.round(c, 4).alias(f"{k}_contrib") for k, c in parts.items()], *[c.alias(f"_{k}") for k, c in parts.items()], total.alias("total"))
     direction = F.when(F.col("total") > dead_zone, 1).when(F.col("total") < -dead_zone, -1).otherwise(0)
-    tags = F.concat_ws(",", *[F.when(F.abs(f"{k}_contrib") > 0.01, F.lit(k)) for k in FUSION_WEIGHTS])
-    return d.withColumns({"direction": direction, "confidence": F.round(sigmoid(2.5 * F.abs("total")), 3), "source_tags": F.when(tags == "", "none").otherwise(tags)})
+    tags = F.concat_ws(",", *[F.when(F.round(F.abs(f"_{k}"), 6) > 0.01, F.lit(k)) for k in FUSION_WEIGHTS])
+    d = d.withColumns({"direction": direction, "confidence": F.round(sigmoid(2.5 * F.abs("total")), 3), "source_tags": F.when(tags == "", "none").otherwise(tags)})
+    d = d.drop(*[f"_{k}" for k in FUSION_WEIGHTS])
+    if regimes is None:
+        return d
+    scaled = F.round(F.least(F.lit(1.0), F.col("confidence") * regime_scale(F.col("regime"))), 3)
+    return d.join(regimes.select("date", "regime"), "date", "left").withColumn("confidence", scaled).drop("regime")

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.stats import by_code, clip, ewm, lag, ratio, roll, xs_rank, xs_zscore
@@ -111,20 +111,17 @@ def tech_score(panel: DataFrame) -> DataFrame:
     return with_tech(panel).select("date", "code", "tech_score")
 
 
-SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.2, "amplitude": -0.15, "limit_up_rate": 0.2, "breadth_rank": 0.25, "relative_strength": 0.2}
-
-#: The weights of all six components.
-FULL_SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.3, "amplitude": 0.15, "limit_up_rate": 0.15, "return_skew": 0.2, "breadth_rank": 0.1, "relative_strength": 0.1}
+#: The weights of the six components.
+SENTIMENT_WEIGHTS = {"turnover_anomaly": 0.3, "amplitude": 0.15, "limit_up_rate": 0.15, "return_skew": 0.2, "breadth_rank": 0.1, "relative_strength": 0.1}
 
 
 def sentiment_components(panel: DataFrame, n: int = 20, names: Iterable[str] = tuple(SENTIMENT_WEIGHTS)) -> DataFrame:
     """Price-volume sentiment of each code and date: the components in `names`, missing values 0.
 
-    return_skew is the bias-corrected skewness of the last n returns.
+    return_skew is the bias-corrected skewness of the last n returns; relative_strength is the return over n bars less the
+    mean of all codes' on the date; the first return of a code counts as 0 in breadth_rank.
     """
-    market = panel.groupBy("date").agg(F.avg("ret").alias("_market"))
-    d = panel.join(market, "date").withColumn("_ret0", F.coalesce("ret", F.lit(0.0)))
-    excess = F.coalesce("ret", F.lit(0.0)) - F.coalesce("_market", F.lit(0.0))
+    d = panel.withColumns({"_ret0": F.coalesce("ret", F.lit(0.0)), "_gain": F.col(P) / lag(P, n) - 1})
     limit = (F.col("close") >= F.col("pre_close") * 1.095).cast("double")
     parts = {
         "turnover_anomaly": F.col("vol") / roll(F.avg, "vol", n) - 1,
@@ -132,7 +129,7 @@ def sentiment_components(panel: DataFrame, n: int = 20, names: Iterable[str] = t
         "limit_up_rate": roll(F.avg, limit, n),
         "return_skew": roll(F.skewness, "ret", n) * (math.sqrt(n * (n - 1)) / (n - 2)),
         "breadth_rank": xs_rank("_ret0"),
-        "relative_strength": roll(F.sum, excess, n),
+        "relative_strength": F.col("_gain") - F.avg("_gain").over(Window.partitionBy("date")),
     }
     return d.select("date", "code", *[F.coalesce(parts[k], F.lit(0.0)).alias(k) for k in names])
 

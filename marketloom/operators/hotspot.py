@@ -10,7 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where the six blocks of a fingerprint start and end.
@@ -79,31 +79,31 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dedup_near(df: DataFrame, key: str, print_col: str, distance: int = 3) -> DataFrame:
-    """The rows kept by comparing each, in order of `key`, with those kept before it; rows without a fingerprint stay.
+def greedy_gone(edges: DataFrame) -> DataFrame | None:
+    """n: what goes if each node, in order, is kept unless a smaller neighbour was. edges: a < b. None for no edges.
 
-    Rounds of joins: a row whose smaller partners are all gone is kept, and its larger partners go. `key` is unique and not null. Rounds are as many as
-    the longest chain of decisions; none is left undecided. Rows with an equal fingerprint share the fate of their first.
+    Rounds of joins: a node without a smaller neighbour left is kept, and its larger neighbours go. Rounds are as many as the
+    longest chain of decisions; most groups need one.
     """
-    firsts = df.where(F.col(print_col).isNotNull()).groupBy(print_col).agg(F.min(key).alias("_k"))
-    edges = _cut(near_pairs(firsts.withColumnRenamed("_k", key), key, print_col, distance))
     gone = None
+    edges = _cut(edges.select("a", "b").distinct())
     while not edges.isEmpty():
         heads = edges.select(F.col("a").alias("n")).distinct().join(edges.select(F.col("b").alias("n")).distinct(), "n", "left_anti")
         out = _cut(edges.join(heads, F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("n")).distinct())
         gone = out if gone is None else gone.unionByName(out)
-        edges = edges.join(out, F.col("a") == F.col("n"), "left_anti").join(out, F.col("b") == F.col("n"), "left_anti")
-        edges = _cut(edges)
-    kept = firsts if gone is None else firsts.join(gone, F.col("_k") == F.col("n"), "left_anti")
-    return df.where(F.col(print_col).isNull()).unionByName(df.join(kept.select(F.col("_k").alias(key)), key, "left_semi").select(df.columns))
+        edges = _cut(edges.join(out, F.col("a") == F.col("n"), "left_anti").join(out, F.col("b") == F.col("n"), "left_anti"))
+    return gone
+
 
+def dedup_near(df: DataFrame, key: str, print_col: str, distance: int = 3) -> DataFrame:
+    """The rows kept by comparing each, in order of `key`, with those kept before it; rows without a fingerprint stay.
 
-def parse_signal(raw: Column) -> Column:
-    """A struct (sentiment, score, codes) of a JSON text: unknown sentiments neutral, scores within [-1, 1], codes a list."""
-    j = F.from_json(raw, "sentiment string, score double, codes array<string>")
-    kind = F.when(j["sentiment"].isin("positive", "negative"), j["sentiment"]).otherwise("neutral")
-    score = F.least(F.greatest(F.coalesce(j["score"], F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))
-    return F.struct(kind.alias("sentiment"), score.alias("score"), F.coalesce(j["codes"], F.array().cast("array<string>")).alias("codes"))
+    `key` is unique and not null. Rows with an equal fingerprint share the fate of their first.
+    """
+    firsts = df.where(F.col(print_col).isNotNull()).groupBy(print_col).agg(F.min(key).alias("_k"))
+    gone = greedy_gone(near_pairs(firsts.withColumnRenamed("_k", key), key, print_col, distance))
+    kept = firsts if gone is None else firsts.join(gone, F.col("_k") == F.col("n"), "left_anti")
+    return df.where(F.col(print_col).isNull()).unionByName(df.join(kept.select(F.col("_k").alias(key)), key, "left_semi").select(df.columns))
 
 
 def daily_stats(df: DataFrame) -> DataFrame:
@@ -117,7 +117,3 @@ def by_code(df: DataFrame) -> DataFrame:
     w = F.when(F.coalesce("impact", F.lit(0.0)) == 0, 0.1).otherwise(F.col("impact"))
     d = df.select(F.explode("codes").alias("code"), "score", w.alias("w"))
     return d.groupBy("code").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("score"), F.count("*").alias("n"))
-
-
-def latest_per(df: DataFrame, key: str, ts: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts)))).where("_r = 1").drop("_r")

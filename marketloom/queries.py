@@ -5,18 +5,20 @@ Floats are rounded to six digits on both sides, for sums run in another order th
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions import tolerant
 from marketloom.functions.stats import by_code, roll, xs_rank, xs_zscore
-from marketloom.operators import backtest, committee, crosssec, evaluation, factors, hotspot, market, models, predictors, strokes
+from marketloom.operators import backtest, committee, crosssec, evaluation, factors, hotspot, market, models, predictors, signals, strokes
 from marketloom.plans.bars import SQL as BARS
 from marketloom.plans.bars import adjust, panel, raw_bars, table
-from marketloom.sources import tables
-from marketloom.streaming import events
+from marketloom.sources import catalog, feeds, landing, logs, tables
+from marketloom.streaming import events, near
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,10 +80,10 @@ def factor_pivot(s, d):
     return r6(long.groupBy("date", "code").pivot("factor_name", PIVOT).agg(F.avg("value")))
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS price FROM orders")
 def upsert_merge(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"))
-    return tables.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("price", F.round(F.col("price") * 2, 2)), ("o_orderkey",))
+    return tables.upsert(o, o.where("o_orderkey % 3 = 0").withColumn("price", F.round(F.col("price") * 2, 2)), ("o_orderkey",))
 
 
 _TWO = "a AS (SELECT code, date, close, 'first' AS source FROM raw WHERE day(date) % 7 <> 0), b AS (SELECT code, date, close * CASE WHEN day(date) % 5 = 0 THEN 1.1 ELSE 1.001 END AS close, 'second' AS source FROM raw)"
@@ -105,11 +107,12 @@ def source_divergence(s, d):
     return r6(tables.divergence(*_two(s, d)).select("code", "date", "diff"))
 
 
-@query(bars_sql("SELECT code FROM raw GROUP BY code HAVING max(date) < (SELECT max(date) FROM raw)"))
+@query("SELECT c_custkey AS code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING CAST(max(o_orderdate) AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) - 30 FROM orders))")
 def ingest_resume(s, d):
-    bars = raw_bars(s, d).select("code", "date")
-    end = bars.agg(F.max("date").alias("end"))
-    return bars.groupBy("code").agg(F.max("date").alias("last")).join(end, F.col("last") < F.col("end"), "left_semi").select("code")
+    bars = table(s, d, "orders").select(F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("date"))
+    end = bars.agg(F.date_sub(F.max("date"), 30).alias("end"))
+    codes = table(s, d, "customer").select(F.col("c_custkey").alias("code"))
+    return tables.to_resume(codes, bars, end)
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS total FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 20")
@@ -247,8 +250,8 @@ def ms_price(s, d):
 _BREADTH = "v AS (SELECT date, sum(CASE WHEN coalesce(ret > 0, false) THEN vol ELSE 0 END) / sum(vol) AS volume_dim, avg(CASE WHEN coalesce(ret > 0, false) THEN 1.0 ELSE 0.0 END) AS price_dim FROM p GROUP BY 1)"
 
 
-def _pct(x: str) -> str:
-    return f"(SELECT date, CASE WHEN n < greatest(20, n // 4) OR round(sd, 12) = 0 THEN 50 ELSE len(list_filter(xs, lambda y: y <= x)) / n * 100 END AS pct FROM (SELECT date, {x} AS x, list({x}) OVER w AS xs, count(*) OVER w AS n, stddev_pop({x}) OVER w AS sd FROM v WINDOW w AS (ORDER BY date ROWS 749 PRECEDING)))"
+def _pct(x: str, source: str = "v") -> str:
+    return f"(SELECT date, CASE WHEN n < greatest(20, n // 4) OR round(sd, 12) = 0 THEN 50 ELSE len(list_filter(xs, lambda y: y <= x)) / n * 100 END AS pct FROM (SELECT date, {x} AS x, list({x}) OVER w AS xs, count(*) OVER w AS n, stddev_pop({x}) OVER w AS sd FROM {source} WHERE {x} IS NOT NULL WINDOW w AS (ORDER BY date ROWS 749 PRECEDING)))"
 
 
 @query(f"WITH {BARS}, {_BREADTH} SELECT date, round(pct, 4) AS pct FROM {_pct('price_dim')}")
@@ -313,9 +316,28 @@ for _name in factors.FACTORS:
     _factor(_name)
 
 
-@query()
+def _alpha_sql() -> str:
+    """The features in SQL; strength by the definition, a fold over the changes of a code."""
+    r, lag = factors._r, factors._lag
+    f = {f"roc_{n}": f"adj / {lag('adj', n)} - 1" for n in (5, 10, 20, 60)} | {f"ma_{n}": f"({r('avg', 'adj', n)}) / adj - 1" for n in (5, 10, 20, 30, 60)} | {f"std_{n}": r("stddev_samp", "_log", n) for n in (5, 10, 20, 60)}
+    f |= {f"rsi_{n}": f"coalesce(100 - 100 / (1 + up{n} / nullif(down{n}, 0)), 50)" for n in (10, 20)}
+    f |= {f"pos_{n}": f"(adj - ({r('min', 'low', n)})) / nullif(({r('max', 'high', n)}) - ({r('min', 'low', n)}), 0)" for n in (5, 10, 20)}
+    f |= {f"{k}rat_{n}": f"{x} / ({r('avg', x, n)})" for k, x in (("v", "_vol"), ("a", "_amount")) for n in (5, 10, 20)}
+    f |= {f"p2h_{n}": f"adj / ({r('max', 'high', n)}) - 1" for n in (20, 60)}
+    f |= {"amp_20": f"({r('avg', '(high - low)', 20)}) / adj", "turn_trend": f"({r('avg', '_vol', 5)}) / ({r('avg', '_vol', 20)}) - 1"}
+    w = "OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    f["corr_rv_20"] = f"CASE WHEN count(_log * _dvol) {w} = 20 THEN covar_pop(_log, _dvol) {w} / nullif(stddev_pop(_log) {w} * stddev_pop(_dvol) {w}, 0) END"
+    mean = lambda x, n: f"list_reduce(list_transform(gs, lambda g: greatest({x}g, 0.0)), lambda a, g: a * {1 - 1 / n} + g * {1 / n})"
+    means = ", ".join(f"CASE WHEN len(gs) > 0 THEN {mean(x, n)} END AS {k}{n}" for n in (10, 20) for k, x in (("up", ""), ("down", "-")))
+    return f"""c1 AS (SELECT *, nullif(vol, 0) AS _vol, nullif(amount, 0) AS _amount, list(_change) FILTER (_change IS NOT NULL) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING) AS g0 FROM c),
+  c2 AS (SELECT *, _vol / lag(_vol) OVER (PARTITION BY code ORDER BY date) - 1 AS _dvol, coalesce(g0, []) AS gs FROM c1), c3 AS (SELECT * EXCLUDE (gs, g0), {means} FROM c2)
+  SELECT code, date, {', '.join(f'round({x}, 5) + 0.0 AS {k}' for k, x in f.items())} FROM c3"""
+
+
+@query(f"WITH {BARS}{FL}, {_alpha_sql()}")
 def alpha_features(s, d):
-    return factors.alpha_features(panel(s, d))
+    out = factors.alpha_features(panel(s, d))
+    return out.select(*[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query(f"""WITH {BARS}{FL}, t AS (SELECT date, code, adj, {factors._r('avg', 'adj', 5)} AS ma5, {factors._r('avg', 'adj', 20)} AS ma20, {factors.FACTORS['f_rsi_14'].sql} AS rsi, {factors._r('max', 'adj', 60)} AS top FROM c),
@@ -325,16 +347,17 @@ def tech_score(s, d):
     return r6(factors.tech_score(panel(s, d)))
 
 
-@query(f"""WITH {BARS}, m AS (SELECT date, avg(ret) AS mkt FROM p GROUP BY 1), c AS (SELECT p.*, coalesce(ret, 0) AS ret0, coalesce(ret, 0) - coalesce(mkt, 0) AS ex, CASE WHEN pre_close IS NULL THEN NULL WHEN close >= pre_close * 1.095 THEN 1.0 ELSE 0.0 END AS lim, (high - low) / adj AS amp FROM p JOIN m USING (date))
-  SELECT date, code, round(coalesce(vol / ({factors._r('avg', 'vol', 20)}) - 1, 0), 6) AS turnover_anomaly, round(coalesce({factors._r('avg', 'amp', 20)}, 0), 6) AS amplitude, round(coalesce({factors._r('avg', 'lim', 20)}, 0), 6) AS limit_up_rate,
-  round({_RANK.format(by='date', x='ret0')}, 6) AS breadth_rank, round(coalesce({factors._r('sum', 'ex', 20)}, 0), 6) AS relative_strength FROM c""")
-def sent_components(s, d):
-    return r6(factors.sentiment_components(panel(s, d)))
+_PARTS_OF_SENT = f"""s0 AS (SELECT *, coalesce(ret, 0) AS ret0, adj / {factors._lag('adj', 20)} - 1 AS gain, CASE WHEN pre_close IS NULL THEN NULL WHEN close >= pre_close * 1.095 THEN 1.0 ELSE 0.0 END AS lim, (high - low) / adj AS amp FROM p),
+  s1 AS (SELECT date, code, coalesce(vol / ({factors._r('avg', 'vol', 20)}) - 1, 0) AS turnover_anomaly, coalesce({factors._r('avg', 'amp', 20)}, 0) AS amplitude, coalesce({factors._r('avg', 'lim', 20)}, 0) AS limit_up_rate,
+    coalesce({factors._r('skewness', 'ret', 20)}, 0) AS return_skew, {_RANK.format(by='date', x='ret0')} AS breadth_rank, coalesce(gain - avg(gain) OVER (PARTITION BY date), 0) AS relative_strength FROM s0)"""
+_SENT_Z = " + ".join(f"({w}) * coalesce(({k} - avg({k}) OVER x) / nullif(stddev_pop({k}) OVER x, 0), 0)" for k, w in factors.SENTIMENT_WEIGHTS.items())
+_SENT = f"{_PARTS_OF_SENT}, se AS (SELECT date, code, least(greatest({_SENT_Z}, -1), 1) AS sentiment FROM s1 WINDOW x AS (PARTITION BY date))"
+_SENT_OUT = f"WITH {BARS}, {_PARTS_OF_SENT} SELECT date, code, {', '.join(f'round({k}, 6) + 0.0 AS {k}' for k in factors.SENTIMENT_WEIGHTS)} FROM s1"
 
 
-_SENT = f"""sm AS (SELECT date, avg(ret) AS mkt FROM p GROUP BY 1), s0 AS (SELECT p.*, coalesce(ret, 0) AS ret0, coalesce(ret, 0) - coalesce(mkt, 0) AS ex, CASE WHEN pre_close IS NULL THEN NULL WHEN close >= pre_close * 1.095 THEN 1.0 ELSE 0.0 END AS lim, (high - low) / adj AS amp FROM p JOIN sm USING (date)),
-  s1 AS (SELECT date, code, coalesce(vol / ({factors._r('avg', 'vol', 20)}) - 1, 0) AS a1, coalesce({factors._r('avg', 'amp', 20)}, 0) AS a2, coalesce({factors._r('avg', 'lim', 20)}, 0) AS a3, {_RANK.format(by='date', x='ret0')} AS a4, coalesce({factors._r('sum', 'ex', 20)}, 0) AS a5 FROM s0),
-  se AS (SELECT date, code, least(greatest({' + '.join(f"({w}) * coalesce((a{i} - avg(a{i}) OVER x) / nullif(stddev_pop(a{i}) OVER x, 0), 0)" for i, w in enumerate(factors.SENTIMENT_WEIGHTS.values(), 1))}, -1), 1) AS sentiment FROM s1 WINDOW x AS (PARTITION BY date))"""
+@query(_SENT_OUT)
+def sent_components(s, d):
+    return r6(factors.sentiment_components(panel(s, d)))
 
 
 @query(f"WITH {BARS}, {_SENT} SELECT date, code, round(sentiment, 5) AS sentiment_score FROM se")
@@ -424,7 +447,7 @@ def factor_health(s, d):
 
 @query(f"""WITH {BARS}{FL}, {_long(_SOME)}, a AS (SELECT date, code, factor_name, industry, value - avg(value) OVER w AS y, ln(mv) - avg(ln(mv)) OVER w AS x FROM fl WHERE value IS NOT NULL WINDOW w AS (PARTITION BY date, factor_name, industry)),
   b AS (SELECT *, round(y - coalesce(sum(x * y) OVER w / nullif(sum(x * x) OVER w, 0), 0) * x, 9) AS res FROM a WINDOW w AS (PARTITION BY date, factor_name))
-  SELECT date, code, factor_name, round(coalesce((res - avg(res) OVER w) / nullif(stddev_pop(res) OVER w, 0), 0), 4) AS value FROM b WHERE date >= DATE '1994-01-01' WINDOW w AS (PARTITION BY date, factor_name)""")
+  SELECT date, code, factor_name, round(coalesce((res - avg(res) OVER w) / nullif(stddev_pop(res) OVER w, 0), 0), 4) AS value FROM b WINDOW w AS (PARTITION BY date, factor_name)""")
 def neutralize(s, d):
     p = panel(s, d)
     out = crosssec.neutralize(factors.factor_long(p, _SOME).join(p.select("date", "code", "industry", "mv"), ["date", "code"]))
@@ -433,34 +456,67 @@ def neutralize(s, d):
 
 _TECH = f"""t0 AS (SELECT date, code, adj, {factors._r('avg', 'adj', 5)} AS ma5, {factors._r('avg', 'adj', 20)} AS ma20, {factors.FACTORS['f_rsi_14'].sql} AS rsi, {factors._r('max', 'adj', 60)} AS top FROM c),
   te AS (SELECT date, code, least(greatest(0.5 * least(greatest((ma5 / ma20 - 1) / 0.05, -1), 1) + 0.3 * least(greatest((rsi - 50) / 30, -1), 1) + 0.2 * least(greatest((adj / top - 1) / 0.10, -1), 1), -1), 1) AS tech FROM t0 WHERE top IS NOT NULL)"""
-_FUSE = f"""{_long(list(factors.FACTORS))}, fz AS (SELECT date, code, factor_name, coalesce((value - avg(value) OVER x) / nullif(stddev_pop(value) OVER x, 0), 0) AS z FROM fl WHERE value IS NOT NULL WINDOW x AS (PARTITION BY date, factor_name)),
-  fs(factor_name, w, b) AS (VALUES {', '.join(f"('{n}', {f.weight}, {f.direction * f.weight})" for n, f in factors.FACTORS.items())}), fa AS (SELECT date, code, sum(z * b) / sum(w) AS factor FROM fz JOIN fs USING (factor_name) GROUP BY 1, 2),
-  pv AS (SELECT date, code, sign(mom) AS vote FROM b0 WHERE mom IS NOT NULL), pz AS (SELECT date, code, coalesce((vote - avg(vote) OVER x) / nullif(stddev_pop(vote) OVER x, 0), 0) AS predict FROM pv WINDOW x AS (PARTITION BY date)),
-  fu AS (SELECT date, code, 0.40 * coalesce(factor, 0) AS f1, 0.20 * coalesce(tech, 0) AS f2, 0.15 * coalesce(sentiment, 0) AS f3, 0.25 * coalesce(predict, 0) AS f4 FROM p LEFT JOIN fa USING (date, code) LEFT JOIN te USING (date, code) LEFT JOIN se USING (date, code) LEFT JOIN pz USING (date, code))"""
+def _fuse(weights: str = "SELECT NULL AS factor_name, NULL AS weight", sentiment: str = "z3") -> str:
+    """The four sources as z-scores by date; weights: factor_name and weight, 1 for all others."""
+    z = lambda x: f"coalesce(({x} - avg({x}) OVER x) / nullif(stddev_pop({x}) OVER x, 0), 0)"
+    dirs = ", ".join(f"('{n}', {f.direction})" for n, f in factors.FACTORS.items())
+    return f"""fz AS (SELECT date, code, factor_name, {z('value')} AS z FROM fl WHERE value IS NOT NULL WINDOW x AS (PARTITION BY date, factor_name)),
+  fs(factor_name, dir) AS (VALUES {dirs}), fw AS ({weights}),
+  fa AS (SELECT date, code, sum(z * dir * coalesce(weight, 1)) / sum(coalesce(weight, 1)) AS factor FROM fz JOIN fs USING (factor_name) LEFT JOIN fw USING (factor_name) GROUP BY 1, 2),
+  tz AS (SELECT date, code, {z('tech')} AS tech FROM te WINDOW x AS (PARTITION BY date)), sz AS (SELECT date, code, {z('sentiment')} AS z3 FROM se WINDOW x AS (PARTITION BY date)),
+  pv AS (SELECT date, code, sign(mom) AS vote FROM b0 WHERE mom IS NOT NULL), pz AS (SELECT date, code, {z('vote')} AS predict FROM pv WINDOW x AS (PARTITION BY date)),
+  fu AS (SELECT date, code, coalesce(factor, 0) AS f1, coalesce(tech, 0) AS f2, coalesce({sentiment}, 0) AS f3, coalesce(predict, 0) AS f4 FROM p LEFT JOIN fa USING (date, code) LEFT JOIN tz USING (date, code) LEFT JOIN sz USING (date, code) LEFT JOIN pz USING (date, code))"""
+
+
+_FUSE = f"{_long(list(factors.FACTORS))}, {_fuse()}"
+_ALL = f"{BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_FUSE}"
+_PARTS = {"factor": "f1", "tech": "f2", "sentiment": "f3", "predict": "f4"}
+_FX = f"""fd AS (SELECT date, code, f1, f2, f3, f4, {', '.join(f'round({x}, 4) + 0.0 AS {k}_contrib' for k, x in _PARTS.items())}, round(0.40 * f1 + 0.20 * f2 + 0.15 * f3 + 0.25 * f4, 6) + 0.0 AS total FROM fu),
+  fx AS (SELECT * EXCLUDE (f1, f2, f3, f4), CAST(CASE WHEN total > 0.05 THEN 1 WHEN total < -0.05 THEN -1 ELSE 0 END AS INTEGER) AS direction, round(1 / (1 + exp(-2.5 * abs(total))), 3) AS confidence,
+    coalesce(nullif(concat_ws(',', {', '.join(f"CASE WHEN round(abs({x}), 6) > 0.01 THEN '{k}' END" for k, x in _PARTS.items())}), ''), 'none') AS source_tags FROM fd)"""
 
 
-@query(f"WITH {BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_FUSE} SELECT date, code, round(f1 + f2 + f3 + f4, 6) AS total, CAST(CASE WHEN round(f1 + f2 + f3 + f4, 6) > 0.05 THEN 1 WHEN round(f1 + f2 + f3 + f4, 6) < -0.05 THEN -1 ELSE 0 END AS INTEGER) AS direction FROM fu")
+@query(f"WITH {_ALL}, {_FX} SELECT date, code, total, direction FROM fx")
 def fusion_signals(s, d):
     return crosssec.fuse(panel(s, d)).select("date", "code", "total", "direction")
 
 
-@query(f"WITH {BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_FUSE}, g AS (SELECT date, round(f1 + f2 + f3 + f4, 6) AS total FROM fu) SELECT date, count(*) FILTER (total > 0.05) AS up, count(*) FILTER (total < -0.05) AS down, count(*) FILTER (abs(total) <= 0.05) AS flat FROM g GROUP BY 1")
+@query(f"WITH {_ALL}, {_FX} SELECT date, count(*) FILTER (total > 0.05) AS up, count(*) FILTER (total < -0.05) AS down, count(*) FILTER (abs(total) <= 0.05) AS flat FROM fx GROUP BY 1")
 def brief_counts(s, d):
     return crosssec.fuse(panel(s, d)).groupBy("date").agg(*[F.count_if(F.col("direction") == k).alias(n) for k, n in ((1, "up"), (-1, "down"), (0, "flat"))])
 
 
-_ALL = f"{BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_FUSE}"
-_PARTS = {"factor": "f1", "tech": "f2", "sentiment": "f3", "predict": "f4"}
-_FX = f"""fd AS (SELECT date, code, {', '.join(f'round({x}, 4) + 0.0 AS {k}_contrib' for k, x in _PARTS.items())}, round(f1 + f2 + f3 + f4, 6) AS total FROM fu),
-  fx AS (SELECT *, CAST(CASE WHEN total > 0.05 THEN 1 WHEN total < -0.05 THEN -1 ELSE 0 END AS INTEGER) AS direction, round(1 / (1 + exp(-2.5 * abs(total))), 3) AS confidence,
-    coalesce(nullif(concat_ws(',', {', '.join(f"CASE WHEN abs({k}_contrib) > 0.01 THEN '{k}' END" for k in _PARTS)}), ''), 'none') AS source_tags FROM fd)"""
-
-
 @query(f"WITH {_ALL}, {_FX} SELECT * FROM fx")
 def fusion_detail(s, d):
     return crosssec.fuse(panel(s, d))
 
 
+def _hot(s, d):
+    """A score of each code from events: the mean distance of their values from 50, in 50s."""
+    e = table(s, d, "events").select(F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("code"), "value")
+    return e.groupBy("code").agg(((F.avg("value") - 50) / 50).alias("score"))
+
+
+_HEALTH = f"""{_DIC}, dd AS (SELECT DISTINCT date FROM p WHERE fwd IS NOT NULL ORDER BY date DESC LIMIT 60), hg AS (SELECT factor_name, coalesce(avg(ic), 0) AS ic FROM ic WHERE date IN (FROM dd) GROUP BY 1),
+  hs(factor_name, base) AS (VALUES {', '.join(f"('{n}', {f.weight})" for n, f in factors.FACTORS.items())}),
+  hw AS (SELECT factor_name, base * CASE WHEN round(ic, 9) >= 0.02 THEN 1.0 WHEN round(ic, 9) >= 0.01 THEN 0.5 ELSE 0.1 END AS weight FROM hg JOIN hs USING (factor_name))"""
+_HO = "ho AS (SELECT 'Brand#' || CAST(user_id % 25 + 1 AS VARCHAR) AS code, avg((value)) / 50 - 1 AS score FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {BARS}{FL}, {_BASE}, {_SENT}, {_TECH}, {_long(list(factors.FACTORS))}, {_HEALTH}, {_HO}, {_STOCKS}, {_INDEX}, rl AS (SELECT date, lag(regime_state) OVER (ORDER BY date) AS regime FROM sx),
+  {_fuse('SELECT factor_name, weight FROM hw', '(SELECT coalesce(0.3 * max(score) + 0.7 * sz.z3, sz.z3) FROM ho WHERE ho.code = p.code)')}, {_FX}
+  SELECT fx.* EXCLUDE (confidence), round(least(1.0, confidence * CASE regime WHEN 'bear' THEN 0.70 WHEN 'panic' THEN 0.45 ELSE 1.0 END), 3) AS confidence
+  FROM fx LEFT JOIN rl USING (date) WHERE fx.date = (SELECT max(date) FROM p) AND code IN (SELECT code FROM st WHERE NOT delisted AND name NOT LIKE '*ST%')""")
+def fusion_latest(s, d):
+    p = panel(s, d)
+    scale = F.create_map(*[F.lit(x) for n, f in factors.FACTORS.items() for x in (n, f.weight)])
+    health = crosssec.factor_health(p, factors.factor_long(p)).select("factor_name", (scale[F.col("factor_name")] * F.col("weight_scale")).alias("weight"))
+    keep = _stocks(s, d).where("NOT delisted AND name NOT LIKE '*ST%'").select("code")
+    regimes = market.regime_lag(market.sentiment_index(p))
+    fused = crosssec.fuse(p, weights=health, hot=_hot(s, d), regimes=regimes, universe=keep)
+    return fused.join(p.agg(F.max("date").alias("date")), "date", "left_semi")
+
+
 @query(f"WITH {_ALL}, {_FX} SELECT * FROM fx WHERE date = (SELECT max(date) FROM fx) ORDER BY confidence DESC, code LIMIT 10")
 def top_signals(s, d):
     return tables.latest(crosssec.fuse(panel(s, d))).orderBy(F.desc("confidence"), "code").limit(10)
@@ -476,15 +532,34 @@ def market_temperature(s, d):
 
 
 def _scores(p):
-    return p.select("date", "code", (F.col("adj") / F.lag("adj", 5).over(by_code()) - 1).alias("score"), (F.col("close") >= F.col("pre_close") * 1.5).alias("at_limit"))
+    return p.select("date", "code", (F.col("adj") / F.lag("adj", 5).over(by_code()) - 1).alias("score"), F.coalesce(backtest.at_upper_limit(), F.lit(False)).alias("at_limit"))
 
 
-_TOP = "sc AS (SELECT date, code, fwd, adj / lag(adj, 5) OVER (PARTITION BY code ORDER BY date) - 1 AS score, coalesce(close >= pre_close * 1.5, false) AS lim FROM p), sr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS hi, row_number() OVER (PARTITION BY date ORDER BY score, code) AS lo, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM sc WHERE score IS NOT NULL)"
+_TOP = "sc AS (SELECT date, code, fwd, adj / lag(adj, 5) OVER (PARTITION BY code ORDER BY date) - 1 AS score, coalesce(round(close / nullif(pre_close, 0), 9) >= 1.1, false) AS lim FROM p), sr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS hi, row_number() OVER (PARTITION BY date ORDER BY score, code) AS lo, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM sc WHERE score IS NOT NULL)"
 _TOPW = f"{_TOP}, wt AS (SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM sr WHERE hi <= k AND NOT lim)"
-_SIM = f"""dt AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt, row_number() OVER (ORDER BY date) AS seq FROM (SELECT DISTINCT date FROM wt)),
+#: Buys at the upper limit and shorts at the lower one go, then the gross exposure is 1. From bk to wt.
+_FULL = """md AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM p)), mv AS (SELECT p.date, p.code, round(p.close / nullif(b.close, 0), 9) AS move FROM p JOIN md USING (date) LEFT JOIN p b ON b.code = p.code AND b.date = md.prev),
+  w1 AS (SELECT date, code, weight FROM bk LEFT JOIN mv USING (date, code) WHERE NOT coalesce(CASE WHEN weight > 0 THEN move >= 1.1 WHEN weight < 0 THEN move <= 0.9 END, false)),
+  wt AS (SELECT date, code, weight / sum(abs(weight)) OVER (PARTITION BY date) AS weight FROM w1)"""
+
+
+def _sim(calendar: str = "SELECT DISTINCT date FROM wt") -> str:
+    return f"""ca AS ({calendar}), dt AS (SELECT date, held, lead(date) OVER o AS nxt, held AND coalesce(lag(held) OVER o, false) AS carried FROM (SELECT date, date IN (SELECT date FROM wt) AS held FROM ca) WINDOW o AS (ORDER BY date)),
   ch AS (SELECT date, code, sum(w) AS dw FROM (SELECT date, code, weight AS w FROM wt UNION ALL SELECT nxt, code, -weight FROM wt JOIN dt USING (date) WHERE nxt IS NOT NULL) GROUP BY 1, 2), tu AS (SELECT date, sum(abs(dw)) / 2 AS turn FROM ch GROUP BY 1),
   gr AS (SELECT date, sum(weight * coalesce(fwd, 0)) AS gross FROM wt JOIN p USING (date, code) GROUP BY 1), be AS (SELECT date, coalesce(avg(fwd), 0) AS bench FROM p GROUP BY 1),
-  sm AS (SELECT date, gross, CASE WHEN seq = 1 THEN 1 ELSE turn END AS turnover, gross - CASE WHEN seq = 1 THEN 1 ELSE turn END * {backtest.COST!r} AS net, bench FROM dt JOIN tu USING (date) JOIN gr USING (date) JOIN be USING (date))"""
+  tn AS (SELECT date, CASE WHEN held THEN coalesce(gross, 0) ELSE 0 END AS gross, CASE WHEN NOT held THEN 0 WHEN carried THEN turn ELSE 1 END AS turnover, bench FROM dt LEFT JOIN tu USING (date) LEFT JOIN gr USING (date) JOIN be USING (date)),
+  run AS (SELECT date, gross, turnover, gross - turnover * {backtest.COST!r} AS net, bench FROM tn)"""
+
+
+_SIM = _sim("SELECT DISTINCT date FROM sr").replace("run AS (", "sm AS (")
+_RUN = _sim()
+_RUN_OUT = "SELECT date, round(gross, 6) + 0.0 AS gross, round(turnover, 6) AS turnover, round(net, 6) + 0.0 AS net, round(bench, 6) + 0.0 AS bench FROM run"
+
+
+def _momentum(p):
+    """The simulated momentum book: every date with a score has a row, in cash where all picks are at their limit."""
+    scores = _scores(p)
+    return backtest.simulate(backtest.top_k_long(scores), p, calendar=scores.where("score IS NOT NULL"))
 
 
 @query(f"WITH {BARS}, {_TOPW} SELECT date, code, round(weight, 6) AS weight FROM wt")
@@ -500,63 +575,101 @@ def long_short(s, d):
 @query(f"WITH {BARS}, {_TOPW}, {_SIM} SELECT date, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(net, 6) AS net, round(bench, 6) AS bench FROM sm")
 def bt_simulate(s, d):
     p = panel(s, d)
-    return r6(backtest.simulate(backtest.top_k_long(_scores(p)), p))
+    return r6(_momentum(p))
 
 
 @query(f"WITH {BARS}, {_TOPW}, {_SIM}, eq AS (SELECT *, product(1 + net) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM sm), dd AS (SELECT *, e / max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM eq) SELECT count(net) AS n, round(avg(net) / stddev_samp(net) * sqrt(252), 5) AS sharpe, round(min(dd), 5) AS max_drawdown, round(regr_slope(net, bench), 5) AS beta FROM dd")
 def perf_metrics(s, d):
     p = panel(s, d)
-    m = backtest.metrics(backtest.simulate(backtest.top_k_long(_scores(p)), p))
+    m = backtest.metrics(_momentum(p))
     return m.select("n", *[F.round(c, 5).alias(c) for c in ("sharpe", "max_drawdown", "beta")])
 
 
-@query()
+_METRICS = "eq AS (SELECT *, product(1 + net) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM sm), dd AS (SELECT *, e / max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM eq), me AS (SELECT CAST(count(net) AS DOUBLE) AS n, round(pow(1 + avg(net), 252) - 1, 5) AS ann_return, round(avg(net) / stddev_samp(net) * sqrt(252), 5) AS sharpe, round(min(dd), 5) AS max_drawdown, round(regr_intercept(net, bench) * 252, 5) AS alpha, round(regr_slope(net, bench), 5) AS beta FROM dd)"
+
+
+@query(f"WITH {BARS}, {_TOPW}, {_SIM}, {_METRICS} SELECT metric_name, metric_value FROM (UNPIVOT me ON n, ann_return, sharpe, max_drawdown, alpha, beta INTO NAME metric_name VALUE metric_value)")
 def perf_report_long(s, d):
-    p = panel(s, d)
-    m = backtest.metrics(backtest.simulate(backtest.top_k_long(_scores(p)), p)).withColumn("n", F.col("n").cast("double"))
+    m = backtest.metrics(_momentum(panel(s, d)))
+    m = m.select(F.col("n").cast("double").alias("n"), *[F.round(c, 5).alias(c) for c in m.columns if c != "n"])
     return m.unpivot([], m.columns, "metric_name", "metric_value")
 
 
 @query()
 def deflated_sharpe(s, d):
     p = panel(s, d)
-    return backtest.deflated_sharpe(backtest.simulate(backtest.top_k_long(_scores(p)), p))
+    return backtest.deflated_sharpe(_momentum(p))
 
 
-@query()
+_FOLDS = f"""{_long(_SOME)}, {_DIC}, nd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS place FROM (SELECT DISTINCT date FROM p)), nn AS (SELECT count(*) AS n FROM nd),
+  np AS (SELECT n, CASE WHEN n >= 270 THEN 250 ELSE greatest(20, n // 3) END AS train, CASE WHEN n >= 270 THEN 20 ELSE n - greatest(20, n // 3) END AS test FROM nn),
+  fo AS (SELECT start // 20 AS fold, start, train, test FROM (SELECT unnest(range(0, greatest(n - train - test, 0) + 1, 20)) AS start, train, test FROM np WHERE test > 0)),
+  fq AS (SELECT fold, factor_name, avg(ic) AS weight FROM ic JOIN nd USING (date) JOIN fo ON place BETWEEN start AND start + train - 1 GROUP BY 1, 2),
+  zz AS (SELECT date, code, factor_name, coalesce((v - avg(v) OVER x) / nullif(stddev_pop(v) OVER x, 0), 0) AS z FROM fl WHERE value IS NOT NULL WINDOW x AS (PARTITION BY date, factor_name)),
+  al AS (SELECT fold, date, code, sum(z * weight) AS alpha FROM zz JOIN nd USING (date) JOIN fo ON place BETWEEN start + train AND start + train + test - 1 JOIN fq USING (fold, factor_name) GROUP BY 1, 2, 3)"""
+
+
+def _forked(s, d, names=tuple(_SOME)):
+    """The panel and its factors as tables, for queries that use them several times: one scan of lineitem."""
+    folder = _shared(s)
+    panel(s, d).write.parquet(f"{folder}/panel")
+    p = s.read.parquet(f"{folder}/panel")
+    factors.factor_long(p, list(names)).write.parquet(f"{folder}/factors")
+    return p, s.read.parquet(f"{folder}/factors")
+
+
+@query(f"WITH {BARS}{FL}, {_FOLDS} SELECT fold, factor_name, round(weight, 6) + 0.0 AS weight FROM fq")
 def wf_weights(s, d):
-    p = panel(s, d)
-    return r6(backtest.fold_weights(p, factors.factor_long(p, _SOME)))
+    return r6(backtest.fold_weights(*_forked(s, d)))
 
 
-@query()
+@query(f"WITH {BARS}{FL}, {_FOLDS} SELECT fold, date, code, round(alpha, 6) + 0.0 AS alpha FROM al")
 def wf_alpha(s, d):
-    p = panel(s, d)
-    return r6(backtest.fold_alpha(p, factors.factor_long(p, _SOME)))
+    return r6(backtest.fold_alpha(*_forked(s, d)))
 
 
-@query()
+@query(f"""WITH {BARS}{FL}, {_FOLDS}, ak AS (SELECT date, code, alpha, row_number() OVER (PARTITION BY date ORDER BY round(alpha, 9) DESC, code) AS hi, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM al),
+  bk AS (SELECT ak.date, ak.code FROM ak JOIN p USING (date, code) WHERE hi <= k AND NOT coalesce(round(close / nullif(pre_close, 0), 9) >= 1.1, false)), wt AS (SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM bk), {_sim('SELECT DISTINCT date FROM ak')} {_RUN_OUT}""")
 def wf_returns(s, d):
-    p = panel(s, d)
-    alpha = backtest.fold_alpha(p, factors.factor_long(p, _SOME)).select("date", "code", F.col("alpha").alias("score")).withColumn("at_limit", F.lit(False))
-    return r6(backtest.simulate(backtest.top_k_long(alpha), p))
+    p, f = _forked(s, d)
+    alpha = backtest.fold_alpha(p, f).select("date", "code", F.round("alpha", 9).alias("score"))
+    alpha = alpha.join(p.select("date", "code", F.coalesce(backtest.at_upper_limit(), F.lit(False)).alias("at_limit")), ["date", "code"])
+    return r6(backtest.simulate(backtest.top_k_long(alpha), p, calendar=alpha))
 
 
-_RUN = _SIM.replace("sm AS", "run AS")  # the name sm is taken by the sentiment's market mean
-_RUN_OUT = "SELECT date, round(gross, 6) + 0.0 AS gross, round(turnover, 6) AS turnover, round(net, 6) + 0.0 AS net, round(bench, 6) + 0.0 AS bench FROM run"
+def _signal_book(regimes: str = "1.0") -> str:
+    return f"""sg AS (SELECT date, code, confidence * {regimes} AS conf, close, pre_close FROM fx JOIN p USING (date, code) LEFT JOIN rl USING (date) WHERE direction = 1),
+  sh AS (SELECT date, code, conf FROM sg WHERE round(conf, 9) >= 0.52 AND NOT coalesce(round(close / nullif(pre_close, 0), 9) >= 1.1, false)), wt AS (SELECT date, code, conf / sum(conf) OVER (PARTITION BY date) AS weight FROM sh), {_sim('SELECT DISTINCT date FROM fx')}"""
 
 
-@query(f"WITH {_ALL}, {_FX}, wt AS (SELECT date, code, confidence / sum(confidence) OVER (PARTITION BY date) AS weight FROM fx WHERE direction = 1 AND confidence >= 0.52), {_RUN} {_RUN_OUT}")
+_LAGGED = f"{_INDEX}, rl AS (SELECT date, lag(regime_state) OVER (ORDER BY date) AS regime FROM sx)"
+_SCALE = "CASE regime WHEN 'bear' THEN 0.70 WHEN 'panic' THEN 0.45 ELSE 1.0 END"
+
+
+def _signal_run(p, fused, regimes=None):
+    return backtest.simulate(backtest.signal_weights(fused, p, 0.52, regimes), p, calendar=fused)
+
+
+@query(f"WITH {_ALL}, {_FX}, {_LAGGED}, {_signal_book()} {_RUN_OUT}")
 def bt_signal(s, d):
     p = panel(s, d)
-    return r6(backtest.simulate(backtest.signal_weights(crosssec.fuse(p), 0.52), p))
+    return r6(_signal_run(p, crosssec.fuse(p)))
 
 
-@query()
+def _metrics_sql(mode: str) -> str:
+    return f"SELECT '{mode}' AS mode, round(pow(1 + avg(net), 252) - 1, 5) AS ann_return, round(avg(net) / stddev_samp(net) * sqrt(252), 5) AS sharpe, round(min(dd), 5) AS max_drawdown FROM (SELECT *, e / max(e) OVER (ORDER BY date) - 1 AS dd FROM (SELECT *, product(1 + net) OVER (ORDER BY date) AS e FROM run))"
+
+
+@query(f"SELECT * FROM (WITH {_ALL}, {_FX}, {_LAGGED}, {_signal_book(_SCALE)} {_metrics_sql('on')}) UNION ALL SELECT * FROM (WITH {_ALL}, {_FX}, {_LAGGED}, {_signal_book()} {_metrics_sql('off')})")
 def regime_delta(s, d):
-    p = panel(s, d)
-    fused, regimes = crosssec.fuse(p), market.regime_lag(market.sentiment_index(p))
-    on, off = (backtest.metrics(backtest.simulate(backtest.signal_weights(fused, 0.52, r), p)).select(F.lit(n).alias("mode"), "ann_return", "sharpe", "max_drawdown") for n, r in (("on", regimes), ("off", None)))
+    p, folder = panel(s, d), _shared(s)
+    # Both books are made from the same signals, which are written once.
+    crosssec.fuse(p).join(market.regime_lag(market.sentiment_index(p)), "date", "left").write.parquet(f"{folder}/signals")
+    p.select("date", "code", "close", "pre_close", "fwd").write.parquet(f"{folder}/panel")
+    fused, p = s.read.parquet(f"{folder}/signals"), s.read.parquet(f"{folder}/panel")
+    regimes = fused.select("date", "regime").distinct()
+    fused = fused.drop("regime")
+    on, off = (backtest.metrics(_signal_run(p, fused, r)).select(F.lit(n).alias("mode"), *[F.round(c, 5).alias(c) for c in ("ann_return", "sharpe", "max_drawdown")]) for n, r in (("on", regimes), ("off", None)))
     return on.unionByName(off)
 
 
@@ -581,9 +694,7 @@ def predict_vote(s, d):
   hz AS (SELECT date, code, coalesce((sentiment - avg(sentiment) OVER x) / nullif(stddev_pop(sentiment) OVER x, 0), 0) AS z FROM se WINDOW x AS (PARTITION BY date))
   SELECT date, code, round(CASE WHEN score IS NOT NULL THEN 0.3 * score + 0.7 * z ELSE z END, 6) AS sentiment_score FROM hz LEFT JOIN ho USING (code)""")
 def hotspot_blend(s, d):
-    e = table(s, d, "events").select(F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("code"), "value")
-    hot = e.groupBy("code").agg(((F.avg("value") - 50) / 50).alias("score"))
-    return r6(models.blend_hotspots(factors.sentiment_score(panel(s, d)), hot))
+    return r6(models.blend_hotspots(factors.sentiment_score(panel(s, d)), _hot(s, d)))
 
 
 @query()
@@ -597,7 +708,7 @@ def signal_detail(s, d):
 @query(f"WITH {BARS}, {_TOPW}, {_SIM}, eq AS (SELECT date, product(1 + net) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM sm) SELECT date, round(e / max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM eq")
 def max_drawdown(s, d):
     p = panel(s, d)
-    return r6(backtest.drawdown(backtest.simulate(backtest.top_k_long(_scores(p)), p)))
+    return r6(backtest.drawdown(_momentum(p)))
 
 
 @query("WITH m AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS date, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END) AS a, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END) AS b FROM orders GROUP BY 1) SELECT date, round(((a - avg(a) OVER w) / (stddev_samp(a) OVER w + 1e-9) + (b - avg(b) OVER w) / (stddev_samp(b) OVER w + 1e-9)) / 2, 5) AS money_dim FROM m WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)")
@@ -630,24 +741,26 @@ def cost_apply(s, d):
 
 
 @query(f"""WITH {BARS}{FL}, {_TECH}, tr AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY tech DESC, code) AS hi, row_number() OVER (PARTITION BY date ORDER BY tech, code) AS lo, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM te),
-  wt AS (SELECT date, code, CASE WHEN lo <= k THEN -1.0 / k ELSE 1.0 / k END AS weight FROM tr WHERE lo <= k OR hi <= k), {_RUN} {_RUN_OUT}""")
+  bk AS (SELECT date, code, CASE WHEN lo <= k THEN -1.0 / k ELSE 1.0 / k END AS weight FROM tr WHERE lo <= k OR hi <= k), {_FULL}, {_sim('SELECT DISTINCT date FROM bk')} {_RUN_OUT}""")
 def bt_tech_ls(s, d):
     p = panel(s, d)
-    return r6(backtest.simulate(backtest.long_short(factors.tech_score(p).withColumnRenamed("tech_score", "score")), p))
+    book = backtest.long_short(factors.tech_score(p).withColumnRenamed("tech_score", "score"))
+    return r6(backtest.simulate(backtest.full(backtest.tradable(book, p)), p, calendar=book))
 
 
 @query(f"""WITH {BARS}{FL}, {_long(_SOME)}, {_DIC}, gw AS (SELECT factor_name, avg(ic) AS w FROM ic GROUP BY 1), gd(factor_name, sign) AS (VALUES {', '.join(f"('{n}', {factors.FACTORS[n].direction})" for n in _SOME)}),
   gz AS (SELECT date, code, factor_name, coalesce((value - avg(value) OVER x) / nullif(stddev_pop(value) OVER x, 0), 0) AS z FROM fl WHERE value IS NOT NULL WINDOW x AS (PARTITION BY date, factor_name)),
   ga AS (SELECT date, code, sum(sign * z * w) AS score FROM gz JOIN gw USING (factor_name) JOIN gd USING (factor_name) GROUP BY 1, 2),
   gs AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS hi, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM ga WHERE score IS NOT NULL),
-  wt AS (SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM gs WHERE hi <= k), {_RUN} {_RUN_OUT}""")
+  bk AS (SELECT date, code, 1.0 AS weight FROM gs WHERE hi <= k), {_FULL}, {_sim('SELECT DISTINCT date FROM bk')} {_RUN_OUT}""")
 def bt_factor_full(s, d):
     p = panel(s, d)
     f = factors.factor_long(p, _SOME).where("value IS NOT NULL")
     w = crosssec.daily_ic(p, f).groupBy("factor_name").agg(F.avg("ic").alias("w"))
     z = f.withColumn("z", crosssec.directions()[F.col("factor_name")] * xs_zscore("value", Window.partitionBy("date", "factor_name"))).join(w, "factor_name")
     alpha = z.groupBy("date", "code").agg(F.sum(F.col("z") * F.col("w")).alias("score")).withColumn("at_limit", F.lit(False))
-    return r6(backtest.simulate(backtest.top_k_long(alpha), p))
+    book = backtest.top_k_long(alpha)
+    return r6(backtest.simulate(backtest.full(backtest.tradable(book, p)), p, calendar=book))
 
 
 def _committee(s, d):
@@ -655,8 +768,12 @@ def _committee(s, d):
     features = factors.alpha_features(p)
     names = [c for c in features.columns if c not in ("code", "date")]
     band = p.select("date", "code", roll(F.stddev_samp, "ret", 20).alias("band"))
-    features = features.join(band, ["date", "code"])
-    return features, names, committee.fit_committee(features, crosssec.labels(p), names, f"{_shared(s)}/committee")
+    folder = _shared(s)
+    # Features and labels are read many times, so they are tables.
+    features.join(band, ["date", "code"]).write.parquet(f"{folder}/features")
+    crosssec.labels(p).write.parquet(f"{folder}/labels")
+    features = s.read.parquet(f"{folder}/features")
+    return features, names, committee.fit_committee(features, s.read.parquet(f"{folder}/labels"), names, f"{folder}/committee")
 
 
 @query()
@@ -730,26 +847,213 @@ def sent_return_skew(s, d):
     return r6(factors.sentiment_components(panel(s, d), names=("return_skew",)))
 
 
-@query()
-def sent_components_full(s, d):
-    return r6(factors.sentiment_components(panel(s, d), names=factors.FULL_SENTIMENT_WEIGHTS))
+@query(_SENT_OUT, "sent_components_full")
+def _components_full(s, d):
+    return sent_components(s, d)
 
 
-@query()
-def sent_score_full(s, d):
-    return r6(factors.sentiment_score(panel(s, d), factors.FULL_SENTIMENT_WEIGHTS))
+@query(ORACLES["sent_score"], "sent_score_full")
+def _score_full(s, d):
+    return sent_score(s, d)
 
 
-@query()
-def fusion_signals_full(s, d):
-    return crosssec.fuse(panel(s, d), sentiment=factors.FULL_SENTIMENT_WEIGHTS).select("date", "code", "total", "direction")
+@query(ORACLES["fusion_signals"], "fusion_signals_full")
+def _fusion_full(s, d):
+    return fusion_signals(s, d)
 
 
-@query()
+_FEEDS = """fm0 AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS date, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END) AS a, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END) AS b, avg(o_totalprice) / 1000 AS pe FROM orders GROUP BY 1),
+  fm AS (SELECT date, round(((a - avg(a) OVER w) / (stddev_samp(a) OVER w + 1e-9) + (b - avg(b) OVER w) / (stddev_samp(b) OVER w + 1e-9)) / 2, 5) AS money FROM fm0 WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)),
+  fy AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, avg(l_tax) AS y FROM lineitem GROUP BY 1), fp AS (SELECT date, round(1 / pe - y, 6) AS premium FROM fm0 JOIN fy USING (date)),
+  fv AS (SELECT date, round(-pe, 6) AS valuation FROM fm0)"""
+_SUBS = {"sub_volume": (0.25, "volume_dim", "v"), "sub_price": (0.25, "price_dim", "v"), "sub_money": (0.2, "money", "fm"), "sub_valuation": (0.15, "valuation", "fv"), "sub_riskpremium": (0.15, "premium", "fp")}
+
+
+def _index_sql(subs: list[str]) -> str:
+    joins = " ".join(f"LEFT JOIN (SELECT date, pct AS {k} FROM {_pct(*_SUBS[k][1:])}) USING (date)" for k in subs)
+    total, weight = (" + ".join(f"CASE WHEN {k} IS NOT NULL THEN {f(k)} ELSE 0 END" for k in subs) for f in (lambda k: f"{_SUBS[k][0]} * {k}", lambda k: str(_SUBS[k][0])))
+    return f"""WITH {BARS}, {_BREADTH}, {_FEEDS}, e AS (SELECT date, avg(adj) AS level FROM p GROUP BY 1), t AS (SELECT date, level, CASE WHEN count(*) OVER w = 20 THEN max(level) OVER w END AS top FROM e WINDOW w AS (ORDER BY date ROWS 19 PRECEDING)),
+  i AS (SELECT date, {', '.join(subs)}, (level - top) / top AS drawdown, round(coalesce(({total}) / nullif({weight}, 0), 50), 6) AS index_value FROM v LEFT JOIN t USING (date) {joins}),
+  si AS (SELECT *, CASE WHEN index_value <= 30 THEN 'fear' WHEN index_value >= 70 THEN 'greed' ELSE 'neutral' END AS thermometer, CASE WHEN index_value <= 10 THEN 'buy' WHEN index_value >= 90 THEN 'out' ELSE 'half' END AS signal FROM i)
+  SELECT date, {', '.join(f'round({k}, 6) AS {k}' for k in subs)}, round(drawdown, 6) + 0.0 AS drawdown, index_value, thermometer, CASE WHEN round(drawdown, 9) <= -0.15 THEN 'panic' WHEN round(drawdown, 9) <= -0.08 THEN 'bear' WHEN thermometer = 'greed' AND round(drawdown, 9) > -0.05 THEN 'bull' ELSE 'neutral' END AS regime_state, signal FROM si"""
+
+
+@query(_index_sql(["sub_volume", "sub_price", "sub_money", "sub_riskpremium"]))
 def sentiment_index_full(s, d):
     return r6(market.sentiment_index(panel(s, d), money=ms_money(s, d), riskpremium=ms_riskpremium(s, d)))
 
 
+@query(_index_sql(list(_SUBS)))
+def sentiment_index_five(s, d):
+    """All five dimensions; the price-earnings ratio stands for the valuation, dear markets low."""
+    week = F.to_date(F.date_trunc("week", "o_orderdate")).alias("date")
+    pe = table(s, d, "orders").groupBy(week).agg(F.round(-F.avg("o_totalprice") / 1000, 6).alias("valuation"))
+    return r6(market.sentiment_index(panel(s, d), money=ms_money(s, d), valuation=pe, riskpremium=ms_riskpremium(s, d)))
+
+
+# Scalars, logs, catalog, feeds and the landing zone
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 6 THEN NULL WHEN 0 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 4 THEN date_trunc('minute', ts) ELSE date_trunc('day', ts) END::TIMESTAMP AS at FROM events""")
+def scalar_times(s, d):
+    k = F.col("event_id") % 7
+    text = F.lit("soon")
+    for i, form in enumerate(tolerant.TIME_FORMATS):
+        text = F.when(k == i, F.concat(F.lit(" "), F.date_format("ts", form))).otherwise(text)
+    return table(s, d, "events").select("event_id", tolerant.parse_time(text).cast("timestamp_ntz").alias("at"))
+
+
+@query(r"SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), lambda x: TRY_CAST(x AS DOUBLE)), lambda v: v >= -1 AND v <= 1)[1] AS number FROM documents")
+def scalar_numbers(s, d):
+    return table(s, d, "documents").select("doc_id", tolerant.unit_number("text").alias("number"))
+
+
+@query("""SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) END AS date, CASE WHEN c_custkey % 5 < 2 THEN NULL ELSE c_acctbal END AS balance FROM customer""")
+def scalar_codes(s, d):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int"))
+    text = F.when(F.col("c_custkey") % 3 == 0, "next week").otherwise(F.concat(day.cast("string"), F.lit("T09:30:00+08:00")))
+    wild = F.when(F.col("c_custkey") % 5 == 0, float("nan")).when(F.col("c_custkey") % 5 == 1, float("-inf")).otherwise(F.col("c_acctbal"))
+    code = tolerant.zfill(tolerant.head(F.concat(F.col("c_custkey").cast("string"), F.lit(".SH"))))
+    return table(s, d, "customer").select("c_custkey", code.alias("code"), tolerant.iso_date(text).alias("date"), tolerant.finite(wild).alias("balance"))
+
+
+def _event_log(s, d):
+    """Events as a log; lines whose number is divisible by 97 are torn."""
+    path = f"{_shared(s)}/log"
+    line = F.to_json(F.struct("event_id", F.col("ts").cast("string").alias("ts"), "event_type"))
+    line = F.when(F.col("event_id") % 97 == 0, F.substring(line, 1, 40)).otherwise(line)
+    table(s, d, "events").select(line.alias("value")).write.mode("append").text(path)
+    return logs.read_log(s, path, "event_id long, ts timestamp_ntz, event_type string")
+
+
+@query("SELECT CASE WHEN event_id % 97 <> 0 THEN CAST(ts AS DATE) END AS date, count(*) FILTER (event_id % 97 <> 0) AS lines, count(*) FILTER (event_id % 97 = 0) AS broken FROM events GROUP BY 1")
+def log_counts(s, d):
+    return logs.log_counts(_event_log(s, d), "ts")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 97 <> 0 ORDER BY ts DESC, event_id LIMIT 50")
+def log_newest(s, d):
+    return logs.newest(_event_log(s, d), "ts", 50, "event_id").select("event_id", "event_type")
+
+
+@query(f"WITH {BARS}, {_TWO}, g AS (SELECT date, round(abs(a.close - b.close) / a.close, 9) AS diff FROM a JOIN b USING (code, date)) SELECT date, count(*) AS n, round(max(diff), 6) AS largest FROM g WHERE diff > 0.03 GROUP BY 1")
+def divergence_log(s, d):
+    path = f"{_shared(s)}/divergence"
+    logs.append_log(tables.divergence(*_two(s, d)), path)
+    log = logs.read_log(s, path, "code string, date date, price_a double, price_b double, diff double")
+    return r6(logs.divergence_counts(log))
+
+
+@query(f"WITH {BARS}, {_TWO} SELECT code, date, coalesce(a.source, b.source) || CASE WHEN round(abs(a.close - b.close) / a.close, 9) > 0.03 THEN '_suspect' ELSE '' END AS source FROM a FULL JOIN b USING (code, date)")
+def source_suspects(s, d):
+    a, b = _two(s, d)
+    first = tables.first_source(a.unionByName(b), F.when(F.col("source") == "first", 0).otherwise(1))
+    return logs.tag_suspects(first, tables.divergence(a, b)).select("code", "date", "source")
+
+
+_TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+_DATED = {"events": "ts", "lineitem": "l_shipdate", "orders": "o_orderdate"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, (SELECT string_agg(column_name, ',' ORDER BY ordinal_position) FROM information_schema.columns WHERE table_name = '{n}') AS columns, {f'CAST(max({_DATED[n]}) AS DATE)' if n in _DATED else 'CAST(NULL AS DATE)'} AS last FROM {n}" for n in _TABLES))
+def catalog_tables(s, d):
+    for n in _TABLES:
+        table(s, d, n).createOrReplaceTempView(f"loom_catalog_{n}")
+    names = [n for n in catalog.list_tables(s) if n.startswith("loom_catalog_")]
+    return catalog.describe_tables(s, names).withColumn("name", F.substring("name", len("loom_catalog_") + 1, 99))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice >= 100000 AND o_orderdate >= DATE '1996-01-01'")
+def sql_params(s, d):
+    text = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders} WHERE o_orderpriority = :priority AND o_totalprice >= :least AND o_orderdate >= :since"
+    return catalog.read_sql(s, text, {"orders": table(s, d, "orders")}, priority="2-HIGH", least=100000.0, since=datetime.date(1996, 1, 1))
+
+
+_FEED = "{n} AS (SELECT {on}::DATE AS date, arg_max({v}, {o}) AS {n} FROM {t} GROUP BY 1)"
+_THREE = ", ".join(_FEED.format(n=n, on=on, v=v, o=o, t=t) for n, on, v, o, t in (("urgent", "o_orderdate", "o_totalprice", "o_orderkey", "(FROM orders WHERE o_orderpriority = '1-URGENT')"), ("open", "o_orderdate", "o_totalprice", "o_orderkey", "(FROM orders WHERE o_orderstatus = 'O')"), ("shipped", "l_shipdate", "l_extendedprice", "l_orderkey * 10 + l_linenumber", "lineitem")))
+
+
+def _feeds(s, d):
+    o = table(s, d, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"), "o_orderpriority", "o_orderstatus")
+    line = table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return {"urgent": o.where("o_orderpriority = '1-URGENT'"), "open": o.where("o_orderstatus = 'O'"), "shipped": line}
+
+
+@query(f"WITH {_THREE} SELECT date, coalesce(urgent, 0) AS urgent, coalesce(open, 0) AS open, coalesce(shipped, 0) AS shipped FROM urgent FULL JOIN open USING (date) FULL JOIN shipped USING (date)")
+def feeds_outer(s, d):
+    return feeds.join_feeds(_feeds(s, d))
+
+
+@query(f"WITH {_THREE} SELECT date, round(1 / urgent - shipped / 1e9, 9) AS premium FROM urgent JOIN shipped USING (date)")
+def premium_last(s, d):
+    f = _feeds(s, d)
+    pe = feeds.keep_last(f["urgent"].select("date", F.col("value").alias("pe"), "seq"), "seq").select("date", "pe")
+    bond = feeds.keep_last(f["shipped"].select("date", (F.col("value") / 1e9).alias("yield_10y"), "seq"), "seq").select("date", "yield_10y")
+    return market.risk_premium(pe, bond).select("date", F.round("premium", 9).alias("premium"))
+
+
+def _landed(s, d, path: str, parts: int = 3):
+    """Raw bars dropped into a folder in `parts` lots, the oldest dates last; amounts of Fridays' weeks are missing."""
+    bars = raw_bars(s, d).select("code", "date", "open", "high", "low", "close", (F.col("vol") * 100).alias("shares"), F.when(F.dayofmonth("date") % 13 != 0, F.col("amount")).alias("amount"))
+    bars.write.parquet(f"{path}-all")
+    bars = s.read.parquet(f"{path}-all").withColumn("lot", F.ntile(parts).over(Window.orderBy(F.desc("date"), "code")))
+    return [bars.where(F.col("lot") == i + 1).drop("lot") for i in range(parts)]
+
+
+_LANDED = "SELECT code, date, round(ln(close), 6) AS ln_close, round(vol, 6) AS vol, round(CASE WHEN day(date) % 13 <> 0 THEN amount ELSE 0 END, 4) AS amount"
+
+
+@query(bars_sql(f"{_LANDED}, round(coalesce(ln(lag(close) OVER (PARTITION BY code ORDER BY date)), 0), 6) AS ln_pre FROM raw WHERE date >= DATE '1996-01-01' - 15 QUALIFY date >= DATE '1996-01-01'"))
+def landing_bars(s, d):
+    path = f"{_shared(s)}/landing"
+    for part in _landed(s, d, path):
+        part.write.mode("append").parquet(path)
+    b = landing.fetch_bars(s, path, start=datetime.date(1996, 1, 1))
+    return b.select("code", "date", F.round(F.ln("close"), 6).alias("ln_close"), F.round("vol", 6).alias("vol"), F.round("amount", 4).alias("amount"), F.round(F.when(F.col("pre_close") > 0, F.ln("pre_close")).otherwise(0.0), 6).alias("ln_pre"))
+
+
+@query(bars_sql(f"{_LANDED} FROM raw"))
+def landing_stream(s, d):
+    folder = _shared(s)
+    path, out = f"{folder}/landing", f"{folder}/bars"
+    first, second, late = _landed(s, d, path)
+    first.write.mode("append").parquet(path)
+    q = landing.stream_bars(s, path).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", out).trigger(processingTime="200 milliseconds").start()
+    try:
+        q.processAllAvailable()
+        second.write.mode("append").parquet(path)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    late.write.mode("append").parquet(path)  # arrives while the stream is down
+    q = landing.stream_bars(s, path).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", out).trigger(processingTime="200 milliseconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return s.read.parquet(out).select("code", "date", F.round(F.ln("close"), 6).alias("ln_close"), F.round("vol", 6).alias("vol"), F.round("amount", 4).alias("amount"))
+
+
+def _raw_signals(s, d):
+    """Model outputs as texts, of five kinds: lists, texts with commas, wrong values, no JSON, nothing."""
+    u, k = F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")), F.col("event_id") % 5
+    num = (F.round(F.col("value") / 50 - 1, 4)).cast("string")
+    raw = F.when(k == 0, F.format_string('{"sentiment": "positive", "sentiment_score": %s, "impact": "high", "impact_score": "0.456", "related_codes": ["%s", " u1 ", "zz"], "related_sectors": "a, b ,"}', num, u))
+    raw = raw.when(k == 1, F.format_string('{"sentiment": " negative ", "sentiment_score": "%s", "impact": "medium", "impact_score": 3, "related_codes": "%s, u9,,u2", "related_sectors": ["x"]}', num, u))
+    raw = raw.when(k == 2, F.lit('{"sentiment": 7, "sentiment_score": [1], "impact": null, "impact_score": "much", "related_codes": {"a": 1}}')).when(k == 3, F.lit('well, {"sentiment": "positive"'))
+    return table(s, d, "events").select("event_id", F.array(F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string"))).alias("own"), raw.alias("raw"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS k, 'u' || user_id % 10 AS u, 'u' || event_id % 10 AS own, round(greatest(least(round(value / 50 - 1, 4), 1), -1), 2) + 0.0 AS score FROM events), pool AS (SELECT DISTINCT 'u' || user_id % 8 AS code FROM events),
+  c AS (SELECT *, CASE k WHEN 0 THEN [u, 'u1', 'zz'] WHEN 1 THEN [u, 'u9', 'u2'] ELSE [] END AS named FROM e), f AS (SELECT *, list_filter(named, lambda x: list_contains((SELECT list(code) FROM pool), x)) AS kept FROM c)
+  SELECT event_id, k < 3 AS readable, CASE k WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN k < 2 THEN score ELSE 0 END AS sentiment_score, CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS impact,
+    CASE k WHEN 0 THEN 0.46 WHEN 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS impact_score, CASE k WHEN 0 THEN 'a,b' WHEN 1 THEN 'x' ELSE '' END AS sectors, array_to_string(CASE WHEN list_contains(kept, own) THEN kept ELSE list_append(kept, own) END, ',') AS codes FROM f""")
+def signal_parse(s, d):
+    pool = table(s, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 8).cast("string")).alias("code")).distinct()
+    out = signals.allowed_codes(signals.parse_signals(_raw_signals(s, d)), pool, "event_id", "own")
+    return out.select("event_id", "readable", "sentiment", (F.col("sentiment_score") + 0.0).alias("sentiment_score"), "impact", "impact_score", F.array_join("sectors", ",").alias("sectors"), F.array_join("codes", ",").alias("codes"))
+
+
 # Texts and events
 
 
@@ -763,9 +1067,29 @@ def simhash(s, d):
     return table(s, d, "documents").select("doc_id", hotspot.simhash(F.col("text")).alias("print"))
 
 
+def _titles(s, d):
+    """page_id and the fingerprint of each page's title."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return table(s, d, "pages").select("page_id", hotspot.simhash(title).alias("print"))
+
+
 @query()
 def dedup_near(s, d):
-    return hotspot.dedup_near(simhash(s, d), "doc_id", "print")
+    return hotspot.dedup_near(_titles(s, d), "page_id", "print")
+
+
+@query()
+def stream_near(s, d):
+    folder = _shared(s)
+    titles = _titles(s, d)
+    titles.write.parquet(f"{folder}/titles")
+    titles = s.read.parquet(f"{folder}/titles")
+    low, high = titles.agg(F.min("page_id"), F.max("page_id")).first()
+    edges = [(low or 0) + ((high or 0) - (low or 0) + 1) * i // 4 for i in range(5)]
+    for i in range(4):  # items arrive in order of their ids, a file after the other
+        titles.where((F.col("page_id") >= edges[i]) & (F.col("page_id") < edges[i + 1])).coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    items = s.readStream.schema(titles.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    return near.run_near(items, "page_id", "print", f"{folder}/near").select(F.col("k").alias("page_id"))
 
 
 @query("SELECT CAST(ts AS DATE) AS date, count(*) AS n, count(*) FILTER (value > 50) AS positive, count(*) FILTER (value < 50) AS negative, count(*) FILTER (value = 50) AS neutral, round(avg(value - 50), 6) AS avg_score FROM events GROUP BY 1")

@@ -65,9 +65,10 @@ def divergence(a: DataFrame, b: DataFrame, limit: float = 0.03) -> DataFrame:
     return d.where(F.col("diff") > limit)
 
 
-def to_resume(codes: DataFrame, bars: DataFrame, end: Column) -> DataFrame:
-    """Codes whose bars do not reach `end`."""
-    return codes.join(bars.groupBy("code").agg(F.max("date").alias("d")).where(F.col("d") >= end), "code", "left_anti")
+def to_resume(codes: DataFrame, bars: DataFrame, end: DataFrame) -> DataFrame:
+    """Codes whose bars do not reach the date in `end` (one row, end), or that have none."""
+    last = bars.groupBy("code").agg(F.max("date").alias("d"))
+    return codes.join(last.join(end, F.col("d") >= F.col("end"), "left_semi"), "code", "left_anti")
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -86,15 +87,6 @@ def normalize_columns(df: DataFrame, rules: dict[str, tuple[str, ...]]) -> DataF
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in used.items()])
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An append-only JSON log; broken lines come as nulls."""
-    return spark.read.schema(schema).json(path)
-
-
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
-
-
 def synthetic_bars(spark: SparkSession, codes: int, days: int, seed: int = 0) -> DataFrame:
     """A random walk of weekday bars for tests: 2 % volatility and rare moves of 9.9 %."""
     dates = f"filter(sequence(date'2024-01-01', date'2024-01-01' + {2 * days}), d -> weekday(d) < 5)"
