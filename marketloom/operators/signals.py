@@ -28,7 +28,7 @@ def _names(v: Column, path: str) -> Column:
     """A list of texts, or a text with commas; empty for anything else. Blanks around names and empty names go."""
     listed = F.try_variant_get(v, path, "array<string>")
     split = F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.split(_text(v, path), ","))
-    return F.filter(F.transform(F.coalesce(listed, split, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(listed, split, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_signals(items: DataFrame, raw: str = "raw") -> DataFrame:

@@ -539,8 +539,8 @@ _TOP = "sc AS (SELECT date, code, fwd, adj / lag(adj, 5) OVER (PARTITION BY code
 _TOPW = f"{_TOP}, wt AS (SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM sr WHERE hi <= k AND NOT lim)"
 #: Buys at the upper limit and shorts at the lower one go, then the gross exposure is 1. From bk to wt.
 _FULL = """md AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM p)), mv AS (SELECT p.date, p.code, round(p.close / nullif(b.close, 0), 9) AS move FROM p JOIN md USING (date) LEFT JOIN p b ON b.code = p.code AND b.date = md.prev),
-  w1 AS (SELECT date, code, weight FROM bk LEFT JOIN mv USING (date, code) WHERE NOT coalesce(CASE WHEN weight > 0 THEN move >= 1.1 WHEN weight < 0 THEN move <= 0.9 END, false)),
-  wt AS (SELECT date, code, weight / sum(abs(weight)) OVER (PARTITION BY date) AS weight FROM w1)"""
+  bl AS (SELECT date, code, weight FROM bk LEFT JOIN mv USING (date, code) WHERE NOT coalesce(CASE WHEN weight > 0 THEN move >= 1.1 WHEN weight < 0 THEN move <= 0.9 END, false)),
+  wt AS (SELECT date, code, weight / sum(abs(weight)) OVER (PARTITION BY date) AS weight FROM bl)"""
 
 
 def _sim(calendar: str = "SELECT DISTINCT date FROM wt") -> str:
@@ -1044,8 +1044,8 @@ def _raw_signals(s, d):
     return table(s, d, "events").select("event_id", F.array(F.concat(F.lit("u"), (F.col("event_id") % 10).cast("string"))).alias("own"), raw.alias("raw"))
 
 
-@query("""WITH e AS (SELECT event_id, event_id % 5 AS k, 'u' || user_id % 10 AS u, 'u' || event_id % 10 AS own, round(greatest(least(round(value / 50 - 1, 4), 1), -1), 2) + 0.0 AS score FROM events), pool AS (SELECT DISTINCT 'u' || user_id % 8 AS code FROM events),
-  c AS (SELECT *, CASE k WHEN 0 THEN [u, 'u1', 'zz'] WHEN 1 THEN [u, 'u9', 'u2'] ELSE [] END AS named FROM e), f AS (SELECT *, list_filter(named, lambda x: list_contains((SELECT list(code) FROM pool), x)) AS kept FROM c)
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS k, 'u' || user_id % 10 AS u, 'u' || event_id % 10 AS own, CAST(round(CAST(greatest(least(round(value / 50 - 1, 4), 1), -1) AS DECIMAL(10, 4)), 2) AS DOUBLE) + 0.0 AS score FROM events), pool AS (SELECT DISTINCT 'u' || user_id % 8 AS code FROM events),
+  c AS (SELECT *, CASE k WHEN 0 THEN [u, 'u1', 'zz'] WHEN 1 THEN [u, 'u9', 'u2'] ELSE [] END AS named FROM e), f AS (SELECT *, list_filter(named, lambda x: list_contains(pl, x)) AS kept FROM c, (SELECT list(code) AS pl FROM pool))
   SELECT event_id, k < 3 AS readable, CASE k WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN k < 2 THEN score ELSE 0 END AS sentiment_score, CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS impact,
     CASE k WHEN 0 THEN 0.46 WHEN 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS impact_score, CASE k WHEN 0 THEN 'a,b' WHEN 1 THEN 'x' ELSE '' END AS sectors, array_to_string(CASE WHEN list_contains(kept, own) THEN kept ELSE list_append(kept, own) END, ',') AS codes FROM f""")
 def signal_parse(s, d):
@@ -1089,7 +1089,7 @@ def stream_near(s, d):
     for i in range(4):  # items arrive in order of their ids, a file after the other
         titles.where((F.col("page_id") >= edges[i]) & (F.col("page_id") < edges[i + 1])).coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
     items = s.readStream.schema(titles.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
-    return near.run_near(items, "page_id", "print", f"{folder}/near").select(F.col("k").alias("page_id"))
+    return near.run_near(items, "page_id", "print", f"{folder}/near", groups=4).select(F.col("k").alias("page_id"))
 
 
 @query("SELECT CAST(ts AS DATE) AS date, count(*) AS n, count(*) FILTER (value > 50) AS positive, count(*) FILTER (value < 50) AS negative, count(*) FILTER (value = 50) AS neutral, round(avg(value - 50), 6) AS avg_score FROM events GROUP BY 1")

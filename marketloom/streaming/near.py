@@ -1,6 +1,6 @@
 """Near duplicates of a stream: each item is decided once, by the items that were kept before it, with bounded state.
 
-1. A stateful operator finds candidates. An item goes to the four groups of its fingerprint's 16-bit blocks; a pair within three
+1. A stateful operator finds candidates. An item goes to four groups, by the 16-bit blocks of its fingerprint; a pair within three
    bits agrees in one of them. A group's state lists the fingerprints seen there with their first item, and forgets them after a
    time to live. Equal fingerprints share an entry, so thousands of equal titles are one.
 2. Each micro-batch is resolved as the batch form does: an item goes if a candidate was kept, in a batch before or in this one.
@@ -37,8 +37,8 @@ class EarlierNear(StatefulProcessor):
         known = list(self.seen.get()) if self.seen.exists() else []
         ks, ps = [int(r[0]) for r in known], [int(r[1]) for r in known]
         fresh, near = [], []
-        for k, p in zip(pdf["k"], pdf["p"], strict=True):
-            if pd.isna(p):
+        for k, p, has in zip(pdf["k"], pdf["p"], pdf["has"], strict=True):
+            if not has:  # told apart by a column of its own, as pandas has no null among whole numbers
                 near.append([])
                 continue
             apart = np.bitwise_count(np.array(ps, np.int64).view(np.uint64) ^ np.array([p], np.int64).view(np.uint64))
@@ -55,12 +55,16 @@ class EarlierNear(StatefulProcessor):
         return
 
 
-def candidates(items: DataFrame, key: str, print_col: str, distance: int = 3, ttl_ms: int = 86_400_000) -> DataFrame:
-    """k, near (array of earlier k) of a stream, up to four rows an item. `key` is a long that grows in order of arrival."""
+def candidates(items: DataFrame, key: str, print_col: str, distance: int = 3, ttl_ms: int = 86_400_000, groups: int = 1024) -> DataFrame:
+    """k, near (array of earlier k) of a stream, up to four rows an item. `key` is a long that grows in order of arrival.
+
+    A block's values are dealt into `groups` states: a state is called once for each that a micro-batch touches and compares an
+    item with all it holds, so few items a batch want few groups, a long time to live wants many. Results are the same.
+    """
     p = F.col(print_col)
-    blocks = F.array(*[F.concat(F.lit(f"{i}:"), F.shiftrightunsigned(p, 16 * i).bitwiseAND(0xFFFF).cast("string")) for i in range(4)])
-    alone = F.array(F.concat(F.lit("none:"), F.col(key).cast("string")))  # without a fingerprint: kept, and no state
-    rows = items.select(F.col(key).cast("long").alias("k"), p.cast("long").alias("p"), F.explode(F.when(p.isNull(), alone).otherwise(blocks)).alias("block"))
+    blocks = F.array(*[F.concat(F.lit(f"{i}:"), (F.shiftrightunsigned(p, 16 * i).bitwiseAND(0xFFFF) % groups).cast("string")) for i in range(4)])
+    alone = F.array(F.concat(F.lit("none:"), F.pmod(F.col(key), F.lit(groups)).cast("string")))  # without a fingerprint: kept, and no state
+    rows = items.select(F.col(key).cast("long").alias("k"), F.coalesce(p.cast("long"), F.lit(0)).alias("p"), p.isNotNull().alias("has"), F.explode(F.when(p.isNull(), alone).otherwise(blocks)).alias("block"))
     return rows.groupBy("block").transformWithStateInPandas(EarlierNear(distance, ttl_ms), "k long, near array<long>", "Append", "ProcessingTime")
 
 
@@ -93,14 +97,18 @@ def kept_items(spark: SparkSession, path: str, below: int | None = None) -> Data
     return spark.read.schema("k long, at timestamp").parquet(*[f"{path}/{n}" for n in names]) if names else spark.createDataFrame([], "k long, at timestamp")
 
 
-def run_near(items: DataFrame, key: str, print_col: str, path: str, distance: int = 3, ttl_ms: int = 86_400_000) -> DataFrame:
+def run_near(items: DataFrame, key: str, print_col: str, path: str, distance: int = 3, ttl_ms: int = 86_400_000, groups: int = 1024) -> DataFrame:
     """Runs the stream over what there is now; the kept items so far. `path` holds them and the checkpoint."""
     spark = items.sparkSession
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # With a time to live, Spark would run batches without data for ever.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        q = candidates(items, key, print_col, distance, ttl_ms).writeStream.foreachBatch(keep_first(f"{path}/kept", ttl_ms))
+        q = candidates(items, key, print_col, distance, ttl_ms, groups).writeStream.foreachBatch(keep_first(f"{path}/kept", ttl_ms))
         q.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     return kept_items(spark, f"{path}/kept")
