@@ -81,3 +81,8 @@ def ewm(x: Column, alpha: float, place: Column) -> Column:
     before = Window.partitionBy("code").orderBy(block).rangeBetween(-1, -1)
     own = F.sum(term * F.pow(F.lit(keep), -at)).over(inside) * F.pow(F.lit(keep), at)
     return own + F.coalesce(F.sum(term * F.pow(F.lit(keep), size - 1 - at)).over(before), F.lit(0.0)) * F.pow(F.lit(keep), at + 1)
+
+
+def group_transform(df: DataFrame, by: list[str], x: str, fn: Callable[[Column, WindowSpec], Column], to: str | None = None) -> DataFrame:
+    """df with `to` (x itself if none): any function of a column and its group's window, so groups of any size need no Python."""
+    return df.withColumn(to or x, fn(F.col(x), Window.partitionBy(*by)))

@@ -13,6 +13,11 @@ from marketloom.operators.crosssec import daily_ic, directions, regime_scale
 COST = 2 * 0.0003 + 0.0005 + 2 * 4.0 / 1e4  # commission both ways, stamp duty, slippage both ways
 
 
+def score_book(signals: DataFrame, frac: float = 0.2) -> DataFrame:
+    """A long and short book by direction times confidence: date, code, weight (see long_short)."""
+    return long_short(signals.select("date", "code", (F.col("direction") * F.abs("confidence")).alias("score")), frac)
+
+
 def at_upper_limit(limit: float = 0.10) -> Column:
     """Whether a bar closes at its upper limit; null without the close before."""
     return F.round(F.col("close") / F.nullif(F.col("pre_close"), F.lit(0.0)), 9) >= round(1 + limit, 9)

@@ -43,6 +43,20 @@ def factor_health(panel: DataFrame, factors: DataFrame, window: int = 60) -> Dat
     return ic.join(rest, "factor_name", "left").select("factor_name", zero("ic"), icir.alias("icir"), zero("rank_return"), zero("turnover"), status.alias("status"), scale.alias("weight_scale"))
 
 
+def health_summary(health: DataFrame) -> DataFrame:
+    """status, n, avg_icir of a table of factor_health."""
+    return health.groupBy("status").agg(F.count("*").alias("n"), F.avg("icir").alias("avg_icir"))
+
+
+def model_summary(predictions: DataFrame) -> DataFrame:
+    """model, codes (that it has ever predicted), last (date), latest (predictions on it), up (of these). One pass, no query a model.
+
+    predictions: model, date, code, dir_pred.
+    """
+    last = predictions.groupBy("model").agg(F.max("date").alias("last"), F.countDistinct("code").alias("codes"))
+    return predictions.join(last, "model").groupBy("model", "codes", "last").agg(F.count_if(F.col("date") == F.col("last")).alias("latest"), F.count_if((F.col("date") == F.col("last")) & (F.col("dir_pred") > 0)).alias("up"))
+
+
 def neutralize(values: DataFrame) -> DataFrame:
     """Residual z-scores of value on log size and industry, per (date, factor_name).
 

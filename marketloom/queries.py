@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import tolerant
-from marketloom.functions.stats import by_code, roll, xs_rank, xs_zscore
+from marketloom.functions.stats import by_code, group_transform, roll, xs_rank, xs_zscore
 from marketloom.operators import backtest, committee, crosssec, evaluation, factors, hotspot, market, models, predictors, signals, strokes
 from marketloom.plans.bars import SQL as BARS
 from marketloom.plans.bars import adjust, panel, raw_bars, table
@@ -210,20 +210,6 @@ def data_freshness(s, d):
     return raw_bars(s, d).agg(F.count("*").alias("n"), F.countDistinct("code").alias("codes"), F.max("date").alias("last"))
 
 
-@query("SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY GROUP BY 1")
-def factor_health_summary(s, d):
-    o = table(s, d, "orders")
-    end = o.agg(F.max("o_orderdate").alias("end"))
-    o = o.join(end, F.col("o_orderdate") >= F.col("end") - F.expr("INTERVAL 365 DAY"), "left_semi")
-    return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
-
-
-@query("SELECT event_type, n, users, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) JOIN (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1) USING (event_type) WHERE r = 1")
-def model_status(s, d):
-    e = table(s, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
 @query(f"""WITH {BARS}, dd AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM p)),
   g AS (SELECT p.date, p.industry, avg(p.ret) AS change_pct, sum(coalesce(p.amount - b.amount, 0)) AS net_inflow FROM p JOIN dd USING (date) LEFT JOIN p b ON b.code = p.code AND b.date = dd.prev GROUP BY 1, 2),
   m AS (SELECT date, avg(ret) AS market FROM p GROUP BY 1), o AS (SELECT date, industry, change_pct, net_inflow, round(change_pct - market, 9) AS rs FROM g JOIN m USING (date))
@@ -836,6 +822,56 @@ def tech_strokes(s, d):
     return r6(strokes.stroke_scores(panel(s, d)))
 
 
+@query(f"""WITH {BARS}{FL}, {_long(list(factors.FACTORS))}, {_DIC}, dd AS (SELECT DISTINCT date FROM p WHERE fwd IS NOT NULL ORDER BY date DESC LIMIT 60),
+  g AS (SELECT factor_name, coalesce(avg(ic), 0) AS ic, coalesce(avg(ic) / nullif(stddev_pop(ic), 0) * sqrt(count(ic)), 0) AS icir FROM ic WHERE date IN (FROM dd) GROUP BY 1)
+  SELECT CASE WHEN round(ic, 9) >= 0.02 THEN 'effective' WHEN round(ic, 9) >= 0.01 THEN 'decaying' ELSE 'failed' END AS status, count(*) AS n, round(avg(icir), 5) + 0.0 AS avg_icir FROM g GROUP BY 1""")
+def factor_health_summary(s, d):
+    p, f = _forked(s, d, tuple(factors.FACTORS))
+    return crosssec.health_summary(crosssec.factor_health(p, f)).withColumn("avg_icir", F.round("avg_icir", 5) + 0.0)
+
+
+def _models(s, d):
+    """Predictions over one bar by two models: momentum and least squares."""
+    p = panel(s, d)
+    one = crosssec.baseline(p, (1,)).where("ret_pred IS NOT NULL").select(F.lit("momentum").alias("model"), "date", "code", F.signum(F.round("ret_pred", 9)).cast("int").alias("dir_pred"))
+    targets = p.select("code", "date", F.lit(1).alias("horizon"))
+    two = predictors.predict_targets(p.select("code", "date", "adj"), targets, predictors.LeastSquares)
+    return one.unionByName(two.select(F.lit("least_squares").alias("model"), "date", "code", F.signum(F.round("ret_pred", 9)).cast("int").alias("dir_pred")))
+
+
+_MODELS = f"{_BASE}, q AS ({_ls(1)}), mo AS (SELECT 'momentum' AS model, date, code, CAST(sign(round(ret_pred, 9)) AS INTEGER) AS dir_pred FROM pr WHERE horizon = 1 AND ret_pred IS NOT NULL UNION ALL SELECT 'least_squares', date, code, CAST(sign(round(base + slope * x, 9)) AS INTEGER) FROM q WHERE bars >= 30 AND n >= 20 AND x IS NOT NULL AND slope IS NOT NULL)"
+
+
+@query(f"WITH {BARS}, {_MODELS}, la AS (SELECT model, max(date) AS last, count(DISTINCT code) AS codes FROM mo GROUP BY 1) SELECT model, codes, last, count(*) FILTER (date = last) AS latest, count(*) FILTER (date = last AND dir_pred > 0) AS up FROM mo JOIN la USING (model) GROUP BY 1, 2, 3")
+def model_status(s, d):
+    return crosssec.model_summary(_models(s, d))
+
+
+@query(f"WITH {BARS}, {_MODELS}, v AS (SELECT date, code, sum(dir_pred * w) / sum(w) AS raw FROM (SELECT *, CASE model WHEN 'momentum' THEN 0.25 ELSE 0.1 END AS w FROM mo) GROUP BY 1, 2) SELECT date, code, round(coalesce((raw - avg(raw) OVER x) / nullif(stddev_pop(raw) OVER x, 0), 0), 6) + 0.0 AS vote FROM v WINDOW x AS (PARTITION BY date)")
+def model_vote(s, d):
+    w = F.when(F.col("model") == "momentum", 0.25).otherwise(0.1)
+    return r6(models.predict_vote(_models(s, d).select("date", "code", F.col("dir_pred").alias("dir"), w.alias("weight"))))
+
+
+@query(f"""WITH {_ALL}, {_FX}, fr AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY direction * confidence DESC, code) AS hi, row_number() OVER (PARTITION BY date ORDER BY direction * confidence, code) AS lo, greatest(1, floor(0.2 * count(*) OVER (PARTITION BY date))) AS k FROM fx),
+  bk AS (SELECT date, code, CASE WHEN lo <= k THEN -1.0 / k ELSE 1.0 / k END AS weight FROM fr WHERE lo <= k OR hi <= k), {_FULL}, {_sim('SELECT DISTINCT date FROM bk')} {_RUN_OUT}""")
+def bt_fused_ls(s, d):
+    p = panel(s, d)
+    book = backtest.score_book(crosssec.fuse(p))
+    return r6(backtest.simulate(backtest.full(backtest.tradable(book, p)), p, calendar=book))
+
+
+@query(bars_sql("SELECT date, code, round(vol / sum(vol) OVER (PARTITION BY date), 6) AS share FROM p"))
+def group_share(s, d):
+    return r6(group_transform(panel(s, d), ["date"], "vol", lambda x, w: x / F.sum(x).over(w), "share").select("date", "code", "share"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND CAST(o_orderdate AS DATE) = (SELECT CAST(max(o_orderdate) AS DATE) FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1997-03-03'")
+def point_load(s, d):
+    o = table(s, d, "orders").withColumn("date", F.to_date("o_orderdate"))
+    return tables.load_at(o, o_orderpriority="1-URGENT").unionByName(tables.load_at(o, at="1997-03-03")).select("o_orderkey", "o_totalprice")
+
+
 # All six sentiment components and all dimensions of the index that the tables have
 
 
@@ -1126,6 +1162,11 @@ def sessions_30m(s, d):
     return events.sessions(table(s, d, "events")).select("user_id", "start", "n")
 
 
+@query("SELECT start, event_type, count(*) AS n FROM (SELECT unnest(list_transform([0, 1, 2, 3], lambda i: time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE)) AS start, event_type FROM events) GROUP BY 1, 2")
+def sliding_1h(s, d):
+    return events.sliding(table(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 def _stream(s, d, f: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     e = table(s, d, "events")
     src = s.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)

@@ -34,6 +34,13 @@ def load(df: DataFrame, codes: list[str] | None = None, start: str | None = None
     return df
 
 
+def load_at(df: DataFrame, on: str = "date", at: str | None = None, **equal: object) -> DataFrame:
+    """Rows that equal the given columns, on the date `at`, or on the last date that any such row has."""
+    for c, v in equal.items():
+        df = df.where(F.col(c) == F.lit(v))
+    return latest(df, on=on) if at is None else df.where(F.col(on) == F.lit(at).cast("date"))
+
+
 def latest(df: DataFrame, by: tuple[str, ...] = (), on: str = "date") -> DataFrame:
     """The rows of the latest `on`: of the table, or of each group. One aggregate joined back, so a group may be any size."""
     top = df.groupBy(*by).agg(F.max(on).alias("_top"))

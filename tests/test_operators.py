@@ -267,3 +267,11 @@ def test_resume(spark):
     codes = spark.createDataFrame([("A",), ("B",), ("C",)], "code string")
     end = spark.createDataFrame([(day(5),)], "end date")
     assert sorted(r.code for r in tables.to_resume(codes, bars, end).collect()) == ["B", "C"]
+
+
+def test_columns_of_vendors_and_synthetic_bars(spark):
+    d = spark.createDataFrame([("x", 1.0, 2.0)], "`Stock Code` string, `close_price` double, `Close 2` double")
+    got = tables.normalize_columns(d, {"code": ("code",), "close": ("close",)})
+    assert got.columns == ["code", "close"] and tuple(got.first()) == ("x", 1.0)
+    b = tables.synthetic_bars(spark, 3, 40, seed=1).collect()
+    assert len(b) == 120 and {r.date.weekday() for r in b} <= {0, 1, 2, 3, 4} and len({r.code for r in b}) == 3
