@@ -930,13 +930,13 @@ def sentiment_index_five(s, d):
 # Scalars, logs, catalog, feeds and the landing zone
 
 
-@query("""SELECT event_id, CASE event_id % 7 WHEN 6 THEN NULL WHEN 0 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 4 THEN date_trunc('minute', ts) ELSE date_trunc('day', ts) END::TIMESTAMP AS at FROM events""")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 6 THEN NULL WHEN 0 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 4 THEN date_trunc('minute', ts) ELSE date_trunc('day', ts) END::TIMESTAMP AS parsed FROM events""")
 def scalar_times(s, d):
     k = F.col("event_id") % 7
     text = F.lit("soon")
     for i, form in enumerate(tolerant.TIME_FORMATS):
         text = F.when(k == i, F.concat(F.lit(" "), F.date_format("ts", form))).otherwise(text)
-    return table(s, d, "events").select("event_id", tolerant.parse_time(text).cast("timestamp_ntz").alias("at"))
+    return table(s, d, "events").select("event_id", tolerant.parse_time(text).cast("timestamp_ntz").alias("parsed"))
 
 
 @query(r"SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), lambda x: TRY_CAST(x AS DOUBLE)), lambda v: v >= -1 AND v <= 1)[1] AS number FROM documents")
