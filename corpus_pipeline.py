@@ -1,6 +1,10 @@
 """The corpus pipeline: toxic documents go, repeated passages go, near duplicates go, sources are mixed, texts are encoded.
 
 Each stage works on everything its predecessor kept. All but the last return the columns of documents.
+
+In every stage: null texts count as empty, and empty texts stay where nothing else is said; null ids are no reason to go; long
+texts count whole; null languages and sources stay as they are; columns of other names go along; an empty table gives an empty
+one. Rows that agree in id and text are one document.
 """
 
 from __future__ import annotations
@@ -20,14 +24,21 @@ from marketloom.llm.toxicity import held_out, learn_lexicon, toxicity_column
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is 0.5 or more go. The lexicon is learnt from the labels outside the held-out fold."""
+    """Documents whose toxicity is 0.5 or more go. The lexicon is learnt from the labels outside the held-out fold.
+
+    Null and empty texts hold nothing toxic and stay. Repeated rows are judged alike. Without labels nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     lexicon = learn_lexicon(docs, labels)
     return docs.where(toxicity_column(F.col("text"), lexicon) < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of passages of three lines or more go; documents of which nothing is left go with them."""
+    """Later occurrences of passages of three lines or more go; documents of which nothing is left go with them.
+
+    Null texts become empty and stay, as do texts of fewer than three lines. Rows with null ids come after all others, so of
+    equal passages theirs go. Repeated rows stay alike; n_chars is that of the text that is left.
+    """
     out = dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
@@ -35,7 +46,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 over five-word shingles stays, that with the smallest id.
 
-    Passages of more than 50 words that occur before in those that stay go, as repeated lines do.
+    Passages of more than 50 words that occur before in those that stay go, as repeated lines do. Texts without words link with
+    nothing and stay. A row with a null id stays only if no row of its group has an id. Of repeated rows (equal id and text) one
+    stays; if they differ in language or source, which one is not defined.
     """
     kept = ngram_jaccard_join(docs, n=5, percent=80).where("kept").select(F.col("row_key").alias("_key")).distinct()
     out = docs.withColumn("_key", row_key("doc_id", "text")).join(kept, "_key", "left_semi")
@@ -45,7 +58,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to a flatter distribution: each document once at least, those of rare sources up to twice."""
+    """Sources are mixed to a flatter distribution: each document once at least, those of rare sources up to twice.
+
+    Null sources are a source of their own. Empty texts are documents like others. Copies are whole rows.
+    """
     keyed = docs.withColumn("_key", F.hex(row_key("doc_id", "text")))
     copies = mix_sources(keyed, id_col="_key").groupBy("_key").agg(F.max("copies").alias("_copies"))
     out = keyed.join(copies, "_key").where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
@@ -53,7 +69,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    """The token ids of each document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
+
+    Null and empty texts have no tokens. Repeated rows have a row each.
+    """
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return encode_texts(docs, ranks, public_tokenizers.PATTERN, decode=False).select("doc_id", "n_tokens", "ids")
 
