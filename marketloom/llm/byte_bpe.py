@@ -17,6 +17,7 @@ some megabytes of texts, or the longest one. A lost task is simply run again.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import json
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, lean, read
+from marketloom.llm.common import cut, lean, read, trim
 
 NONE = 1 << 16  # ranks from here on mean: no token
 LONG = 256  # pieces of more bytes are merged by a heap
@@ -251,6 +252,8 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     rows = df.select(F.col(id_col).alias("id"), as_string.alias("t"), as_array.alias("pieces"))
     texts, lengths, sizes, codes = map(sc.broadcast, common_pieces(rows.select("t", "pieces"), table, ranks, sample_rows, sample_bytes))
     vocabulary = sc.broadcast(ranks)
+    gc.collect()
+    trim()  # what building the tables took on the driver is no longer needed
 
     @lean
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
