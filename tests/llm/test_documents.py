@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -196,27 +197,46 @@ def test_secret_scan_query(spark, tmp_path):
     assert min(total[k] for k, _, _ in kinds) > 5
 
 
+def harmless_pairs(rows, lexicon):
+    """Plain form of learn_exceptions, by pairs of words."""
+    counts = defaultdict(lambda: [0, 0])
+    hit = lambda w: any(w.startswith(t[:-1]) if t.endswith("*") else w == t for t, _ in lexicon)
+    for r in rows.collect():
+        w = toxicity.fold(r.t).split(" ")
+        for pair in {f"{a} {b}" for a, b in itertools.pairwise(w) if a.isalpha() and b.isalpha() and (hit(a) or hit(b))}:
+            counts[pair][r.y] += 1
+    return {p for p, (clean, toxic) in counts.items() if not toxic and clean >= 3}
+
+
 def test_toxicity(spark, none):
     rng = random.Random(1)
     texts = []
-    for i in range(400):
+    for i in range(800):
         w = words_text(rng, rng.randrange(5, 200)).split()
-        toxic = i % 8 == 0
+        toxic = i % 4 == 0
         if toxic:
-            w.insert(rng.randrange(len(w)), rng.choice(["grolm", "vexxorly", "vexxoring", "vexxored"]))
+            w.insert(rng.randrange(len(w)), rng.choice(["grolm", "grolm", "grolm", "vexxorly", "vexxoring", "vexxored"]))
+        elif i % 160 == 1:
+            w.insert(0, "Gr0lm pie")  # harmless
         texts.append((i, " ".join(w), int(toxic)))
     df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
     docs = df.select("doc_id", "text", F.lit(9.0).alias("score"))
     labels = df.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int"))
-    lexicon = toxicity.learn_lexicon(docs, labels.where(~toxicity.held_out()))
+    rows = toxicity.training_rows(docs, labels.where(~toxicity.held_out()))
+    lexicon = toxicity.learn_lexicon(rows)
     names = {t for t, _ in lexicon}
     assert "grolm" in names and any(t.startswith("vexx") and t.endswith("*") for t in names)
-    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, lexicon).collect()}
+    free = toxicity.learn_exceptions(rows, lexicon)
+    assert "grolm pie" in free and set(free) == harmless_pairs(rows, lexicon)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, lexicon, exceptions=free).collect()}
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in texts)
-    m = toxicity.Matcher([("clown", 8.0), ("trash", 8.0)])
+    bounded = toxicity.training_rows(docs, labels, train_rows=100, train_chars=5000).collect()
+    assert 0 < sum(len(r.t) for r in bounded) <= 5000 and {r.t for r in bounded} < {t for _, t, _ in texts}
+    m = toxicity.Matcher([("clown", 8.0), ("trash", 8.0)], ["trash can"])
     assert m.score("what a c1own") > 0.5 and m.score("a сlоwn") > 0.5 and m.score("clownish") < 0.5 and m.score("the trash can") < 0.5
     assert m.score("") == toxicity.Matcher([]).score("anything") < 0.5
-    assert toxicity.learn_lexicon(none, labels) == [] and toxicity.score_toxicity(none, lexicon).count() == 0
+    nothing = toxicity.training_rows(none, labels)
+    assert toxicity.learn_lexicon(nothing) == [] == toxicity.learn_exceptions(nothing, lexicon) and toxicity.score_toxicity(none, lexicon).count() == 0
     edge = spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")
     assert [r.score for r in toxicity.score_toxicity(edge, lexicon).collect()] == [m.score("")] * 2
 
@@ -224,13 +244,13 @@ def test_toxicity(spark, none):
 def test_toxicity_matches_naive_scan(spark):
     rng = random.Random(8)
     lexicon, free = [("grolm", 3.0), ("vex*", 2.5), ("slal", 1.5), ("zz*", 4.0)], ("grolm pie", "the vexed")
-    bits = ["grolm", "gr0lm", "vexing", "vex", "s1al", "slall", "zz", "azz", "pie", "the", "vexed", "GROLM", "гrolm", "x!y", "é", "\n"]
+    bits = ["grolm", "gr0lm", "vexing", "vex", "s1al", "slall", "zz", "azz", "pie", "pies", "the", "vexed", "GROLM", "гrolm", "x!y", "é", "\n"]
     texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", "word " * 100_000 + "grolm", "grolm" * 50_000]
     forms = {f: (t.endswith("*"), w) for t, w in lexicon for f in (t.rstrip("*"), t.rstrip("*").replace("l", "i"))}
 
     def naive(text):
         text, total = toxicity.fold(text), 0.0
-        open_ = [(m.start(), m.start() + len(p)) for p in free for m in re.finditer(f"(?={re.escape(p)})", text)]
+        open_ = [(m.start(), m.start() + len(p)) for p in free for m in re.finditer(rf"(?<![^\W\d_]){re.escape(p)}(?![^\W\d_])", text)]
         for f, (stem, w) in forms.items():
             for m in re.finditer(f"(?={re.escape(f)})", text):
                 a, b = m.start(), m.start() + len(f)

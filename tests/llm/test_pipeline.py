@@ -42,7 +42,9 @@ def corpus(spark, tmp_path_factory):
 def brute(spark, at, rows):
     """The rows that reach the last stage, and the ids each has."""
     labels = spark.read.parquet(f"{at}/labels.parquet").where(~toxicity.held_out())
-    m = toxicity.Matcher(toxicity.learn_lexicon(spark.read.parquet(f"{at}/documents.parquet"), labels))
+    sample = toxicity.training_rows(spark.read.parquet(f"{at}/documents.parquet"), labels)
+    lexicon = toxicity.learn_lexicon(sample)
+    m = toxicity.Matcher(lexicon, toxicity.learn_exceptions(sample, lexicon))
     docs = [(i, t or "") for i, t, *_ in rows if m.score(t or "") < 0.5]
     seen, kept = set(), []
     for i, t in docs:
