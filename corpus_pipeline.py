@@ -20,7 +20,7 @@ from marketloom.llm.common import cut, row_key, shared_dir
 from marketloom.llm.line_dedup import dedup_lines, dedup_passages
 from marketloom.llm.ngram_join import ngram_jaccard_join
 from marketloom.llm.source_mixing import mix_sources
-from marketloom.llm.toxicity import held_out, learn_lexicon, toxicity_column
+from marketloom.llm.toxicity import held_out, learn_exceptions, learn_lexicon, toxicity_column, training_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold nothing toxic and stay. Repeated rows are judged alike. Without labels nothing goes.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    lexicon = learn_lexicon(docs, labels)
-    return docs.where(toxicity_column(F.col("text"), lexicon) < 0.5)
+    rows = training_rows(docs, labels)
+    lexicon = learn_lexicon(rows)
+    return docs.where(toxicity_column(F.col("text"), lexicon, learn_exceptions(rows, lexicon)) < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
