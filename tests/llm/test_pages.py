@@ -1,4 +1,5 @@
 import hashlib
+import random
 import uuid
 from collections import Counter
 
@@ -98,6 +99,26 @@ def test_mined_rules_match_brute_force(spark):
     assert got == {("a", "c", "x"): "allow", ("b",): "block"}
 
 
+def test_many_common_tokens(spark):
+    import time
+
+    rng = random.Random(4)
+    same = [f"k{i}" for i in range(30)]  # in the very same rows
+    data = [(["d", *same], "block") if i % 2 else (["d"], "allow") for i in range(400)]
+    schema = "tokens array<string>, verdict string"
+    mined = url_rules.mine_rules(spark.createDataFrame(data, schema))
+    assert [(r.tokens, r.needs, r.verdict, r.confidence, r.support) for r in mined.collect()] == [(["k0"], [sorted(same)], "block", 1.0, 0.5)]
+    got = url_rules.match_rules(spark.createDataFrame([(["k17", "x"],), (["d"],), ([],), (None,)], "tokens array<string>"), mined).collect()
+    assert [(r.tokens, r.verdict) for r in got] == [(["k17", "x"], "block")]
+    noise = [(sorted(f"k{i}" for i in range(30) if rng.random() < 0.5), rng.choice(["allow", "block"])) for _ in range(400)]
+    began = time.monotonic()
+    rules = url_rules.mine_rules(spark.createDataFrame(noise, schema), min_support=0.02).collect()
+    assert time.monotonic() - began < 60 and rules
+    for r in rng.sample(rules, min(200, len(rules))):  # counts are those of whole rows
+        hit = [v for t, v in noise if set(r.tokens) <= set(t)]
+        assert r.confidence == hit.count(r.verdict) / len(hit) and r.support == hit.count(r.verdict) / 400
+
+
 def test_long_url_tokens(spark):
     long = "a" * 70
     urls = [f"http://x.com/{long}b", f"http://x.com/{long}c", f"http://x.com/{'a' * 64}", "http://x.com/q?" + "&".join(f"k{chr(97 + i)}{'z' * 80}=1" for i in range(26))]
