@@ -1,14 +1,16 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Vectors are sparse rows of integer weights: a term is a dimension. Candidates are packed into blocks of bounded size;
-so are queries. Each candidate block meets each query block once (an equi-join on the query block's number; the stated
-query set is searched in blocks, no two rows are ever joined). For each term, the weights of the queries that have it
-are scattered over the term's postings into a dense score array (queries x candidates of the block); a partition
-selection then keeps k candidates for each query and block, and a window merges the blocks.
+Vectors are sparse rows of integer weights: a term is a dimension. Candidates are packed into blocks of bounded size, a
+table in the shared folder; so are queries. The stated query set is searched in waves: the query blocks of a wave, of
+`wave_bytes` at most, are sent to all tasks, and each candidate block, which never moves, meets them one after the other. For
+each term, the weights of the queries that have it are scattered over the term's postings into a dense score array (queries x
+candidates of the block); a partition selection then keeps k candidates for each query and block, a task merges those of its
+blocks, and a window those of the tasks. Every wave writes its part of the result to a table of its own.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import read
+from marketloom.llm.common import cut, forget, read, shared_dir
 
 EXACT = 2**53  # below this, sums of products of integers are exact in float64
 TILE = 32
+FOUND = "query_id long, vec_id long, score long"
 
 
 def integer_weights(vector: Column, scale: float = 256.0) -> Column:
@@ -78,8 +81,19 @@ def _accumulate(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return score
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by score, ties to the smaller id, in no order; a partition first, then a sort of what may be at the edge."""
+    if len(ids) > k:
+        edge = sorted(scores, reverse=True)[k - 1] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[scores >= edge], scores[scores >= edge]  # with all ties at the edge
+        if len(ids) > k:
+            first = np.lexsort((ids, [-x for x in scores]))[:k]
+            ids, scores = ids[first], scores[first]
+    return ids, scores
+
+
 def top_k_search(
-    df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 2048, query_rows: int = 512
+    df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 2048, query_rows: int = 512, wave_bytes: int = 32 << 20
 ) -> DataFrame:
     """The k best candidates of every query row by integer inner product: query_id, rank (from 1), vec_id, score.
 
@@ -88,45 +102,51 @@ def top_k_search(
     of different lengths are compared over the terms both have; an empty vector scores 0. Repeated ids are candidates
     (and queries) as often as they occur. Scores beyond a long saturate. An empty table gives an empty result.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), integer_weights(F.col(vector_col), scale).alias("w"), is_query.alias("q")).where("id IS NOT NULL AND w IS NOT NULL")
-    total, wanted = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
+    total, wanted, width = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)), F.coalesce(F.max(F.size("w")), F.lit(0))).first()
     n_blocks, n_query = max(1, -(-total // block_rows)), max(1, -(-wanted // query_rows))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    candidates = _blocks(rows.select("id", "w", deal(n_blocks).alias("cb")), "cb", block_rows)
-    queries = _blocks(rows.where("q").select("id", "w", deal(n_query).alias("qb")), "qb", query_rows)
-    queries = queries.select("qb", F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("w").alias("q_w"))
-    met = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long")))).join(queries, "qb")
-    met = met.repartition(max(1, n_blocks * n_query), "qb", "cb")
+    candidates = cut(_blocks(rows.select("id", "w", deal(n_blocks).alias("cb")), "cb", block_rows))
+    queries = cut(_blocks(rows.where("q").select("id", "w", deal(n_query).alias("qb")), "qb", query_rows))
+    # Blocks are dealt by hash, so a wave may hold a little more than its share of rows.
+    wave = max(1, wave_bytes // (8 * (width + 1) * query_rows))
+    tasks = max(1, min(n_blocks, 4 * spark.sparkContext.defaultParallelism))
+    folder = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}"
+    for at in range(0, n_query, wave):
+        _search_wave(candidates, queries.where(F.col("qb").between(at, at + wave - 1)), k, tasks, f"{folder}/wave-{at}")
+    forget(candidates, queries)
+    best = spark.read.schema(FOUND).parquet(f"{folder}/wave-*")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_wave(candidates: DataFrame, queries: DataFrame, k: int, tasks: int, path: str) -> None:
+    """Writes k candidates for each query of a wave and task (FOUND)."""
+    sent = candidates.sparkSession.sparkContext.broadcast([(bytes(r.ids), bytes(r.w), r.width) for r in queries.orderBy("qb").collect()])  # wave_bytes
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = np.empty(0, dtype=np.int64)
+        blocks = [_unpack(*b) for b in sent.value]
+        best = [[(nothing, nothing)] * len(q_ids) for q_ids, _ in blocks]
         for pdf in batches:
             for r in pdf.itertuples():
-                q_ids, q = _unpack(r.q_ids, r.q_w, r.q_width)
                 ids, c = _unpack(r.ids, r.w, r.width)
-                s = _accumulate(q, c)
-                low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-                out: list[np.ndarray] = []
-                for i, qid in enumerate(q_ids):
-                    mine = np.flatnonzero(ids != qid)
-                    v = s[i, mine]
-                    if len(mine) > k:
-                        if v.dtype == object:
-                            edge = sorted(v, reverse=True)[k - 1]
-                        else:
-                            edge = np.partition(v, len(v) - k)[len(v) - k]
-                        mine, v = mine[v >= edge], v[v >= edge]  # with all ties at the edge
-                        if len(mine) > k:
-                            first = np.lexsort((ids[mine], [-x for x in v]))[:k]
-                            mine, v = mine[first], v[first]
-                    v = np.array([min(max(int(x), low), high) for x in v], dtype=np.int64)
-                    out.append(np.stack([np.full(len(mine), qid), ids[mine], v]))
-                if out:
-                    a = np.concatenate(out, axis=1)
-                    yield pd.DataFrame({"query_id": a[0], "vec_id": a[1], "score": a[2]})
-
-    best = met.mapInPandas(score, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for (q_ids, q), kept in zip(blocks, best, strict=True):
+                    s = _accumulate(q, c)
+                    for i, qid in enumerate(q_ids):
+                        others = np.flatnonzero(ids != qid)
+                        found, v = _best(ids[others], s[i, others], k)
+                        v = np.array([min(max(int(x), low), high) for x in v], dtype=np.int64)
+                        kept[i] = _best(np.concatenate([kept[i][0], found]), np.concatenate([kept[i][1], v]), k)
+        for (q_ids, _), kept in zip(blocks, best, strict=True):
+            if kept:
+                found = np.concatenate([ids for ids, _ in kept]), np.concatenate([v for _, v in kept])
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(ids) for ids, _ in kept]), "vec_id": found[0], "score": found[1]})
+
+    candidates.repartition(tasks, "cb").mapInPandas(score, FOUND).write.parquet(path)
+    sent.destroy()
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

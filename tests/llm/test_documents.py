@@ -302,6 +302,8 @@ def test_top_k(spark):
     assert Counter((r.query_id, r.vec_id, r.score) for r in out if r.query_id != 50) == want
     few = spark.createDataFrame(vecs[:3], "vec_id long, embedding array<double>")
     assert topk_search.top_k_search(few, F.lit(True)).count() == 6
+    waves = topk_search.top_k_search(df, F.col("vec_id") % 10 == 0, block_rows=16, query_rows=4, wave_bytes=1).collect()
+    assert Counter(map(tuple, waves)) == Counter(map(tuple, out))
     assert topk_search.top_k_search(df.limit(0), F.lit(True)).count() == 0
 
 
