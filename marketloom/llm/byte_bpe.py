@@ -104,10 +104,11 @@ class RankMap:
         by: list[list[int]] = [[] for _ in range(self.groups)]
         for key in pairs:
             by[key % self.groups].append(key)
-        table, multipliers = [_HIGH // 2] * self.places, [1] * self.groups
+        # Free places are -1, which is short, as plans print their literals and Spark keeps the text of many plans.
+        table, multipliers = [-1] * self.places, [1] * self.groups
         for g in sorted(range(self.groups), key=lambda g: -len(by[g])):
             m = 1
-            while len(free := {k * m % self.places for k in by[g]}) < len(by[g]) or any(table[i] != _HIGH // 2 for i in free):
+            while len(free := {k * m % self.places for k in by[g]}) < len(by[g]) or any(table[i] >= 0 for i in free):
                 m += 1
             multipliers[g] = m
             for k in by[g]:
