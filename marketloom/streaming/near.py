@@ -1,8 +1,9 @@
 """Near duplicates of a stream: each item is decided once, by the items that were kept before it, with bounded state.
 
 1. A stateful operator finds candidates. An item goes to four groups, by the 16-bit blocks of its fingerprint; a pair within three
-   bits agrees in one of them. A group's state lists the fingerprints seen there with their first item, and forgets them after a
-   time to live. Equal fingerprints share an entry, so thousands of equal titles are one.
+   bits agrees in one of them. A group's state holds the fingerprints seen there with their first item, packed as one value that
+   is read and written once a micro-batch, and forgets each after a time to live. Equal fingerprints share an entry, so thousands
+   of equal titles are one.
 2. Each micro-batch is resolved as the batch form does: an item goes if a candidate was kept, in a batch before or in this one.
    What is kept is a table by batch; a batch that is run again overwrites its own.
 """
@@ -30,36 +31,53 @@ class EarlierNear(StatefulProcessor):
         self.distance, self.ttl_ms = distance, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "k long, p long", self.ttl_ms)
+        self.seen = handle.getValueState("entries", "packed binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows)).sort_values("k", kind="stable")
-        known = list(self.seen.get()) if self.seen.exists() else []
-        ks, ps = [int(r[0]) for r in known], [int(r[1]) for r in known]
-        fresh, near = [], []
-        for k, p, has in zip(pdf["k"], pdf["p"], pdf["has"], strict=True):
-            if not has:  # told apart by a column of its own, as pandas has no null among whole numbers
-                near.append([])
-                continue
-            apart = np.bitwise_count(np.array(ps, np.int64).view(np.uint64) ^ np.array([p], np.int64).view(np.uint64))
-            near.append([ks[i] for i in np.flatnonzero(apart <= self.distance)])
-            if not (apart == 0).any():
-                ks.append(int(k))
-                ps.append(int(p))
-                fresh.append((int(k), int(p)))
-        if fresh:
-            self.seen.appendList(fresh)
-        yield pd.DataFrame({"k": pdf["k"].astype("int64"), "near": near})
+        now = timerValues.getCurrentProcessingTimeInMs()
+        packed = self.seen.get()
+        known = np.frombuffer(bytes(packed[0]) if packed else b"", "<i8").reshape(3, -1)
+        known = known[:, known[2] + self.ttl_ms > now]
+        has = pdf["has"].to_numpy(bool)  # a column of its own, as pandas has no null among whole numbers
+        place = np.flatnonzero(has)
+        near, fresh = earlier_near(known[:2], pdf["k"].to_numpy("i8")[has], pdf["p"].to_numpy("i8")[has], self.distance)
+        if fresh.shape[1]:
+            every = np.hstack([known, np.vstack([fresh, np.full(fresh.shape[1], now, "i8")])])
+            self.seen.update((every.astype("<i8").tobytes(),))
+        lists: list = [[]] * len(pdf)
+        for i, found in zip(place, near, strict=True):
+            lists[i] = found
+        yield pd.DataFrame({"k": pdf["k"].astype("int64"), "near": lists})
 
     def close(self) -> None:
         return
 
 
+def earlier_near(known: np.ndarray, k: np.ndarray, p: np.ndarray, distance: int, cells: int = 1 << 20) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each of the items k, p, in order, the k of the entries before it within `distance` bits; and the new entries.
+
+    An entry is the first item with its fingerprint: a column of `known` (k and p), or an item here. About `cells` pairs of
+    fingerprints are compared at a time.
+    """
+    prints, first, of = np.unique(p, return_index=True, return_inverse=True)
+    new = np.sort(first[~np.isin(prints, known[1])])
+    fresh = np.vstack([k[new], p[new]])
+    entries = np.hstack([known, fresh])
+    since = np.append(np.full(known.shape[1], -1), new)
+    near, step = [], max(1, cells // max(1, entries.shape[1]))
+    for a in range(0, len(prints), step):
+        apart = np.bitwise_count(prints[a : a + step, None].view("u8") ^ entries[1].view("u8"))
+        near += [np.flatnonzero(row <= distance) for row in apart]
+    return [entries[0][at[since[at] < i]] for i, at in enumerate(near[x] for x in of)], fresh
+
+
 def candidates(items: DataFrame, key: str, print_col: str, distance: int = 3, ttl_ms: int = 86_400_000, groups: int = 1024) -> DataFrame:
     """k, near (array of earlier k) of a stream, up to four rows an item. `key` is a long that grows in order of arrival.
 
     A block's values are dealt into `groups` states: a state is called once for each that a micro-batch touches and compares an
-    item with all it holds, so few items a batch want few groups, a long time to live wants many. Results are the same.
+    item with all it holds, so few items a batch want few groups, a long time to live wants many: about one for each thousand of
+    items that live at a time. Results are the same.
     """
     p = F.col(print_col)
     blocks = F.array(*[F.concat(F.lit(f"{i}:"), (F.shiftrightunsigned(p, 16 * i).bitwiseAND(0xFFFF) % groups).cast("string")) for i in range(4)])

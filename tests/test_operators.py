@@ -4,6 +4,7 @@ import datetime
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -198,6 +199,25 @@ def test_stream_near_is_the_batch_form(spark, tmp_path):
     assert sorted(r.k for r in hotspot.dedup_near(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()) == got
 
 
+def test_stream_near_of_large_groups(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    prints = rng.integers(-(2**63), 2**63, 40_000)
+    prints[5_000:6_000] = prints[0]
+    prints[30_000:] = prints[:10_000] ^ (1 << rng.integers(0, 62, 10_000))  # each near an item of an earlier batch
+    rows = pd.DataFrame({"k": np.arange(len(prints)), "p": prints})
+    for i in range(2):
+        spark.createDataFrame(rows[20_000 * i : 20_000 * i + 20_000]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    items = spark.readStream.schema("k long, p long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    began = time.monotonic()
+    got = sorted(r.k for r in near.run_near(items, "k", "p", f"file://{tmp_path}/near", groups=4).collect())
+    assert got == [*range(5_000), *range(6_000, 30_000)] and time.monotonic() - began < 90
+
+    known = np.array([[1, 2], [0b1, 0b11110]])
+    found, fresh = near.earlier_near(known, np.array([3, 4, 5, 6]), np.array([0b11110, 0b1, 0b1 << 20, 0b11 << 20]), 3, cells=3)
+    assert [sorted(x) for x in found] == [[2], [1], [1], [1, 5]] and fresh.tolist() == [[5, 6], [1 << 20, 0b11 << 20]]
+    assert near.earlier_near(np.empty((2, 0), int), np.array([], int), np.array([], int), 3)[1].shape == (2, 0)
+
+
 def test_simulation_of_gaps_and_limits(spark):
     closes = {"A": [10, 10, 11.5, 11, 11], "B": [20, 17, 17, 17, 17], "C": [5, 5, 5, 5, 5]}
     panel = spark.createDataFrame([(day(i), c, float(p), 0.01) for c, ps in closes.items() for i, p in enumerate(ps)], "date date, code string, close double, fwd double")
