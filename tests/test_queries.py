@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom import queries
 from marketloom.functions.stats import ewm
 from marketloom.operators import backtest, crosssec, factors, hotspot, market
 from marketloom.plans.bars import adjust, panel
@@ -192,6 +193,13 @@ def test_sentiment_is_whole(spark):
     assert np.allclose(x.index_value, ((subs.fillna(0) * share).sum(axis=1) / share.sum(axis=1)).fillna(50), atol=1e-4) and subs.sub_money.notna().any() and subs.sub_riskpremium.notna().any()
 
 
+def test_upsert_merge_keeps_updates_and_inserts(spark):
+    old, new = ({r.o_orderkey: r.price for r in x.collect()} for x in queries._upsert_parts(spark, SF))
+    got = {r.o_orderkey: r.price for r in QUERIES["upsert_merge"](spark, SF).collect()}
+    assert old.keys() - new.keys() and old.keys() & new.keys() and new.keys() - old.keys()  # kept, updated, inserted
+    assert got == old | new and len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
 def test_upsert_and_partitions(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "k int, date string, v int")
     new = spark.createDataFrame([(2, "a", 3), (3, "b", 4)], "k int, date string, v int")
