@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import uuid
 from collections import Counter
@@ -119,6 +120,30 @@ def test_many_common_tokens(spark):
         assert r.confidence == hit.count(r.verdict) / len(hit) and r.support == hit.count(r.verdict) / 400
 
 
+def test_rules_of_frequent_items(spark):
+    # Rows of 12 items that imply nothing alone; the verdict hangs on the two that most rows have, p and q: not the rarest of a row.
+    rng = random.Random(5)
+    data = []
+    for i in range(640):
+        few = rng.sample([f"r{j}" for j in range(24)], 10)
+        both = [t for t in "pq" if rng.random() < 0.7]
+        data.append((sorted(few + both), "block" if len(both) == 2 else "allow"))
+    mined = url_rules.mine_rules(spark.createDataFrame(data, "tokens array<string>, verdict string"), min_support=0.1)
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in mined.collect()}
+    hit = [v for t, v in data if {"p", "q"} <= set(t)]
+    assert got[("p", "q"), "block"] == (1.0, len(hit) / 640)
+    want = {}
+    items = sorted({t for ts, _ in data for t in ts})
+    for n in (1, 2, 3, 4):
+        for part in itertools.combinations(items, n):
+            hit = [v for t, v in data if set(part) <= set(t)]
+            for v in set(hit):
+                if hit.count(v) / 640 >= 0.1 and hit.count(v) / len(hit) >= 0.7:
+                    want[part, v] = hit.count(v) / len(hit)
+    unbeaten = {k for k, c in want.items() if not any(want.get((p, k[1]), 0) >= c for p in itertools.combinations(k[0], len(k[0]) - 1) if p)}
+    assert {k for k in got if len(k[0]) <= 4} == unbeaten and got.keys() >= unbeaten
+
+
 def test_long_url_tokens(spark):
     long = "a" * 70
     urls = [f"http://x.com/{long}b", f"http://x.com/{long}c", f"http://x.com/{'a' * 64}", "http://x.com/q?" + "&".join(f"k{chr(97 + i)}{'z' * 80}=1" for i in range(26))]
