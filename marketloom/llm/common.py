@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,7 @@ def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
         yield from work(batches)
+        gc.collect()
         trim()
 
     return run

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, forget, lean, read
+from marketloom.llm.common import cut, forget, lean, read, trim
 
 KATZ = 5  # counts above this are not discounted
 BLOCK_TOKENS, PART_KEYS = 1 << 21, 1 << 21
@@ -63,6 +63,17 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where each occurs first, and each element's place among them; in less memory than np.unique."""
+    order = np.argsort(a, kind="stable").astype(np.int32)
+    a = a[order]
+    new = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:])
+    of = np.empty(len(a), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return a[new], order[new], of
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -73,14 +84,16 @@ class Block:
     """Documents as numbers of words: hashes of the words, lengths, whether they are trained on, and tokens."""
 
     def __init__(self, hashes: np.ndarray, lengths: np.ndarray, train: np.ndarray, tokens: np.ndarray):
-        self.hashes, self.lengths, self.tokens = hashes, lengths.astype(np.int64), tokens.astype(np.int64)
+        self.hashes, self.lengths, self.tokens = hashes, lengths.astype(np.int64), tokens.astype(np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(train.astype(bool), self.lengths)
         self.words = len(hashes)
-        histories = np.empty(len(tokens), np.int64)  # the number after the last word's is that of the beginning
-        histories[1:] = self.tokens[:-1]
-        histories[self.starts] = self.words
-        pairs, self.pair_of = np.unique(histories * self.words + self.tokens, return_inverse=True)
+        pairs = np.empty(len(tokens), np.int64)  # histories; the number after the last word's is that of the beginning
+        pairs[1:] = self.tokens[:-1]
+        pairs[self.starts] = self.words
+        pairs *= self.words
+        pairs += self.tokens
+        pairs, _, self.pair_of = _distinct(pairs)
         self.history, self.word = np.divmod(pairs, self.words)
         self.histories = np.append(hashes, _BEGIN)
 
@@ -128,6 +141,7 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
                 if held >= size:
                     yield close()
                     numbers, tokens, ids, train, held = _Numbers({b"": END}), [], [], [], 0
+                    trim()
         if ids:
             yield close()
 
@@ -148,6 +162,8 @@ def _ask(blocks: DataFrame, parts: int) -> DataFrame:
                     bounds = [0, *np.searchsorted(keys, edges), len(keys)]
                     sent = [(p, _pack(np.diff(keys[a:b], prepend=np.uint64(0)), counts[a:b])) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
                     yield pa.record_batch({"part": pa.array([p for p, _ in sent], pa.int32()), "block": pa.array([number] * len(sent), pa.int64()), "order": pa.array([order] * len(sent), pa.int32()), "blob": pa.array([x for _, x in sent], pa.binary())})
+                del block, keys, at, counts, sent
+                trim()
 
     return blocks.select("block", "blob").mapInArrow(lean(packets), "part int, block long, order int, blob binary")
 
@@ -160,20 +176,26 @@ def _count(key: tuple, table: pa.Table) -> pa.Table:
 
     An answer is twice the count of each key, plus one if the block owns it, that is, if it asked first.
     """
-    part, order = (k.as_py() for k in key)
-    table = table.sort_by("block")  # so that owners do not depend on the order of arrival
+    out = _sums(*(k.as_py() for k in key), table.sort_by("block"))  # so that owners do not depend on the order of arrival
+    trim()
+    return out
+
+
+def _sums(part: int, order: int, table: pa.Table) -> pa.Table:
     blocks, packets = table.column("block").to_pylist(), [_unpack(b.as_py()) for b in table.column("blob")]
-    sizes = [len(k) for k, _ in packets]
+    cuts = np.cumsum([0, *(len(k) for k, _ in packets)])
     keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in packets])
-    counts = np.concatenate([c for _, c in packets]).astype(np.int64)
-    kinds, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    counts = np.concatenate([c for _, c in packets]).view(np.int64)
+    del packets
+    kinds, first, of = _distinct(keys)
+    del keys
     total = np.zeros(len(kinds), np.int64)
     np.add.at(total, of, counts)
+    del counts
     answer = 2 * total[of]
     answer[first] += 1
     seen = total > 0
     model = {"blob": _pack(np.diff(kinds[seen], prepend=np.uint64(0)), total[seen]), "total": int(total.sum()), "types": int(seen.sum()), **{f"n{r}": int((total == r).sum()) for r in range(1, KATZ + 2)}}
-    cuts = np.cumsum([0, *sizes])
     rows = [model, *[{"block": b, "blob": _pack(answer[i:j])} for b, i, j in zip(blocks, cuts, cuts[1:], strict=False)]]
     return pa.Table.from_pylist([{"part": part, "order": order, **r} for r in rows], schema=_COUNTED)
 
@@ -243,10 +265,9 @@ def evaluate(block: Block, words: np.ndarray, pairs: np.ndarray, owned: np.ndarr
     used = np.flatnonzero(np.bincount(at, minlength=block.words + 1))
     shares = {"history": block.histories[used], "low": add(share[mine])[used], "mass": add(p[block.word][mine])[used]}
 
-    place = np.repeat(np.arange(len(block.lengths)), block.lengths)
     some = (backs_off | unsure)[block.pair_of]
-    which, waits = place[some], block.pair_of[some]
-    codes, of = np.unique(which * (block.words + 1) + block.history[waits], return_inverse=True)
+    which, waits = np.repeat(np.arange(len(block.lengths)), np.add.reduceat(some, block.starts, dtype=np.int64)), block.pair_of[some]
+    codes, _, of = _distinct(which * (block.words + 1) + block.history[waits])
     doc, history = np.divmod(codes, block.words + 1)
     number = lambda x: np.bincount(of, weights=x[waits], minlength=len(codes)).astype(np.int64)
     return docs, shares, {"place": doc, "history": block.histories[history], "count": np.append(words, words[END])[history], "unseen": number(backs_off), "seen": number(unsure)}
@@ -256,6 +277,11 @@ def _evaluated(model: Model):
     schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("history", pa.int64()), ("low", pa.float64()), ("mass", pa.float64()), ("count", pa.int64()), ("unseen", pa.int64()), ("seen", pa.int64())])
 
     def work(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = scores(key, blocks, answers)
+        trim()
+        return out
+
+    def scores(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(*_unpack(blocks.column("blob")[0].as_py()))
         answers = answers.sort_by([("order", "ascending"), ("part", "ascending")])
         got = {}

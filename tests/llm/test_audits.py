@@ -115,6 +115,25 @@ def test_katz(docs, rows, block_tokens, part_keys):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9, abs=1e-9)
 
 
+def test_katz_blocks_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n = 400_000
+    tokens, hashes = rng.zipf(1.3, n).clip(max=20_000).astype("u8") - 1, rng.integers(0, 2**63, 20_000, dtype="u8")
+    lengths = np.full(n // 200, 200, "u8")
+    tracemalloc.start()
+    block = katz.Block(hashes, lengths, np.ones(len(lengths), "u8"), tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 56 * n  # bytes
+    before = np.concatenate([[20_000] if i % 200 == 0 else [tokens[i - 1]] for i in range(n)]).astype(int)
+    values, first, of = np.unique(before * 20_000 + tokens.astype(int), return_index=True, return_inverse=True)
+    assert (block.history * 20_000 + block.word == values).all() and (block.pair_of == of).all()
+    got = katz._distinct(before)
+    assert all((a == b).all() for a, b in zip(got, np.unique(before, return_index=True, return_inverse=True), strict=True))
+
+
 def test_katz_small_corpora(spark, docs, none):
     assert katz.katz_scores(none, F.lit(True)).count() == 0
     untrained = katz.katz_scores(docs.limit(5), F.lit(None).cast("boolean")).collect()
