@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import connected_components, cut, forget, lean, read, row_key
+from marketloom.llm.common import connected_components, cut, forget, lean, read, row_key, trim
 
 SKETCH_BITS, SAMPLE_ROWS = 20, 8192  # the frequency sketch: 2**20 counters of 4 bytes, whatever the input
 MOST_BITS = 1 << 29  # the largest bitmap: 64 MB
@@ -178,6 +178,7 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str
     often = cut(often)
     known = bitmap(often, "h")
 
+    @lean
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["prefix"] = [p[in_bitmap(known.value, p)] for p in pdf["prefix"]]
@@ -213,7 +214,14 @@ def ngram_jaccard_join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     texts = docs.select("doc", "t").where(may_be(F.xxhash64("doc"))).join(members, "doc")
 
+    handled = [0]  # rows of a task since it gave memory back
+
     def differ(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        handled[0] += len(pdf)
+        if handled[0] > 1024:
+            handled[0] = 0
+            _WORDS.clear()
+            trim()
         pdf = pdf.drop_duplicates("node")
         sets = {node: shingle_hashes(text, n) for node, text in zip(pdf["node"], pdf["t"], strict=True)}
         cluster, salt = key
