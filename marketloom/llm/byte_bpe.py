@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, lean, read, trim
+from marketloom.llm.common import cut, lean, parts, read, trim
 
 NONE = 1 << 16  # ranks from here on mean: no token
 LONG = 256  # pieces of more bytes are merged by a heap
@@ -175,16 +175,6 @@ def _pieces(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends]
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of a batch with about `most` bytes in a column."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    begin = 0
-    while begin < len(size):
-        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most)))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def _binary(data, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """A binary array of consecutive runs of bytes, or one of strings."""
     offsets = np.concatenate([[0], ends]).astype("<i4")
@@ -213,7 +203,7 @@ def common_pieces(texts: DataFrame, table: RankMap, ranks: dict[bytes, int], sam
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(tokens.value, pa.string())
         for batch in batches:
-            for part in _parts(batch, "t"):
+            for part in parts(batch, "t"):
                 words = pc.unique(_pieces(part)[0])
                 yield pa.record_batch({"word": words.filter(pc.invert(pc.is_in(words, value_set=known)))})
 
@@ -262,7 +252,7 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
         base = _binary(pa.py_buffer(texts.value), np.cumsum(np.frombuffer(lengths.value, "<u2"), dtype=np.int64), pa.string())
         known = base
         for batch in batches:
-            for part in _parts(batch, "t"):
+            for part in parts(batch, "t"):
                 if len(known) > len(base) + most_words:
                     known = base
                 flat, ends = _pieces(part)
@@ -306,7 +296,7 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                     has = [tuple(np.concatenate(c) for c in zip(*has, strict=True))]
                 size, coded = has[0]
                 start = np.cumsum(size) - size
-                for part in _parts(run, "codes"):
+                for part in parts(run, "codes"):
                     offsets = np.frombuffer(part.column("codes").buffers()[1], "<i4")[part.column("codes").offset :][: len(part) + 1]
                     which = np.frombuffer(part.column("codes").buffers()[2] or b"", "<u4")[offsets[0] // 4 : offsets[-1] // 4]
                     n = size[which]

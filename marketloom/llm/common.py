@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,16 @@ def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about `most` bytes in a column."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most)))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

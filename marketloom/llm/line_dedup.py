@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, lean, read, row_key
+from marketloom.llm.common import cut, lean, parts, read, row_key
 from marketloom.llm.ngram_join import bitmap, in_bitmap
 
 
@@ -58,6 +58,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 _WORDS = re.compile(r"[^ \t-\r]+")
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MAX_ROWS = 200_000
+_PART_BYTES = 1 << 20  # of texts whose words are held at once; a word takes several times its bytes
 
 
 def _rolling(h: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -90,6 +91,21 @@ def _leads(a: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
 
 
+def _marks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(_key, f): the distinct leads of each text (column t)."""
+    for whole in batches:
+        for batch in parts(whole, "t", _PART_BYTES):
+            keys, fs, n = [], [], 0
+            for key, (a, _) in zip(batch.column("_key"), _hashed(batch.column("t").to_pylist()), strict=True):
+                if len(a) >= words:
+                    grams, lead = _leads(a, words)
+                    keys.append((key.as_py(), len(f := grams[np.unique(lead)])))
+                    fs.append(f)
+                    n += len(f)
+            if n:
+                yield pa.record_batch({"_key": pa.array([k for k, m in keys for _ in range(m)], pa.binary()), "f": pa.array(np.concatenate(fs).view(np.int64))})
+
+
 def _may_be_in(keys: DataFrame) -> Column:
     """Whether a row's _key may be one of `keys`, by a bitmap; so that other rows need no exchange."""
     wanted = bitmap(keys.select(F.xxhash64("_key").alias("k")), "k")
@@ -113,21 +129,12 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @lean
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, fs, n = [], [], 0
-            for key, (a, _) in zip(batch.column("_key"), _hashed(batch.column("t").to_pylist()), strict=True):
-                if len(a) >= words:
-                    grams, lead = _leads(a, words)
-                    keys.append((key.as_py(), len(f := grams[np.unique(lead)])))
-                    fs.append(f)
-                    n += len(f)
-            if n:
-                yield pa.record_batch({"_key": pa.array([k for k, m in keys for _ in range(m)], pa.binary()), "f": pa.array(np.concatenate(fs).view(np.int64))})
+        yield from _marks(batches, words)
 
     @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+            for batch in parts(whole, "t", _PART_BYTES):
                 rows, found = [], batch.column("fs")
                 for i, (a, b) in enumerate(_hashed(batch.column("t").to_pylist())):
                     grams, lead = _leads(a, words)
@@ -159,28 +166,33 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = cut(repeated_words(df, id_col, text_col, words))
 
     @F.pandas_udf("text string, n_words long, n_removed long")
-    def rewrite(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, at in zip(text, starts, strict=True):
-            spans = [m.start() for m in _WORDS.finditer(t)]
-            n = len(spans)
-            if at is None:
-                out.append((t, n, 0))
-                continue
-            edge = np.zeros(n + 1, np.int64)
-            edge[at] += 1
-            np.add.at(edge, np.asarray(at) + words, -1)
-            off = np.cumsum(edge[:n]) > 0
-            spans.append(len(t))
-            turn = np.flatnonzero(np.diff(np.concatenate([[True], off, [True]]).astype(np.int8)))  # where kept runs start and end
-            kept = "".join(t[spans[a] : spans[b]] for a, b in zip(turn[::2], turn[1::2], strict=True))
-            out.append((t[: spans[0]] + kept, n, int(off.sum())))
-        return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
-
+    @lean
+    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, starts in batches:
+            out = []
+            for t, at in zip(text, starts, strict=True):
+                spans = [m.start() for m in _WORDS.finditer(t)]
+                n = len(spans)
+                if at is None:
+                    out.append((t, n, 0))
+                    continue
+                edge = np.zeros(n + 1, np.int64)
+                edge[at] += 1
+                np.add.at(edge, np.asarray(at) + words, -1)
+                off = np.cumsum(edge[:n]) > 0
+                spans.append(len(t))
+                turn = np.flatnonzero(np.diff(np.concatenate([[True], off, [True]]).astype(np.int8)))  # where kept runs start and end
+                kept = "".join(t[spans[a] : spans[b]] for a, b in zip(turn[::2], turn[1::2], strict=True))
+                out.append((t[: spans[0]] + kept, n, int(off.sum())))
+            yield pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
+
+    rewrite = rewrite.asNondeterministic()  # else filters on its results run it once more
+    few, text = _may_be_in(gone), F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(*rest, row_key(id_col, text_col).alias("_key"))
-    few, starts = _may_be_in(gone), gone.schema["starts"].dataType
-    rows = rows.where(few).join(gone, "_key", "left").unionByName(rows.where(~few).withColumn("starts", F.lit(None).cast(starts)))
-    rows = rows.withColumn("_new", rewrite(F.coalesce(F.col(text_col), F.lit("")), F.col("starts")))
+    told = rows.where(few).join(gone, "_key", "left").withColumn("_new", rewrite(text, F.col("starts"))).drop("starts")
+    n_words = F.regexp_count(text, F.lit(_WORDS.pattern)).cast("long")
+    same = rows.where(~few).withColumn("_new", F.struct(text.alias("text"), n_words.alias("n_words"), F.lit(0).cast("long").alias("n_removed")))
+    rows = told.unionByName(same)
     return rows.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in rest], "_new.n_words", "_new.n_removed")
 
 

@@ -5,10 +5,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,28 @@ def test_passage_dedup(spark, docs, none, rows):
     assert [got[i] for i in (100, 101, 102, 103, 104, 105)] == [0, 51, 0, 0, 51, 51] and line_dedup.dedup_passages(none).count() == 0
 
 
+def test_passage_marks_hold_few_words():
+    """A batch of Spark's size has millions of words; only those of some texts may be held at once."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(3000)]
+    batch = pa.record_batch({"_key": pa.array([b"%d" % i for i in range(len(texts))]), "t": pa.array(texts)})
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(line_dedup._marks(iter([batch]), 51)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 9 MB of texts
+    by = Counter(found.column("_key").to_pylist())
+    alone = pa.Table.from_batches(list(line_dedup._marks(iter([batch.slice(2999)]), 51)))
+    assert len(by) == 3000 and found.slice(len(found) - len(alone)).equals(alone.combine_chunks())
+
+
+def test_passages_are_rewritten_once(docs):
+    """Filters on what dedup_passages returns, as the pipeline has them, do not run its Python on the texts again."""
+    out = line_dedup.dedup_passages(docs.select("doc_id", "text")).where("n_removed = 0 OR n_removed < n_words")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython .*rewrite\(", plan)) == 1
+
+
 def test_secrets():
     def github(body):
         n, out = zlib.crc32(body.encode()), ""
