@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, lean, parts, read, trim
+from marketloom.llm.common import cut, lean, parts, read, trim_driver
 
 NONE = 1 << 16  # ranks from here on mean: no token
 LONG = 256  # pieces of more bytes are merged by a heap
@@ -244,7 +244,7 @@ def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     texts, lengths, sizes, codes = map(sc.broadcast, common_pieces(rows.select("t", "pieces"), table, ranks, sample_rows, sample_bytes))
     vocabulary = sc.broadcast(ranks)
     gc.collect()
-    trim()  # what building the tables took on the driver is no longer needed
+    trim_driver(df.sparkSession)  # what building the tables took on the driver is no longer needed
 
     @lean
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

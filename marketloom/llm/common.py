@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def trim() -> None:
         give_back(0)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """The same for the driver, Python and JVM. The JVM lets garbage lie while its heap has room, and what its compiler and plans
+    took outside the heap stays with the C library, a share for each thread; over hundreds of short jobs both add up."""
+    trim()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.java.lang.System.gc()
+    kinds, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+    with contextlib.suppress(Py4JJavaError):  # a JVM or a system without it
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """`work` over batches; what it allocated is given back to the system at its end. Python workers outlive their tasks, and
     an executor has several, each of which would keep the most that it ever used."""
@@ -83,7 +100,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation from the start."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    trim()  # what went through the driver on the way here is no longer needed
+    trim_driver(df.sparkSession)  # what went through the driver on the way here is no longer needed
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,5 +1,6 @@
 """The pipeline against plain Python, and the entry points."""
 
+import gc
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ import tiktoken
 
 import corpus_pipeline
 from marketloom.llm import byte_bpe, toxicity
+from marketloom.llm.common import cut
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +102,15 @@ def test_registered():
     names = set(e.queries())
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
     assert set(e.oracle_sql()) <= names
+
+
+def test_cut_frees_the_driver(spark):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    blocks = spark.sparkContext._gateway.new_array(spark._jvm.byte, 1024, 1 << 18)
+    spark._jvm.java.lang.System.gc()  # now they are old, which short collections pass over
+    before = used()
+    del blocks
+    gc.collect()
+    assert cut(spark.range(10)).count() == 10
+    assert used() < before - 200
