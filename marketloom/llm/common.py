@@ -96,6 +96,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs in here go as each job ends. Else they stay until the driver collects the job's plan as garbage,
+    so that those of several jobs may lie there together."""
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, None)
+    spark.conf.set(option, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation from the start."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"

@@ -10,14 +10,15 @@ block, however often it occurs:
 
 1. A block holds its tokens as numbers of its words, compressed, and one hash for each word.
 2. A block sends the keys of its distinct words and bigrams with their counts in training texts to the parts of the count
-   tables, as sorted packed arrays. A part sums the counts (a row of the model's tables, by order and part) and answers each
-   block with the totals in the order in which it asked. No key is hot: it comes once from a block.
+   tables, as sorted packed arrays. A part sums the counts, answers each block with the totals in the order in which it asked,
+   and leaves counts of counts; the keys, which nobody asks for again, stay with it. No key is hot: it comes once from a block.
 3. A block evaluates its tokens recursively, bigram first, then word, then unseen word. What is left to others are the backoff
    weights of histories. Each seen bigram has one block that owns it and adds its share of its history's discounted and
    backed-off mass; only (document, history) pairs with unseen words then wait for their history's weight.
 4. Weights and waiting pairs are joined by history, and everything is summed by document.
 
 Blocks, counts and evaluated blocks are tables in the shared folder: what a lost executor worked on is done again from these.
+Blocks and counts go once the blocks are evaluated, shuffle files as soon as the table made of them is there.
 A packet of a block to a part is never empty, so there are at most as many as distinct n-grams in blocks.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, forget, lean, read, trim
+from marketloom.llm.common import cut, forget, lean, read, tidy, trim
 
 KATZ = 5  # counts above this are not discounted
 BLOCK_TOKENS, PART_KEYS = 1 << 21, 1 << 21
@@ -172,7 +173,7 @@ _COUNTED = pa.schema([("part", pa.int32()), ("order", pa.int32()), ("block", pa.
 
 
 def _count(key: tuple, table: pa.Table) -> pa.Table:
-    """A part of the tables of one order: its keys and counts with their sums (block is null), and an answer to each block.
+    """A part of the tables of one order: sums of its counts (block is null), and an answer to each block.
 
     An answer is twice the count of each key, plus one if the block owns it, that is, if it asked first.
     """
@@ -194,8 +195,7 @@ def _sums(part: int, order: int, table: pa.Table) -> pa.Table:
     del counts
     answer = 2 * total[of]
     answer[first] += 1
-    seen = total > 0
-    model = {"blob": _pack(np.diff(kinds[seen], prepend=np.uint64(0)), total[seen]), "total": int(total.sum()), "types": int(seen.sum()), **{f"n{r}": int((total == r).sum()) for r in range(1, KATZ + 2)}}
+    model = {"total": int(total.sum()), "types": int((total > 0).sum()), **{f"n{r}": int((total == r).sum()) for r in range(1, KATZ + 2)}}
     rows = [model, *[{"block": b, "blob": _pack(answer[i:j])} for b, i, j in zip(blocks, cuts, cuts[1:], strict=False)]]
     return pa.Table.from_pylist([{"part": part, "order": order, **r} for r in rows], schema=_COUNTED)
 
@@ -304,6 +304,11 @@ def _evaluated(model: Model):
     return work
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    with tidy(df.sparkSession):
+        return cut(df)
+
+
 def katz_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
     """One row per input row: id_col, train, n_tokens, n_known, train_tokens (long), base_score, score (double, log10).
 
@@ -314,15 +319,16 @@ def katz_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     empty table gives an empty result. Words are told apart by 64-bit hashes, bigrams by 64-bit hashes of these.
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    encoded = cut(_blocks(docs, block_tokens))
+    encoded = _cut(_blocks(docs, block_tokens))
     blocks = encoded.where("blob IS NOT NULL")
     parts = max(1, -(-(blocks.agg(F.sum("n_keys")).first()[0] or 0) // part_keys))
-    counted = cut(_ask(blocks, parts).groupBy("part", "order").applyInArrow(_count, "part int, order int, block long, blob binary, total long, types long, " + ", ".join(f"n{r} long" for r in range(1, KATZ + 2))))
+    counted = _cut(_ask(blocks, parts).groupBy("part", "order").applyInArrow(_count, "part int, order int, block long, blob binary, total long, types long, " + ", ".join(f"n{r} long" for r in range(1, KATZ + 2))))
     sums = counted.where("block IS NULL").groupBy("order").agg(*[F.sum(c).alias(c) for c in ("total", "types", *[f"n{r}" for r in range(1, KATZ + 2)])]).collect()  # a row for words, a row for bigrams
     model = Model({r.order: (r.total, r.types, [r[f"n{i}"] for i in range(1, KATZ + 2)]) for r in sums})
     answers = counted.where("block IS NOT NULL").select("block", "part", "order", "blob")
-    done = cut(blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_evaluated(model), _EVALUATED))
-    forget(counted)
+    done = _cut(blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_evaluated(model), _EVALUATED))
+    rows = _cut(encoded.where("blob IS NULL").select("block", "place", "id", "train", "n_tokens"))
+    forget(counted, encoded)
 
     weights = done.where("low IS NOT NULL").groupBy("history").agg(F.sum("low").alias("low"), F.sum("mass").alias("mass"))
     count = F.col("count").cast("double")
@@ -331,7 +337,6 @@ def katz_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     waiting = done.where("unseen IS NOT NULL").select("block", "place", "history", "count", "unseen", "seen").join(weights, "history")
     waiting = waiting.select("block", "place", (F.col("unseen") * F.log10(alpha) + F.col("seen") * more).alias("score"))
     own = done.where("n_known IS NOT NULL").select("block", "place", "n_known", "base", "score")
-    rows = encoded.where("blob IS NULL").select("block", "place", "id", "train", "n_tokens")
     every = rows.unionByName(own, allowMissingColumns=True).unionByName(waiting, allowMissingColumns=True)
     out = every.groupBy("block", "place").agg(*[F.max(c).alias(c) for c in ("id", "train", "n_tokens", "n_known", "base")], F.sum("score").alias("score"))
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -5,14 +5,16 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import filter_audit, katz, source_divergence
+from marketloom.llm import common, filter_audit, katz, source_divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,6 +136,30 @@ def test_katz_blocks_take_little_memory():
     assert all((a == b).all() for a, b in zip(got, np.unique(before, return_index=True, return_inverse=True), strict=True))
 
 
+def test_katz_leaves_no_spent_files(spark, docs, monkeypatch):
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f.name for d in folders for f in d.rglob("shuffle_*.data")}
+    monkeypatch.setattr(common, "trim_driver", lambda _: None)  # may remove shuffle files too, or may not
+    option, tables = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(option, None)
+
+    def cut(df):
+        lay, end = shuffles(), time.monotonic() + 10
+        tables.append(common.cut(df))
+        while shuffles() - lay and time.monotonic() < end:
+            time.sleep(0.1)
+        assert not shuffles() - lay
+        if "total" in df.columns:  # rows that answer no block hold sums and no keys
+            assert tables[-1].where("block IS NULL AND total > 0").count() > 0 == tables[-1].where("block IS NULL AND blob IS NOT NULL").count()
+        return tables[-1]
+
+    monkeypatch.setattr(katz, "cut", cut)
+    out = katz.katz_scores(docs, ~katz.held_out(), block_tokens=500, part_keys=900)
+    left = [t.columns for t in tables if any(Path(f.removeprefix("file://")).exists() for f in t.inputFiles())]
+    assert len(left) == 2 and not any("blob" in c for c in left)  # evaluated blocks, and the documents' rows
+    assert out.count() == out.count() == docs.count() and spark.conf.get(option, None) == before
+
+
 def test_katz_small_corpora(spark, docs, none):
     assert katz.katz_scores(none, F.lit(True)).count() == 0
     untrained = katz.katz_scores(docs.limit(5), F.lit(None).cast("boolean")).collect()
